@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsql.llm import decontaminate, exact_dedup, license_scan, url_filter
+from docsql.llm import decontaminate, exact_dedup, license_scan, packing, revisit, simhash, token_store, url_filter
 from docsql.shipping import ship
 
 
@@ -46,10 +46,56 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(captures, entries)
 
 
+#: A tokenizer file of the tokenizers library; public_tokenizers names the installed one.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path(TOKENIZER)
+    return token_store.read_tokens(token_store.write_tokens(_table(spark, sf_dir, "documents"), tokenizer))
+
+
+#: The tables hold pages only; each gives a full response and a later revisit, whose fields follow from page_id.
+WARC_EPOCH = "2024-01-01 00:00:00"
+
+
+def warc_records(pages: DataFrame) -> DataFrame:
+    """Two records for each page. A seventh of the responses are missing, a fifth of the revisits have another entity tag and an eleventh none."""
+    p = F.col("page_id")
+    when = F.timestamp_seconds(F.unix_timestamp(F.lit(WARC_EPOCH)) + p * 60)
+    tag = F.concat(F.lit('"'), F.md5(F.col("url").cast("binary")), F.lit('"'))
+    full = pages.filter(p % 7 != 0).select(
+        (p * 2).alias("record_id"), "url", when.alias("ts"), F.lit("response").alias("kind"),
+        F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("text/html"), F.lit("cache-control"), F.lit("max-age=60")).alias("headers"),
+    )
+    later = F.timestamp_seconds(F.unix_timestamp(when) + 60 * (1 + p % 1000))
+    new_tag = F.when(p % 11 == 0, F.lit(None)).when(p % 5 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), tag))
+    names = F.map_filter(F.create_map(F.lit("etag"), new_tag, F.lit("cache-control"), F.lit("max-age=90"), F.lit("content-type"), F.lit("text/plain")), lambda _, v: v.isNotNull())
+    again = pages.select((p * 2 + 1).alias("record_id"), "url", later.alias("ts"), F.lit("revisit").alias("kind"), names.alias("headers"))
+    return full.union(again)
+
+
+def op4_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisit.resolve_revisits(warc_records(_table(spark, sf_dir, "pages")))
+    h = F.col("headers")
+    return found.select("record_id", "canonical_url", "kind", "refers_to", "status", h["etag"].alias("etag"), h["cache-control"].alias("cache_control"), h["content-type"].alias("content_type"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash(_table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame(list(license_scan.KNOWN.items()), "license_id string, text string")
     return license_scan.license_scan(_table(spark, sf_dir, "documents"), known)
@@ -132,5 +178,38 @@ SELECT doc_id, docs.digest, license_id, license_id IS NOT NULL AS is_license FRO
 """
 
 
+_CANON = r"""
+bare AS (SELECT page_id, url, regexp_replace(regexp_replace(coalesce(url, ''), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?', '') AS b FROM pages),
+parts AS (
+  SELECT page_id, url, regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^www\.|:(?:80|443)$', '', 'g') AS host,
+         regexp_replace(regexp_extract(b, '^[^/?]*(/[^?]*)', 1), '(?:\.html)?/*$', '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'),
+                   lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[a-z]+|ref|fbclid|gclid)(?:=|$)'))) AS q FROM bare),
+canon AS (SELECT page_id, url, CASE WHEN host <> '' THEN host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS u FROM parts)
+"""
+
+OP4_SQL = f"""
+WITH {_CANON},
+recs AS (
+  SELECT page_id * 2 AS record_id, u, epoch(TIMESTAMP '{WARC_EPOCH}') + page_id * 60 AS ts, 'response' AS kind,
+         '"' || md5(url) || '"' AS etag, 'max-age=60' AS cc, 'text/html' AS ct FROM canon WHERE page_id % 7 <> 0
+  UNION ALL
+  SELECT page_id * 2 + 1, u, epoch(TIMESTAMP '{WARC_EPOCH}') + page_id * 60 + 60 * (1 + page_id % 1000), 'revisit',
+         CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 5 = 0 THEN '"other"' ELSE 'W/"' || md5(url) || '"' END, 'max-age=90', 'text/plain' FROM canon),
+seen AS (
+  SELECT *, last_value(CASE WHEN kind = 'response' THEN record_id END IGNORE NULLS)
+         OVER (PARTITION BY u ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ref FROM recs),
+met AS (SELECT s.*, b.etag AS b_etag, b.cc AS b_cc, b.ct AS b_ct FROM seen s LEFT JOIN recs b ON s.kind = 'revisit' AND s.u IS NOT NULL AND b.record_id = s.ref),
+judged AS (
+  SELECT *, CASE WHEN kind = 'response' THEN 'full' WHEN b_cc IS NULL THEN 'orphan'
+    WHEN etag IS NOT NULL AND b_etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(b_etag, '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+    ELSE 'unverified' END AS status FROM met)
+SELECT record_id, u AS canonical_url, kind, CASE WHEN status IN ('resolved', 'unverified') THEN ref END AS refers_to, status,
+       CASE WHEN status IN ('resolved', 'unverified') THEN coalesce(etag, b_etag) ELSE etag END AS etag, cc AS cache_control,
+       CASE WHEN status IN ('resolved', 'unverified') THEN b_ct ELSE ct END AS content_type
+FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _op2_sql(), "op6_exact_dedup": OP6_SQL, "op8_license_scan": _op8_sql()}
+    return {"op2_url_filter": _op2_sql(), "op4_revisit": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_license_scan": _op8_sql()}
