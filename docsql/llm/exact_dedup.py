@@ -29,19 +29,19 @@ def _bucket(key, splitters: list, id_type: str):
     """How many splitters are <= key, by binary search."""
     if not splitters:
         return F.lit(0)
+    at = lambda acc, lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"), acc["key"].alias("key"))
     one = lambda s: F.struct(F.lit(s[0]).alias("p"), F.lit(s[1]).alias("h"), F.lit(s[2]).cast(id_type).alias("i"))
     table = F.array(*[one(s) for s in splitters])
     steps = F.sequence(F.lit(1), F.lit(len(splitters).bit_length()))
 
     def step(acc, _):
         mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        right = (acc["lo"] < acc["hi"]) & (F.get(table, mid) <= key)
-        return F.struct(
-            F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"),
-            F.when((acc["lo"] < acc["hi"]) & ~right, mid).otherwise(acc["hi"]).alias("hi"),
-        )
+        right = (acc["lo"] < acc["hi"]) & (F.get(table, mid) <= acc["key"])
+        left = (acc["lo"] < acc["hi"]) & ~right
+        return at(acc, F.when(right, mid + 1).otherwise(acc["lo"]), F.when(left, mid).otherwise(acc["hi"]))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(splitters)).alias("hi")), step)["lo"]
+    # The key rides in the accumulator, so that the text is normalised once for a row and not at each step.
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(splitters)).alias("hi"), key.alias("key")), step)["lo"]
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, seed: int = 5) -> DataFrame:
