@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsql.llm import decontaminate, exact_dedup, license_scan, packing, revisit, simhash, suffix_dedup, token_store, url_filter
+from docsql.llm import decontaminate, exact_dedup, license_scan, packing, revisit, simhash, suffix_dedup, token_store, toxicity, url_filter
 from docsql.shipping import ship
 
 
@@ -105,6 +105,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _shipped(f) for name, f in globals().items() if name.startswith("op") and callable(f)}
 
