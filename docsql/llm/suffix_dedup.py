@@ -34,7 +34,7 @@ from docsql.llm.common import drop, groups_of, materialize, shuffle_partitions,
 
 LENGTH, GRAM = 200, 64
 #: Bytes of text in a block and in a run; regions of a class compared by pairs, and by window hashes in one task.
-BLOCK, RUN_TEXT, PAIRS, CLASS = 4 << 20, 64 << 20, 32, 20_000
+BLOCK, RUN_TEXT, PAIRS, CLASS = 2 << 20, 32 << 20, 32, 20_000
 #: For splitters: so many blocks at most are looked at, and so many anchors of each.
 SAMPLE_BLOCKS, SAMPLE_ANCHORS = 12, 4000
 _CHUNK = 1 << 18
@@ -521,7 +521,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Every byte covered by a string of `length` bytes that also starts anywhere else, in the same document or another,
     is removed; strings are judged on the input and never cross documents. Null counts as empty; texts shorter
     than `length` stay whole; repeated rows remove each other. Cut texts may break a character, so kept is binary.
-    An empty table gives no rows; other columns may have any names. A block of some 4 MB, or one longer
+    An empty table gives no rows; other columns may have any names. A block of some 2 MB, or one longer
     document, is in a task's memory at a time.
     """
     id_type = df.schema[id_col].dataType.simpleString()
@@ -540,16 +540,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     pairs = np.frombuffer(b"".join(lists), "<i4").reshape(-1, 2)
                     np.add.at(edge, pairs[:, 0], 1)
                     np.add.at(edge, pairs[:, 1].astype(np.int64) + length, -1)
-                gone = np.cumsum(edge[:-1]) > 0
+                gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
                 off = np.r_[0, np.cumsum(sizes)]
                 begins = gone & ~np.r_[False, gone[:-1]] if len(gone) else gone
                 first = off[:-1][sizes > 0]
                 begins[first] = gone[first]
-                n_gone, n_spans = np.r_[0, np.cumsum(gone)], np.r_[0, np.cumsum(begins)]
+                n_gone, n_spans = (np.concatenate([np.zeros(1, np.int64), np.cumsum(x, dtype=np.int64)])[off] for x in (gone, begins))
+                del edge, begins
                 kept = data[~gone].tobytes()
-                kept_off = (off - n_gone[off]).tolist()
+                kept_off = (off - n_gone).tolist()
                 texts = [kept[a:b] for a, b in zip(kept_off, kept_off[1:], strict=False)]
-                out = [ids, pa.array(sizes), pa.array(np.diff(n_gone[off])), pa.array(np.diff(n_spans[off])), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
+                out = [ids, pa.array(sizes), pa.array(np.diff(n_gone)), pa.array(np.diff(n_spans)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
                 names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 yield pa.RecordBatch.from_arrays([*out, *([pa.array(texts, pa.binary())] if keep_text else [])], [*names, *(["kept"] if keep_text else [])])
 
