@@ -13,84 +13,143 @@ lengths; uint32 x documents: symbols of each; symbols. Nonterminal number r is s
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsql.llm.common import field_ddl, materialize, shuffle_partitions
+from docsql.llm.common import field_ddl, groups_of, materialize, shuffle_partitions
 
 END_ID = 2
 #: Tokens in a block (a longer document is a block of its own); occurrences that make a rule; rules a round; rounds.
-BLOCK, LEAST, RULES, ROUNDS = 1 << 19, 12, 3000, 5
+BLOCK, LEAST, RULES, ROUNDS = 1 << 19, 12, 3000, 4
 MAGIC = b"RPB1"
 _SLOTS = 18
-_CACHE = 400_000
+#: Bytes of text encoded at a time.
+GROUP = 16 << 20
 
 
 class Encoder:
-    """Encodes texts with a tokenizer file of the tokenizers library, remembering what stands between blanks.
+    """Encodes texts with a tokenizer file of the tokenizers library, each distinct part of a group of texts once.
 
-    A byte-level tokenizer that splits by the usual pattern never joins what a single blank separates from other
-    text, so such parts are encoded once; texts with other white space at a blank are encoded whole.
+    A byte-level tokenizer that splits by the usual pattern never joins what a single blank or line feed separates
+    from other text, nor a letter and the final comma or full stop after it. Such parts (with the blank or line feed
+    before them) are encoded many in one call: the ids' byte lengths tell where each part ends. Texts with other
+    white space at a blank are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        import json
-
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_parts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and not pre.get("add_prefix_space")
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.used = 0
+        if self.by_parts:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():  # a byte-level token has a character for each byte
+                self.n_bytes[i] = len(token)
+            self.comma, self.stop = (int(x[0]) for x in self._whole([",", "."]))
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str]) -> None:
-        new = self._whole([f" {p}" for p in parts])
-        self.number.update(zip(parts, range(len(self.start) - 1, len(self.start) - 1 + len(parts)), strict=True))
-        self.flat = np.concatenate([self.flat, *new])
-        self.start = np.r_[self.start, self.start[-1] + np.cumsum([len(x) for x in new])]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _parts(self, parts: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts with `before` in front of each, one part after the other, and how many ids each has."""
+        cut = np.r_[np.arange(0, len(parts), 1000), len(parts)]
+        lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), parts.cast(pa.string()))
+        texts = [before + t for t in pc.binary_join(lists, before).to_pylist()] if len(parts) else []
+        size = pc.binary_length(parts).to_numpy(zero_copy_only=False) + len(before)
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i, j, got in zip(cut[:-1].tolist(), cut[1:].tolist(), self._whole(texts), strict=False):
+            ends, at = np.cumsum(size[i:j]), np.cumsum(self.n_bytes[got])
+            last = np.searchsorted(at, ends)
+            if len(at) and at[-1] == ends[-1] and (at[last] == ends).all():
+                ids.append(got)
+                counts.append(np.diff(np.r_[-1, last]))
+            else:  # a file whose ids do not follow the text byte by byte
+                each = self._whole([before + p for p in parts[i:j].to_pylist()])
+                ids += each
+                counts.append(np.array([len(x) for x in each]))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; no text is null."""
+        if not len(texts):
+            return []
         if not self.by_parts:
-            return self._whole(texts)
-        if len(self.number) > _CACHE:
-            self._clear()
-        split = [t.split(" ") for t in texts]
-        safe = lambda p: p and not p[0].isspace() and not p[-1].isspace()
-        new = {p for parts in split for p in parts[1:]} - self.number.keys()
-        odd = {p for p in new if not safe(p)}
-        if new := sorted(new - odd):
-            self._learn(new)
-        plain = [i for i, parts in enumerate(split) if safe(parts[0]) and (not odd or odd.isdisjoint(parts[1:]))]
-        others = sorted(set(range(len(texts))) - set(plain))
-        out: list[np.ndarray] = [None] * len(texts)
-        for i, ids in zip(others, self._whole([texts[i] for i in others]), strict=True):
-            out[i] = ids
-        heads = self._whole([split[i][0] for i in plain])
-        get = self.number.__getitem__
-        for i, head in zip(plain, heads, strict=True):
-            at = np.fromiter(map(get, split[i][1:]), np.int64, len(split[i]) - 1)
-            n = self.start[at + 1] - self.start[at]
-            skip = np.cumsum(n) - n
-            out[i] = np.r_[head, self.flat[np.repeat(self.start[at] - skip, n) + np.arange(n.sum())]].astype(np.uint32)
-        return out
+            return self._whole(texts.to_pylist())
+        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n"), " ")
+        off = np.array(split.offsets, np.int64)
+        off -= off[0]
+        coded = split.flatten().dictionary_encode()
+        words, where = coded.dictionary, np.array(coded.indices, np.int64)
+        test = lambda x, pattern: pc.match_substring_regex(x, pattern).to_numpy(zero_copy_only=False)
+        led = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+        core = pc.if_else(pa.array(led), pc.utf8_slice_codeunits(words, 1), words) if led.any() else words
+        stands = ~test(core, rf"^{_WHITE}|{_WHITE}$|^$")
+        ended = test(core, r"\pL[,.]$")
+        point = np.where(ended, np.where(pc.ends_with(core, ",").to_numpy(zero_copy_only=False), self.comma, self.stop), 0)
+        base = pc.if_else(pa.array(ended), pc.utf8_slice_codeunits(core, 0, -1), core)
+        # Where a word's ids stand in `flat`, and how many of them there are without a final point.
+        flat, held = [], 0
+        start, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for before, mine in ((" ", stands & ~led), ("\n", stands & led)):
+            mine = np.flatnonzero(mine)
+            once = base.take(pa.array(mine)).dictionary_encode()
+            order = np.array(pc.sort_indices(once.dictionary))  # words with a common beginning next to each other are encoded faster
+            ids, n = self._parts(once.dictionary.take(pa.array(order)), before)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            which = place[np.array(once.indices, np.int64)]
+            start[mine], count[mine] = held + (np.cumsum(n) - n)[which], n[which]
+            flat.append(ids)
+            held += len(ids)
+        # Heads have no blank before them; they, and whole texts with a part that does not stand alone, are encoded here.
+        first = off[:-1]
+        fine = stands[where]
+        fine[first] = True
+        odd = ~np.logical_and.reduceat(fine, first)
+        odd |= led[where[first]] | ~stands[where[first]]
+        heads = words.take(pa.array(where[first])).to_pylist()
+        own = self._whole([texts[i].as_py() if o else h for i, (h, o) in enumerate(zip(heads, odd.tolist(), strict=True))])
+        size = np.array([len(x) for x in own], np.int64)
+        flat = np.concatenate([*flat, *own])
+        stay = ~np.repeat(odd, np.diff(off))
+        stay[first] = True
+        at, n, last = start[where], count[where], point[where]
+        at[first], n[first], last[first] = held + np.cumsum(size) - size, size, 0
+        row = np.repeat(np.arange(len(texts)), np.diff(off))[stay]
+        at, n, last = at[stay], n[stay], last[stay]
+        has = last > 0
+        n += has
+        ends = np.cumsum(n)
+        from_ = np.repeat(at - (ends - n), n) + np.arange(ends[-1])
+        final = ends[has] - 1
+        from_[final] = 0
+        ids = flat[from_] if len(flat) else np.zeros(len(from_), np.uint32)
+        ids[final] = last[has]
+        return np.split(ids, np.cumsum(np.bincount(row, n, len(texts)).astype(np.int64))[:-1])
+
+
+#: Any white space, and the control characters that some take for it.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
+
+@lru_cache(maxsize=1)
+def encoder_for(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(path)
 
 
 # ---------------------------------------------------------------- blocks
@@ -225,7 +284,7 @@ def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encoder = TaskContext.get().partitionId(), Encoder(tokenizer)
+        shard, encoder = TaskContext.get().partitionId(), encoder_for(tokenizer)
         ids, docs, held, start, block = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -238,9 +297,9 @@ def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         id_arrow = None
         for batch in batches:
             id_arrow = batch.column(0).type
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for i, tokens in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+            for i, j in groups_of(np.r_[0, np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)], GROUP):
+                part = batch.slice(i, j - i)
+                for i, tokens in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     if held and held + len(tokens) + 1 > BLOCK:
                         yield flush()
                     ids.append(i)
