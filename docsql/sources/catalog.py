@@ -109,9 +109,9 @@ def load_json(spark: SparkSession, path: str, schema: T.StructType | str, bulk:
         return spark.read.schema(schema).json(path)
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     # A file's lines must stay in order to pair an id with the document after it: one task for each file.
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line")).filter(F.col("line") != "")
-    index = lines.withColumn("pair", F.floor(F.row_number().over(_by_file()) / 2 - 0.5))
-    pairs = index.groupBy("pair").agg(F.min_by("line", "n").alias("action"), F.max_by("line", "n").alias("doc"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    lines = files.select("file", F.posexplode("lines").alias("n", "line")).withColumn("pair", F.floor(F.col("n") / 2))
+    pairs = lines.groupBy("file", "pair").agg(F.min_by("line", "n").alias("action"), F.max_by("line", "n").alias("doc"))
     relaxed = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields if f.name != "_id"])
     doc = F.from_json("doc", relaxed)
     cols = [F.get_json_object("action", "$.index._id").alias("_id")]
@@ -125,8 +125,3 @@ def load_json(spark: SparkSession, path: str, schema: T.StructType | str, bulk:
         cols.append((F.from_json(raw, f.dataType) if nested else raw.try_cast(f.dataType)).alias(f.name))
     return pairs.select(*cols)
 
-
-def _by_file():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy("n")
