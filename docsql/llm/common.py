@@ -43,11 +43,19 @@ def _remove(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+#: Tables that materialize() has written and drop() or drop_all() not yet deleted.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back, which cuts its lineage."""
+    """Writes df as a Parquet table in the shared folder and reads it back, which cuts its lineage.
+
+    An operator's result may read such tables when it runs, so they stay until drop_all().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docsql/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._docsql_path = path
     return back
@@ -55,8 +63,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Deletes a table that materialize() wrote, once nothing reads it any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._docsql_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._docsql_path)
+
+
+def drop_all(spark: SparkSession, but: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes all tables that materialize() wrote in this session, but those given."""
+    for path in [p for p in _written if p not in {df._docsql_path for df in but}]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.remove(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

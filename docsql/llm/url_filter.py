@@ -74,29 +74,28 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     )
     span = captures.agg(F.min(F.year(F.col(f"`{time_col}`").cast("date"))).alias("a"), F.max(F.year(F.col(f"`{time_col}`").cast("date"))).alias("b")).first()
     listed = intervals(entries, F.lit(span.a if span.a is not None else 1), F.lit(span.b if span.b is not None else 0))
-    keyed = rows.filter(F.col("__at").isNotNull()).select("__row", "__at", F.explode(_keys(F.col("__host"), F.col("__path"))).alias("__k")).select(
-        "__row", "__at", F.year("__at").alias("year"), F.col("__k.kind").alias("kind"), F.col("__k.name").alias("name")
-    )
-    on = ["kind", "name", "year"]
+    keyed = rows.select(
+        "__row", "__id", "__host", "__at", F.explode_outer(F.when(F.col("__at").isNotNull(), _keys(F.col("__host"), F.col("__path")))).alias("__k")
+    ).select("__row", "__id", "__host", "__at", F.year("__at").alias("year"), F.col("__k.kind").alias("kind"), F.col("__k.name").alias("name"))
+    listed = listed.select(*[F.col(c).alias(f"l_{c}") for c in listed.columns])
+    met = (F.col("kind") == F.col("l_kind")) & (F.col("name") == F.col("l_name")) & (F.col("year") == F.col("l_year"))
+    met = met & (F.col("l_since") <= F.col("__at")) & (F.col("l_until").isNull() | (F.col("__at") < F.col("l_until")))
     if listed.count() <= broadcast_rows:
-        met = keyed.join(F.broadcast(listed), on)
+        joined = keyed.join(F.broadcast(listed), met, "left")
     else:
         # A name that many captures share is spread over SALT tasks, each with a copy of its entries.
-        salted = listed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        met = keyed.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(SALT)).cast("int")).join(salted, [*on, "__salt"])
-    met = met.filter((F.col("since") <= F.col("__at")) & (F.col("until").isNull() | (F.col("__at") < F.col("until"))))
+        salted = listed.withColumn("l_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        joined = keyed.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(SALT)).cast("int")).join(salted, met & (F.col("__salt") == F.col("l_salt")), "left")
     rank = F.struct(
-        F.when(F.col("kind") == "prefix", 0).when(F.col("kind") == "host", 1).otherwise(2).alias("r"),
-        (-F.length("name")).alias("l"), F.col("category").alias("c"), F.col("name").alias("n"), F.col("kind").alias("k"), F.col("since").alias("s"),
+        F.when(F.col("l_kind") == "prefix", 0).when(F.col("l_kind") == "host", 1).otherwise(2).alias("r"),
+        (-F.length("l_name")).alias("l"), F.col("l_category").alias("c"), F.col("l_name").alias("n"), F.col("l_kind").alias("k"), F.col("l_since").alias("s"),
+    )
+    # A row's number is given before the join and used after it only: no second reading of the captures has to agree with it.
+    best = joined.groupBy("__row").agg(
+        F.first("__id").alias(id_col), F.first("__host").alias("host"),
+        F.min(F.when(F.col("l_kind").isNotNull(), rank)).alias("__best"), F.count("l_kind").alias("n_active"),
+    )
+    return best.select(
+        F.col(f"`{id_col}`"), "host", F.col("__best").isNotNull().alias("blocked"), F.col("__best.k").alias("list_kind"), F.col("__best.n").alias("list_name"),
+        F.col("__best.c").alias("category"), F.col("__best.s").alias("since"), "n_active",
     )
-    best = met.groupBy("__row").agg(F.min(rank).alias("__best"), F.count(F.lit(1)).alias("__n"))
-    return rows.join(best, "__row", "left").select(
-        F.col("__id").alias(id_col),
-        F.col("__host").alias("host"),
-        F.col("__best").isNotNull().alias("blocked"),
-        F.col("__best.k").alias("list_kind"),
-        F.col("__best.n").alias("list_name"),
-        F.col("__best.c").alias("category"),
-        F.col("__best.s").alias("since"),
-        F.coalesce("__n", F.lit(0)).alias("n_active"),
-    )
