@@ -1,8 +1,8 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A text is a sequence of words (runs of ASCII letters and digits and of bytes from 0x80, A-Z lower-cased). A word's
-input is its word embedding and the sum of its hashed character n-grams' embeddings. Two gated recurrent layers
-read each window forwards and backwards, attention pools their states, and a linear layer gives the window's logit.
+input is its word embedding, the sum of its hashed character n-grams' embeddings, and two fixed numbers from the
+fitting sample: the log odds of the word and the largest log odds of its n-grams. Two gated recurrent layers read each window forwards and backwards, attention pools their states, and a linear layer gives the window's logit.
 All overlapping windows of a text are scored; a logistic layer turns their logits' maximum, mean and spread into
 the text's score. Labels, language, source and ids are inputs of no score.
 
@@ -25,9 +25,14 @@ from docsql.llm.common import span_hashes as _hashes
 #: The fitting sample: labelled rows of either class and windows of each at most.
 POSITIVE, NEGATIVE, WINDOWS = 2000, 3000, 8
 LENGTH, STRIDE = 64, 48
-WORDS, BUCKET_BITS, GRAMS = 20_000, 15, (3, 4, 6, 8)
+WORDS, BUCKET_BITS, FINE_BITS, GRAMS = 20_000, 15, 20, (3, 4, 6, 8)
 EMBED, HIDDEN, ATTEND = 8, 8, 8
+_INPUTS = 2 * EMBED + 2
+#: For log odds: times that a word counts in one row at most, times that it must be seen, smoothing, what is chance, and scale.
+REPEATS, SEEN, SMOOTH, LEAST, SCALE = 4, 3, 4.0, 1.5, 0.4
 EPOCHS, MOST_EPOCHS, STEPS, BATCH, RATE, SEED = 3, 24, 500, 128, 0.01, 7
+#: Rate of the embeddings beside the other weights', and by how much they shrink with each use.
+SLOW, SHRINK = 0.3, 0.1
 #: Rows with this remainder of crc32(id as text) mod FOLDS are never learned from.
 FOLDS, HELD_OUT = 5, 0
 IS_WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -64,7 +69,7 @@ def grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
         if k in GRAMS:
             some = left >= k
             h = (code[some] ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-            buckets.append((h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - BUCKET_BITS))
+            buckets.append((h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - FINE_BITS))
             words.append(word[some])
     word = np.concatenate(words)
     order = np.argsort(word, kind="stable")
@@ -97,9 +102,10 @@ class Network:
         h = HIDDEN
         self.w = {
             "word": rnd.normal(0, 0.05, (len(vocabulary) + 1, EMBED)).astype(np.float32), "char": rnd.normal(0, 0.05, (1 << BUCKET_BITS, EMBED)).astype(np.float32),
-            **{f"{k}{d}": v for d in "fb" for k, v in (("in", draw(2 * EMBED, 3 * h)), ("re", draw(h, 3 * h)), ("bias", np.zeros(3 * h, np.float32)))},
+            **{f"{k}{d}": v for d in "fb" for k, v in (("in", draw(_INPUTS, 3 * h)), ("re", draw(h, 3 * h)), ("bias", np.zeros(3 * h, np.float32)))},
             "attend": draw(2 * h, ATTEND), "query": draw(ATTEND), "out": draw(2 * h), "off": np.zeros(1, np.float32),
         }
+        self.odds = (np.zeros(len(vocabulary) + 1, np.float32), np.zeros(1 << FINE_BITS, np.float32))  # of words, of n-grams
         self.last = np.zeros(5)  # of the logistic layer over a text's windows
 
     def word_numbers(self, hashes: np.ndarray) -> np.ndarray:
@@ -108,13 +114,16 @@ class Network:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
-    def inputs(self, numbers: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(numbers), 2 * EMBED), np.float32)
+    def inputs(self, numbers: np.ndarray, buckets: np.ndarray, counts: np.ndarray, odds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        words, fine = odds or self.odds
+        out = np.zeros((len(numbers), _INPUTS), np.float32)
         out[:, :EMBED] = self.w["word"][numbers]
+        out[:, 2 * EMBED] = words[numbers]
         some = np.flatnonzero(counts)
         if len(some):
             first = (np.cumsum(counts) - counts)[some]
-            out[some, EMBED:] = np.add.reduceat(self.w["char"][buckets], first, axis=0) / np.sqrt(counts[some, None]).astype(np.float32)
+            out[some, EMBED : 2 * EMBED] = np.add.reduceat(self.w["char"][buckets >> (FINE_BITS - BUCKET_BITS)], first, axis=0) / np.sqrt(counts[some, None]).astype(np.float32)
+            out[some, 2 * EMBED + 1] = np.maximum.reduceat(fine[buckets], first)
         return out
 
     def project(self, x: np.ndarray) -> list[np.ndarray]:
@@ -240,11 +249,12 @@ def text_features(text: np.ndarray, z: np.ndarray, n: int) -> np.ndarray:
 # ---------------------------------------------------------------- fitting
 
 
-def _log_odds(numbers: np.ndarray, label: np.ndarray, size: int, strength: float = 6.0) -> np.ndarray:
-    """Smoothed log odds of each number among (number, label) pairs, each once a text."""
-    p, q = np.bincount(numbers[label == 1], minlength=size), np.bincount(numbers[label == 0], minlength=size)
-    rate = max(label.mean(), 1e-3) if len(label) else 0.5
-    return np.log((p + strength * rate) / (p + q + strength) / rate) - np.log((q + strength * (1 - rate)) / (p + q + strength) / max(1 - rate, 1e-3))
+def _log_odds(positive: np.ndarray, negative: np.ndarray) -> np.ndarray:
+    """By how much the smoothed log odds of things seen so often in rows of label 1 and 0 are beyond chance, else 0."""
+    p, q = positive.sum() + 1, negative.sum() + 1
+    rate = p / (p + q)
+    odds = np.log((positive + SMOOTH * rate) / p) - np.log((negative + SMOOTH * (1 - rate)) / q)
+    return np.where(positive + negative >= SEEN, SCALE * np.maximum(odds - LEAST, 0), 0).astype(np.float32)
 
 
 def fit(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int = SEED) -> Network:
@@ -265,7 +275,7 @@ def fit(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int = SE
     once, number = _distinct(hashes)
     row = np.repeat(np.arange(len(texts)), np.diff(first))
     fitting = np.arange(len(texts)) < max(1, len(texts) * 3 // 4)  # the rest is for the logistic layer
-    pair = np.unique(row[fitting[row]] * np.int64(len(once) + 1) + number[fitting[row]])
+    pair, times = np.unique(row[fitting[row]] * np.int64(len(once) + 1) + number[fitting[row]], return_counts=True)
     in_row, in_word = pair // (len(once) + 1), pair % (len(once) + 1)
     often = np.bincount(in_word, minlength=len(once))
     known = np.flatnonzero(often >= 2)
@@ -274,14 +284,21 @@ def fit(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int = SE
     numbers = net.word_numbers(hashes[once])
     buckets, counts = grams(data, starts[once], ends[once])
     first_gram = np.cumsum(counts) - counts
-    seen = numbers[in_word] > 0
-    net.w["word"][:, 0] = 0.5 * _log_odds(numbers[in_word][seen], labels[in_row][seen], len(net.vocabulary) + 1)
-    net.w["word"][0, 0] = 0
-    n = counts[in_word]
-    of = np.repeat(first_gram[in_word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    gram_pair = np.unique(np.repeat(in_row, n) * np.int64(1 << BUCKET_BITS) + buckets[of])
-    net.w["char"][:, 0] = 0.5 * _log_odds(gram_pair & ((1 << BUCKET_BITS) - 1), labels[gram_pair >> BUCKET_BITS], 1 << BUCKET_BITS)
-    del of, gram_pair, pair
+    times = np.minimum(times, REPEATS)
+
+    def odds_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of words and n-grams from some rows."""
+        mine = rows[in_row]
+        by_word = [np.bincount(in_word[mine & (labels[in_row] == y)], times[mine & (labels[in_row] == y)], len(once)) for y in (1, 0)]
+        words = _log_odds(*(np.bincount(numbers, x, len(net.vocabulary) + 1) for x in by_word))
+        words[0] = 0
+        return words, _log_odds(*(np.bincount(buckets, np.repeat(x, counts), 1 << FINE_BITS) for x in by_word))
+
+    # What a row is learned with comes from the other half of the rows, as later rows have no part in the odds either.
+    half = np.arange(len(texts)) % 2 == 0
+    odds = [odds_of(fitting & ~half), odds_of(fitting & half)]
+    net.odds = odds_of(fitting)
+    del pair, in_row, in_word, times
 
     text, begin = windows_of(np.diff(first))
     size = np.minimum(np.diff(first)[text], LENGTH)
@@ -290,11 +307,12 @@ def fit(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int = SE
     train = np.flatnonzero(fitting[text] & (size > 0))
     share = labels[text[train]].mean() if len(train) else 0.5
     m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
-    each_epoch = max(1, -(-len(train) // BATCH))
+    each_epoch = max(1, sum(-(-int((half[text[train]] == k).sum()) // BATCH) for k in (0, 1)))
     epochs = min(MOST_EPOCHS, max(EPOCHS, -(-STEPS // each_epoch)))
     step, total = 0, epochs * each_epoch
     for _ in range(epochs):
-        for at in np.array_split(rnd.permutation(train), -(-len(train) // BATCH)) if len(train) else []:
+        batches = [(part, odds[1 - k]) for k in (0, 1) if len(mine := train[half[text[train]] == k]) for part in np.array_split(rnd.permutation(mine), -(-len(mine) // BATCH))]
+        for at, seen in [batches[i] for i in rnd.permutation(len(batches))]:
             mask = np.arange(LENGTH) < size[at, None]
             words = np.where(mask, padded[begin[at, None] + np.arange(LENGTH)], len(once))
             used, words = np.unique(words, return_inverse=True)
@@ -302,9 +320,9 @@ def fit(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int = SE
             real = used[used < len(once)]
             k = counts[real]
             mine = buckets[np.repeat(first_gram[real] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
-            x = net.inputs(numbers[real], mine, k)
+            x = net.inputs(numbers[real], mine, k, seen)
             if len(real) < len(used):
-                x = np.r_[x, np.zeros((1, 2 * EMBED), np.float32)]
+                x = np.r_[x, np.zeros((1, _INPUTS), np.float32)]
             tables, tape = net.project(x), {}
             z = net.forward(tables, words, mask, tape)
             y = labels[text[at]]
@@ -322,13 +340,14 @@ def fit(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int = SE
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 net.w[name] -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)
-            each = np.repeat(d_x[:, EMBED:] / np.sqrt(np.maximum(k, 1))[:, None], k, axis=0)
-            for name, rows, g in (("word", numbers[real], d_x[:, :EMBED]), ("char", mine, each)):
+            each = np.repeat(d_x[:, EMBED : 2 * EMBED] / np.sqrt(np.maximum(k, 1))[:, None], k, axis=0)
+            for name, rows, g in (("word", numbers[real], d_x[:, :EMBED]), ("char", mine >> (FINE_BITS - BUCKET_BITS), each)):
                 touched, where = np.unique(rows, return_inverse=True)
                 sums = np.stack([np.bincount(where, g[:, c], len(touched)) for c in range(EMBED)], axis=1)
                 b = m[name][1]
                 b[touched] += sums * sums
-                net.w[name][touched] -= (rate * sums / (np.sqrt(b[touched]) + 1e-6)).astype(np.float32)
+                net.w[name][touched] *= 1 - SHRINK
+                net.w[name][touched] -= (SLOW * rate * sums / (np.sqrt(b[touched]) + 1e-6)).astype(np.float32)
             net.w["word"][0] = 0
     _fit_last(net, data, off, labels, np.flatnonzero(~fitting) if (~fitting).any() else np.arange(len(texts)), base_rate)
     return net
