@@ -48,43 +48,47 @@ def match(toks: Column, words: list[str], minimum=None, operator=None) -> Column
     return F.arrays_overlap(toks, wanted) if k == 1 else F.size(F.array_intersect(toks, wanted)) >= k
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x worked out once, however often f mentions it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def phrase(toks: Column, words: list[str], slop: int = 0, prefix: bool = False) -> Column:
     """The words one after the other; with slop, in order with up to so many others between; prefix: the last word may go on."""
     if not words:
         return F.lit(False)
     if slop:
         return span_near(toks, [[w] for w in words], slop, True)
-    places = F.sequence(F.lit(1), F.size(toks) - len(words) + 1)
-
-    def at(i: Column) -> Column:
-        part = F.slice(toks, i, len(words))
-        if not prefix:
-            return part == F.array(*[F.lit(w) for w in words])
-        same = F.element_at(part, len(words)).startswith(words[-1])
-        return same if len(words) == 1 else same & (F.slice(part, 1, len(words) - 1) == F.array(*[F.lit(w) for w in words[:-1]]))
-
-    return F.when(F.size(toks) >= len(words), F.exists(places, at)).otherwise(F.when(toks.isNotNull(), F.lit(False)))
+    # Tokens hold no blanks, so joined by blanks they keep their limits.
+    joined = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
+    return joined.contains(" " + " ".join(words) + ("" if prefix else " "))
 
 
 def span_near(toks: Column, clauses: list[list[str]], slop: int, in_order: bool) -> Column:
     """Some occurrence of each clause within a stretch of len(clauses) + slop tokens."""
     n = len(clauses)
 
-    def places(words: list[str]) -> Column:
-        found = F.transform(toks, lambda t, i: F.when(t.isin(*words), i))
-        return F.filter(found, lambda i: i.isNotNull())
-
-    spans = F.transform(places(clauses[0]), lambda i: F.struct(i.alias("lo"), i.alias("hi")))
+    def places(t: Column, words: list[str]) -> Column:
+        return F.filter(F.transform(t, lambda w, i: F.when(w.isin(*words), i)), lambda i: i.isNotNull())
 
     def pairs(spans: Column, here: Column) -> Column:
-        one = lambda s: F.transform(here, lambda i: F.struct(F.least(s["lo"], i).alias("lo"), F.greatest(s["hi"], i).alias("hi"), i.alias("i"), s["hi"].alias("before")))
-        return F.flatten(F.transform(spans, one))
-
-    for words in clauses[1:]:
-        joined = pairs(spans, places(words))
+        near = lambda s: F.filter(here, lambda i: F.abs(i - s["lo"]) < n + slop)
+        one = lambda s: F.transform(near(s), lambda i: F.struct(F.least(s["lo"], i).alias("lo"), F.greatest(s["hi"], i).alias("hi"), i.alias("i"), s["hi"].alias("before")))
+        joined = F.flatten(F.transform(spans, one))
         fine = F.filter(joined, lambda s: (s["hi"] - s["lo"] + 1 <= n + slop) & ((s["i"] > s["before"]) if in_order else F.lit(True)))
-        spans = F.array_distinct(F.transform(fine, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"))))
-    return F.size(spans) > 0
+        return F.array_distinct(F.transform(fine, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"))))
+
+    def found(t: Column) -> Column:
+        spans = F.transform(places(t, clauses[0]), lambda i: F.struct(i.alias("lo"), i.alias("hi")))
+        for words in clauses[1:]:
+            spans = _with(places(t, words), spans, pairs)
+        return F.size(spans) > 0
+
+    return let(toks, found)
+
+
+def _with(here: Column, spans: Column, f) -> Column:
+    return let(here, lambda h: let(spans, lambda s: f(s, h)))
 
 
 def bm25(toks: Column, word: str, n_docs: Column, n_with: Column, mean_length: Column) -> Column:

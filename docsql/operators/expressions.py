@@ -330,7 +330,7 @@ def _equals(left: Node, right: Node, scope: Scope) -> Column:
         return value(left, scope).isNull()
     if scope.is_text(left) and isinstance(right, (Lit, Col)) and (isinstance(right, Lit) or scope.find(right.name) is None):
         words = text.tokens_of(str(plain(right)))
-        return _each(value(left, scope), kind, lambda c: text.phrase(text.tokens(c), words))
+        return _over(left, scope, lambda t: text.phrase(t, words), words, True)
     if isinstance(left, Lit) and not isinstance(right, Lit):
         left, right, kind = right, left, scope.kind(right)
     if isinstance(right, Col) and scope.find(right.name) is None and right.name not in scope.extra and isinstance(left, Col):
@@ -476,8 +476,17 @@ def _fields_of(spec: str) -> list[tuple[Node, float]]:
     return out
 
 
-def _over(node: Node, scope: Scope, test) -> Column:
-    return _each(value(node, scope), scope.kind(node), lambda c: test(text.tokens(c)))
+def _over(node: Node, scope: Scope, test, words: list[str] | None = None, all_of: bool = False) -> Column:
+    """A test of a field's tokens. A text without the words as substrings is not cut into tokens at all."""
+    if not words:
+        return _each(value(node, scope), scope.kind(node), lambda c: test(text.tokens(c)))
+
+    def one(c: Column) -> Column:
+        low = F.lower(c.cast("string"))
+        may = reduce((lambda a, b: a & b) if all_of else (lambda a, b: a | b), [low.contains(w) for w in dict.fromkeys(words)])
+        return F.when(may, test(text.tokens(c))).when(c.isNotNull(), F.lit(False))
+
+    return _each(value(node, scope), scope.kind(node), one)
 
 
 def _text_call(left: Node, call: Call, scope: Scope) -> Column:
@@ -489,14 +498,14 @@ def _text_call(left: Node, call: Call, scope: Scope) -> Column:
     if low in ("query", "querystring"):
         return _query_string(str(_arg(call, 0, "query")), call, scope)
     if low == "matchquery":
-        return _over(left, scope, lambda t: text.match(t, words, call.option("minimum_should_match"), call.option("operator")))
+        return _over(left, scope, lambda t: text.match(t, words, call.option("minimum_should_match"), call.option("operator")), words)
     if low.startswith("matchphraseprefix"):
-        return _over(left, scope, lambda t: text.phrase(t, words, slop, prefix=True))
+        return _over(left, scope, lambda t: text.phrase(t, words, slop, prefix=True), words, True)
     if low.startswith("matchphrase"):
-        return _over(left, scope, lambda t: text.phrase(t, words, slop))
+        return _over(left, scope, lambda t: text.phrase(t, words, slop), words, True)
     if low.startswith("multimatch"):
         fields = _fields_of(str(_arg(call, 1, "fields")))
-        parts = [_over(f, scope, lambda t: text.match(t, words, call.option("minimum_should_match"), call.option("operator"))) for f, _ in fields]
+        parts = [_over(f, scope, lambda t: text.match(t, words, call.option("minimum_should_match"), call.option("operator")), words) for f, _ in fields]
         return reduce(lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)), parts)
     if low == "wildcardquery":
         regex = text.wildcard_regex(str(_arg(call, 0, "wildcard", "query")).lower())
@@ -542,7 +551,7 @@ def _query_string(query: str, call: Call, scope: Scope) -> Column:
                 lower = F.lit(True) if lo.strip() == "*" else _ordered(">=" if word[0] == "[" else ">", value(f, scope), _like_field(Lit(lo.strip()), value(f, scope), kind, scope))
                 return lower if hi.strip() == "*" else lower & _ordered("<=" if word[-1] == "]" else "<", value(f, scope), _like_field(Lit(hi.strip()), value(f, scope), kind, scope))
             if word[0] == '"':
-                return _over(f, scope, lambda t: text.phrase(t, text.tokens_of(word), int(call.option("slop") or 0)))
+                return _over(f, scope, lambda t: text.phrase(t, text.tokens_of(word), int(call.option("slop") or 0)), text.tokens_of(word), True)
             if word == "*":
                 return value(f, scope).isNotNull()
             if "*" in word or "?" in word:
@@ -550,7 +559,7 @@ def _query_string(query: str, call: Call, scope: Scope) -> Column:
                 return _over(f, scope, lambda t: F.exists(t, lambda w: w.rlike(regex)))
             if isinstance(scope.kind(f), (T.NumericType, T.TimestampType, T.TimestampNTZType)):
                 return value(f, scope) == _like_field(Lit(word), value(f, scope), scope.kind(f), scope)
-            return _over(f, scope, lambda t: text.match(t, text.tokens_of(word)))
+            return _over(f, scope, lambda t: text.match(t, text.tokens_of(word)), text.tokens_of(word))
 
         return reduce(lambda a, b: a | b, [F.coalesce(one(f), F.lit(False)) for f in fields(name)])
 

@@ -20,26 +20,27 @@ def with_score(df: DataFrame, select: Select, scope: Scope) -> DataFrame:
     parts = scored_parts(select.where, scope)
     wanted = sorted({(f.name, w) for p in parts if p.constant is None for f, _ in p.fields if isinstance(f, Col) for w in p.words})
     fields = sorted({f for f, _ in wanted})
-    stats = [F.avg(F.size(text.tokens(scope.column(f)))).alias(f"__len_{i}") for i, f in enumerate(fields)]
-    stats += [F.sum(F.array_contains(text.tokens(scope.column(f)), w).cast("long")).alias(f"__df_{i}") for i, (f, w) in enumerate(wanted)]
     base = scope.df
-    if stats:
-        one = base.agg(F.count(F.lit(1)).alias("__docs"), *stats)
-        df = df.crossJoin(F.broadcast(one))
+    if wanted:
+        cut = base.select(*[text.tokens(scope.column(f)).alias(f"t{i}") for i, f in enumerate(fields)])
+        stats = [F.avg(F.size(F.col(f"t{i}"))).alias(f"__len_{i}") for i in range(len(fields))]
+        stats += [F.sum(F.array_contains(F.col(f"t{fields.index(f)}"), w).cast("long")).alias(f"__df_{i}") for i, (f, w) in enumerate(wanted)]
+        one = cut.agg(F.count(F.lit(1)).alias("__docs"), *stats)
+        df = df.withColumns({f"__tok_{i}": text.tokens(scope.column(f)) for i, f in enumerate(fields)}).crossJoin(F.broadcast(one))
     total = F.lit(0.0)
     for p in parts:
         if p.constant is not None:
             total = total + F.when(F.coalesce(condition(p.fields[0][0], scope), F.lit(False)), F.lit(p.constant)).otherwise(0.0)
             continue
-        each = [_field_score(p, f, w, fields, wanted, scope) for f, w in p.fields]
+        each = [_field_score(p, f, w, fields, wanted) for f, w in p.fields]
         joined = each[0] if len(each) == 1 else F.greatest(*each) if p.best else reduce(lambda a, b: a + b, each)
         total = total + joined * p.boost
     df = df.withColumn("_score", total)
-    return df.drop("__docs", *[c for c in df.columns if c.startswith(("__len_", "__df_"))])
+    return df.drop("__docs", *[c for c in df.columns if c.startswith(("__len_", "__df_", "__tok_"))])
 
 
-def _field_score(p: Scored, f: Node, weight: float, fields: list[str], wanted: list[tuple[str, str]], scope: Scope) -> Column:
-    toks = text.tokens(scope.column(f.name))
+def _field_score(p: Scored, f: Node, weight: float, fields: list[str], wanted: list[tuple[str, str]]) -> Column:
+    toks = F.col(f"__tok_{fields.index(f.name)}")
     each = [text.bm25(toks, w, F.col("__docs"), F.col(f"__df_{wanted.index((f.name, w))}"), F.col(f"__len_{fields.index(f.name)}")) for w in p.words]
     return F.coalesce(reduce(lambda a, b: a + b, each), F.lit(0.0)) * weight
 

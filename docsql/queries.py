@@ -272,18 +272,18 @@ QUERIES: dict[str, Query] = {
         "SELECT SUM(children(line, l_quantity)) AS q, COUNT(*) AS n FROM order_tree GROUP BY o_orderstatus, children(line, l_returnflag)",
         f'SELECT o_orderstatus, l_returnflag AS "children(line,l_returnflag)", sum(l_quantity) AS q, count(*) AS n FROM {_FLAT} GROUP BY 1, 2'),
     # text
-    "text_match": Query("SELECT doc_id FROM documents WHERE text = matchQuery('thing other',operator='and')", f"SELECT doc_id FROM {_TOKENS} WHERE list_contains(t, 'thing') AND list_contains(t, 'other')"),
+    "text_match": Query("SELECT doc_id FROM documents WHERE text = matchQuery('thing with',operator='and')", f"SELECT doc_id FROM {_TOKENS} WHERE list_contains(t, 'thing') AND list_contains(t, 'with')"),
     "text_equals_phrase": Query("SELECT doc_id FROM documents WHERE text = 'of the'", f"SELECT doc_id FROM {_TOKENS} WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' of the ')"),
     "text_phrase_prefix": Query("SELECT doc_id FROM documents WHERE text = match_phrase_prefix(query='of th')", f"SELECT doc_id FROM {_TOKENS} WHERE contains(' ' || array_to_string(t, ' '), ' of th')"),
     "text_multi_match": Query("SELECT doc_id FROM documents WHERE q = multi_match(query='src3 thing',fields='text,source')", f"SELECT doc_id FROM {_TOKENS} WHERE list_has_any(t, ['src3', 'thing']) OR source = 'src3'"),
     "text_wildcard": Query("SELECT doc_id FROM documents WHERE text = wildcardQuery('thin?s*')", f"SELECT doc_id FROM {_TOKENS} WHERE len(list_filter(t, lambda w: regexp_full_match(w, 'thin.s.*'))) > 0"),
     "text_query_string": Query(
-        "SELECT doc_id FROM documents WHERE q = query('text:(thing OR other) AND -source:src0')",
-        f"SELECT doc_id FROM {_TOKENS} WHERE list_has_any(t, ['thing', 'other']) AND source <> 'src0'"),
+        "SELECT doc_id FROM documents WHERE q = query('text:(thing OR with) AND -source:src0')",
+        f"SELECT doc_id FROM {_TOKENS} WHERE list_has_any(t, ['thing', 'with']) AND source <> 'src0'"),
     "text_span_near": Query(
         "SELECT doc_id FROM documents WHERE q = span_near(slop=2,in_order=true,clauses='[{\"span_term\":{\"text\":\"of\"}},{\"span_term\":{\"text\":\"the\"}}]')",
         f"SELECT doc_id FROM {_TOKENS} WHERE regexp_matches(' ' || array_to_string(t, '  ') || ' ', ' of (?: [^ ]+ ){{0,2}} the ')"),
-    "text_bm25_topk": Query("SELECT doc_id, _score FROM documents WHERE text = matchQuery('thing under') ORDER BY _score DESC, doc_id LIMIT 20", _bm25(["thing", "under"], "list_has_any(t, ['thing', 'under'])", 20), ("_score",)),
+    "text_bm25_topk": Query("SELECT doc_id, _score FROM documents WHERE text = matchQuery('thing that') ORDER BY _score DESC, doc_id LIMIT 20", _bm25(["thing", "that"], "list_has_any(t, ['thing', 'that'])", 20), ("_score",)),
     # places
     "geo_bbox": Query("SELECT c_custkey FROM places WHERE GEO_BOUNDING_BOX(center,-60.0,40.0,70.5,-10.5)", f"SELECT c_custkey FROM {_PLACES} WHERE lon BETWEEN -60 AND 70.5 AND lat BETWEEN -10.5 AND 40"),
     "geo_distance": Query(
