@@ -602,7 +602,7 @@ def _fill_empty(out: DataFrame, levels: list[Level], named: list, columns: list)
     level = levels[-1]
     spark = out.sparkSession
     kind = out.schema[level.key].dataType
-    domain = level.filled if level.filled is not None else spark.createDataFrame([(d,) for d in level.domain], T.StructType([T.StructField(level.key, kind)]))
+    domain = level.filled if level.filled is not None else spark.range(1).select(F.explode(F.array(*[F.lit(d).cast(kind) for d in level.domain])).alias(level.key))
     above = [lv.key for lv in levels[:-1]]
     # The domain is as small as its definition; parents are buckets, not rows.
     every = out.select(*above).distinct().crossJoin(F.broadcast(domain)) if above else domain

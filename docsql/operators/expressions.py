@@ -238,7 +238,11 @@ def condition(node: Node, scope: Scope, negated: bool = False) -> Column:
     if isinstance(node, Compare):
         return _compare(node, scope, negated)
     if isinstance(node, In):
-        return _flip(_in(node, scope), node.negated != negated)
+        turned = node.negated != negated
+        if turned and _is_plain(node.node, scope) and not isinstance(node.items, SubQuery):
+            c = value(node.node, scope)
+            return c.isNull() | ~_in(node, scope)
+        return _flip(_in(node, scope), turned)
     if isinstance(node, Between):
         kind = scope.kind(node.node)
         test = lambda c: c.between(_like_field(node.low, c, kind, scope), _like_field(node.high, c, kind, scope))
@@ -259,6 +263,11 @@ def condition(node: Node, scope: Scope, negated: bool = False) -> Column:
     return must_not(c) if negated else c
 
 
+def _is_plain(node: Node, scope: Scope) -> bool:
+    """A column with one value, not analysed."""
+    return isinstance(node, Col) and not scope.is_text(node) and scope.kind(node) is not None and not isinstance(scope.kind(node), T.ArrayType)
+
+
 def _flip(c: Column, negated: bool) -> Column:
     return must_not(c) if negated else c
 
@@ -304,7 +313,11 @@ def _compare(node: Compare, scope: Scope, negated: bool) -> Column:
     if isinstance(right, SubQuery):
         return _flip(_in(In(left, right), scope), negated != (op == "<>"))
     if op in ("=", "<>"):
-        return _flip(_equals(left, right, scope), negated != (op == "<>"))
+        turned = negated != (op == "<>")
+        if turned and _is_plain(left, scope) and isinstance(right, Lit) and right.value is not None:
+            c = value(left, scope)  # in a form that scans can filter by
+            return c.isNull() | (c != _like_field(right, c, scope.kind(left), scope))
+        return _flip(_equals(left, right, scope), turned)
     if negated:
         op = _TURNED[op]
     kind = scope.kind(left)
