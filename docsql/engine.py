@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,12 +75,22 @@ class Engine:
             head = f"performing {tree.op.upper()}" if isinstance(tree, SetOperation) else "show" if isinstance(tree, Show) else ("nested loops" if tree.hint("USE_NL", "USE_NESTED_LOOPS") else "join") if tree.join else "aggregation" if is_aggregated(tree) else "query"
         return f"{head}\n{df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString('formatted'))}"
 
-    def csv(self, text: str, **options) -> str:
-        return (options.pop("new_line", "\n")).join(results.csv_lines(self.sql(text), **options))
+    def csv(self, text: str, with_id: bool = False, with_score: bool = False, **options) -> str:
+        """Options: flat, separator, quote, new_line, show_header; the key and the score can be columns in front."""
+        tree = parse(text)
+        if (with_id or with_score) and isinstance(tree, Select) and tree.join is None and not is_aggregated(tree):
+            key = self.catalog.scan([t.name for t in tree.tables], tree.hint("IGNORE_UNAVAILABLE") is not None).id_col
+            more = [Item(Col(key), "_id", "_id")] * with_id + [Item(Col("_score"), "_score", "_score")] * with_score
+            tree = replace(tree, items=(*more, *tree.items))
+        return options.pop("new_line", "\n").join(results.csv_lines(self.run(tree), **options))
 
     def json(self, text: str) -> dict:
-        began = time.time()
-        return results.envelope(self.sql(text), int(1000 * (time.time() - began)))
+        """The answer as a dict; with TRACK_TOTAL_HITS the total counts all rows that fit, not only those shown."""
+        began, tree = time.time(), parse(text)
+        out = results.envelope(self.run(tree), int(1000 * (time.time() - began)))
+        if isinstance(tree, Select) and tree.join is None and tree.hint("TRACK_TOTAL_HITS") and not is_aggregated(tree):
+            out["hits"]["total"]["value"] = self.base(tree)[0].count()
+        return out
 
     def scroll(self, text: str, size: int | None = None) -> Iterator[list]:
         tree = parse(text)

@@ -27,13 +27,12 @@ def join(select: Select, engine) -> DataFrame:
         scope = Scope(source.df, source.df.schema, source, engine, (alias,))
         df = source.df
         mine = [c for c in where if _tables(c, sources) == {alias}]
-        # What speaks of one table is a filter below the join, except of the padded side of a left join.
-        if not (j.kind == "left" and n == 1):
-            for c in mine:
-                test = condition(c, scope)
-                df = engine.with_marks(df, scope).filter(test).select(*[F.col(f"`{x}`") for x in source.df.columns])
-                scope.semi.clear()
-            where = [c for c in where if c not in mine]
+        # What speaks of one table filters that table before the join, also the padded side of a left join.
+        for c in mine:
+            test = condition(c, scope)
+            df = engine.with_marks(df, scope).filter(test).select(*[F.col(f"`{x}`") for x in source.df.columns])
+            scope.semi.clear()
+        where = [c for c in where if c not in mine]
         if limits[n] is not None:
             df = df.limit(limits[n])
         frames[alias] = df.select(*[F.col(f"`{c}`").alias(f"{alias}.{c}") for c in df.columns])

@@ -8,7 +8,7 @@ from urllib.parse import parse_qs, urlsplit
 
 
 def make_server(engine, host: str = "127.0.0.1", port: int = 0) -> ThreadingHTTPServer:
-    """format=csv gives CSV, with separator, quote, newLine, flat and showHeader; else the JSON envelope. Local by default."""
+    """format=csv gives CSV, with separator, quote, newLine, flat, showHeader, _id and _score; else the JSON envelope. Local by default."""
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self) -> None:
@@ -28,7 +28,7 @@ def make_server(engine, host: str = "127.0.0.1", port: int = 0) -> ThreadingHTTP
                     return self._send(404, "text/plain", "no such path")
                 elif given.get("format") == "csv":
                     kind = "text/csv"
-                    out = engine.csv(text, separator=given.get("separator", ","), quote=given.get("quote", '"'), new_line=given.get("newLine", "\n"), flat=given.get("flat") == "true", show_header=given.get("showHeader", "true") == "true")
+                    out = engine.csv(text, separator=given.get("separator", ","), quote=given.get("quote", '"'), new_line=given.get("newLine", "\n"), flat=given.get("flat") == "true", show_header=given.get("showHeader", "true") == "true", with_id=given.get("_id") == "true", with_score=given.get("_score") == "true")
                 else:
                     kind, out = "application/json", json.dumps(engine.json(text), default=str)
             except (ValueError, LookupError) as e:

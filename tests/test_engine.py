@@ -61,6 +61,11 @@ def test_joins(engine, text, n):
         assert sorted(map(str, rows(engine, hinted))) == sorted(map(str, found))
 
 
+def test_left_join_filters_the_padded_side_first(engine):
+    found = rows(engine, "select c._id a, f._id b from got c LEFT JOIN got f on f.name.firstname = c.parents.father where f.house = 'Nobody' and c.house = 'Stark'")
+    assert sorted(found) == [("2", None), ("3", None)]
+
+
 def test_join_columns(engine):
     df = engine.sql("select c.name.firstname name, d.* from got c JOIN dog d on d.holdersName = c.name.firstname")
     assert df.columns == ["name", "d._id", "d.dog_name", "d.holdersName", "d.age"]

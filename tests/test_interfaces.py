@@ -33,6 +33,8 @@ def test_http(engine):
     sql = "SELECT dog_name FROM dog ORDER BY age"
     assert [h["_source"]["dog_name"] for h in json.loads(ask("", json.dumps({"sql": sql})))["hits"]["hits"]] == ["rex", "snoopy"]
     assert ask("?format=csv&newLine=%7C", sql) == "dog_name|rex|snoopy"
+    assert ask("?format=csv&newLine=%7C&_id=true", sql) == "_id,dog_name|1,rex|6,snoopy"
+    assert json.loads(ask("", "SELECT /*! TRACK_TOTAL_HITS */ dog_name FROM dog LIMIT 1"))["hits"]["total"]["value"] == 2
     assert ask(f"/explain?sql={urllib.parse.quote(sql)}").startswith("query")
     with pytest.raises(urllib.error.HTTPError) as e:
         ask("", "DROP TABLE dog")
