@@ -128,11 +128,11 @@ def value(node: Node, scope: Scope) -> Column:
     if isinstance(node, Binary):
         return _arithmetic(node, scope)
     if isinstance(node, Case):
+        values = _alike([then for _, then in node.branches] + ([] if node.default is None else [node.default]), scope)
         out = None
-        for test, then in node.branches:
-            t, v = condition(test, scope), value(then, scope)
-            out = F.when(t, v) if out is None else out.when(t, v)
-        return out if node.default is None else out.otherwise(value(node.default, scope))
+        for (test, _), v in zip(node.branches, values, strict=False):
+            out = F.when(condition(test, scope), v) if out is None else out.when(condition(test, scope), v)
+        return out if node.default is None else out.otherwise(values[-1])
     if isinstance(node, Cast):
         return scalars.cast(value(node.node, scope), node.kind)
     if isinstance(node, Call):
@@ -142,6 +142,14 @@ def value(node: Node, scope: Scope) -> Column:
     raise LoweringError(f"{node} is not a value")
 
 
+def _alike(nodes: list[Node], scope: Scope) -> list[Column]:
+    """Values of one type: where texts and others meet, all are texts."""
+    kinds = [T.StringType() if isinstance(n, Lit) and isinstance(n.value, str) else T.DoubleType() if isinstance(n, Lit) and n.value is not None else scope.kind(n) for n in nodes]
+    known = [k for k in kinds if k is not None]
+    mixed = any(isinstance(k, T.StringType) for k in known) and any(not isinstance(k, T.StringType) for k in known)
+    return [value(n, scope).cast("string") if mixed else value(n, scope) for n in nodes]
+
+
 def _number(node: Node, scope: Scope) -> Column:
     c = value(node, scope)
     if isinstance(node, Lit) and isinstance(node.value, str) or isinstance(scope.kind(node), T.StringType):
@@ -186,7 +194,12 @@ def _call(node: Call, scope: Scope) -> Column:
         return value(_as_col(node.args[0]), scope)
     if low in ("if", "case_new"):
         args = [Lit(True) if isinstance(a, Col) and a.name.lower() == "default" else a for a in node.args]
-        return scalars.SCALARS[low](*(value(a, scope) for a in args))
+        results = args[1:] if low == "if" else args[1::2]
+        alike = iter(_alike(results, scope))
+        is_result = (lambda i: i > 0) if low == "if" else (lambda i: i % 2 == 1)
+        return scalars.SCALARS[low](*(next(alike) if is_result(i) else value(a, scope) for i, a in enumerate(args)))
+    if low == "coalesce":
+        return F.coalesce(*_alike(list(node.args), scope))
     if low in scalars.SCALARS:
         return scalars.SCALARS[low](*(value(a, scope) for a in node.args))
     if low in scope.engine.functions:

@@ -198,3 +198,19 @@ def test_unknown_names(engine):
         engine.sql("SELECT nofunction(age) FROM dog")
     engine.register_function("twice", lambda x: x * 2, "int")
     assert sorted(rows(engine, "SELECT twice(age) AS t FROM dog")) == [(4,), (8,)]
+
+
+def test_mixed_types_meet_as_texts(engine):
+    got = rows(engine, "SELECT CASE WHEN age > 3 THEN 'old' ELSE age END AS a, if(age > 3, age, 'young') AS b, coalesce(null, age, 'x') AS c FROM dog ORDER BY age")
+    assert got == [("2", "young", "2"), ("old", "4", "4")]
+    assert rows(engine, "SELECT case_new(age > 3, 1, default, 'x') AS a FROM dog ORDER BY age") == [("x",), ("1",)]
+
+
+def test_grammar_corners(engine):
+    assert rows(engine, 'SELECT dog_name FROM dog WHERE dog_name = "rex" AND 1 = 1 AND (age + 1) * 2 = 6 -- a remark') == [("rex",)]
+    assert len(rows(engine, "SELECT include('dog*'), exclude('*Name') FROM dog")[0]) == 1
+    assert rows(engine, "SELECT split(concat_ws('-', dog_name, age), '-')[1] AS n FROM dog/anytype d WHERE d.age BETWEEN 2 AND 3") == [("2",)]
+    assert rows(engine, "SELECT STATS(age) FROM dog")[0][:2] == (2, 6.0)
+    assert rows(engine, "SELECT AVG(script('n','doc[\\'age\\'].value * 2')) AS a FROM dog") == [(6.0,)]
+    assert rows(engine, "SELECT count(*) FROM dog HAVING count(*) > 5") == []
+    assert len(rows(engine, "SELECT * FROM nested_type ORDER BY NESTED('message.dayOfWeek','message') DESC LIMIT 1, 2")) == 2
