@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import uuid
 
@@ -99,6 +100,28 @@ def schema_with(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
 # ---------------------------------------------------------------- Arrow text
 
 
+def tidied(operator):
+    """An operator over Arrow batches that gives its memory back when a partition ends, as workers live on for other tasks."""
+
+    def run(batches):
+        try:
+            yield from operator(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+                trim(0)
+
+    return run
+
+
+def slices(batches, column: int | str, most: int = 8 << 20):
+    """The batches' rows again, in batches with at most so many bytes in a text column (a longer row stands alone)."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        for i, j in groups_of(np.r_[0, np.cumsum(size, dtype=np.int64)], most):
+            yield batch.slice(i, j - i)
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column in one array, and len(col)+1 offsets. Null counts as empty."""
     col = pc.fill_null(col.cast(pa.large_string()), "")

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsql.llm.common import LOWER, field_ddl, groups_of, span_hashes, text_buffer, word_spans
+from docsql.llm.common import LOWER, field_ddl, groups_of, slices, span_hashes, text_buffer, tidied, word_spans
 
 WINDOW, MIN_ITEMS = 8, 2
 #: Bytes of documents in a shard; bytes of benchmark text in one broadcast block.
@@ -210,18 +210,18 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     if remove:
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, text_col):
                 bad = _scan(batch.column(text_col), blocks, min_items)["contaminated"]
                 yield batch.filter(pa.array([not x for x in bad], pa.bool_()))
 
-        return df.mapInArrow(keep, df.schema)
+        return df.mapInArrow(tidied(keep), df.schema)
 
     types = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items_sha256": pa.string(), "contaminated": pa.bool_(), "longest_match": pa.int64(), "longest_at": pa.int64(), "longest_item": pa.string()}
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = _scan(batch.column(1), blocks, min_items)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[k], t) for k, t in types.items())], [id_col, *types])
 
     slim = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    return slim.mapInArrow(judge, f"{field_ddl(df, id_col)}, {RESULT}")
+    return slim.mapInArrow(tidied(judge), f"{field_ddl(df, id_col)}, {RESULT}")

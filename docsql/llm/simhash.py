@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsql.llm.common import LOWER, field_ddl, groups_of, materialize, shuffle_partitions, text_buffer
+from docsql.llm.common import LOWER, field_ddl, groups_of, materialize, shuffle_partitions, slices, text_buffer, tidied
 from docsql.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -181,10 +181,10 @@ def near_links(distinct: DataFrame) -> DataFrame:
                 key, of = _index(fp[i : i + 2000])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(of.view(np.int64))], ["key", "fp"])
 
-    rows = distinct.select("fp").mapInArrow(index, "key long, fp long")
+    rows = distinct.select("fp").mapInArrow(tidied(index), "key long, fp long")
     found, first = None, True
     while True:
-        near = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda b, f=first: _link(b, f), "a long, b long, mask long, bit int")
+        near = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidied(lambda b, f=first: _link(b, f)), "a long, b long, mask long, bit int")
         near = materialize(near, "links")
         links = near.filter("mask is null").select(F.col("a").alias("u"), F.col("b").alias("v"))
         found = links if found is None else found.union(links)
@@ -211,11 +211,11 @@ def _hex(col: str):
 
 def _printed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1)).view(np.int64))], [id_col, "fp"])
 
     slim = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    return materialize(slim.mapInArrow(run, f"{field_ddl(df, id_col)}, fp long"), "fingerprints")
+    return materialize(slim.mapInArrow(tidied(run), f"{field_ddl(df, id_col)}, fp long"), "fingerprints")
 
 
 def _components(printed: DataFrame, id_col: str) -> DataFrame:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsql.llm.common import drop, groups_of, materialize, shuffle_partitions, text_buffer
+from docsql.llm.common import drop, groups_of, materialize, shuffle_partitions, text_buffer, tidied
 
 LENGTH, GRAM = 200, 64
 #: Bytes of text in a block and in a run; regions of a class compared by pairs, and by window hashes in one task.
@@ -480,7 +480,7 @@ def _splitters(blocks: DataFrame, parts: int, length: int, gram: int) -> list[by
 
     every = max(1, n // SAMPLE_BLOCKS)
     rows = blocks.select("block", "blob").filter(F.pmod(F.xxhash64("block"), F.lit(every)) == 0).limit(2 * SAMPLE_BLOCKS)
-    got = sorted(bytes(r.g) for r in rows.mapInArrow(run, "g binary").collect())
+    got = sorted(bytes(r.g) for r in rows.mapInArrow(tidied(run), "g binary").collect())
     return sorted({got[len(got) * i // parts] for i in range(1, parts)}) if got else []
 
 
@@ -497,14 +497,14 @@ def find_repeats(blocks: DataFrame, length: int, gram: int) -> DataFrame:
 
     text = blocks.select("block", "sizes", "blob")
     # A hash has one row for each block at most, whatever its frequency.
-    seen = text.mapInArrow(hashes, "h long, block long, n int").repartition(n, "h")
+    seen = text.mapInArrow(tidied(hashes), "h long, block long, n int").repartition(n, "h")
     twice = seen.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).filter("all > 1")
     lists = materialize(twice.groupBy("block").agg(F.collect_list("h").alias("hashes")), "anchors")
     parts = 2 * n
     splitters = _splitters(blocks, parts, length, gram)
-    runs = text.join(lists, "block").select("block", "sizes", "blob", "hashes").mapInArrow(lambda b: _runs(b, splitters, parts, length, gram), _DDL)
+    runs = text.join(lists, "block").select("block", "sizes", "blob", "hashes").mapInArrow(tidied(lambda b: _runs(b, splitters, parts, length, gram)), _DDL)
     runs = materialize(runs, "runs")
-    merged = runs.filter("part >= 0").select("part", "payload").repartition(n, "part").sortWithinPartitions("part").mapInArrow(lambda b: _merge(b, length, gram), _DDL)
+    merged = runs.filter("part >= 0").select("part", "payload").repartition(n, "part").sortWithinPartitions("part").mapInArrow(tidied(lambda b: _merge(b, length, gram)), _DDL)
     merged = materialize(merged, "merged")
     drop(lists)
     found = merged.filter("part is null").union(runs.filter("part = -1")).select("block", "payload")
@@ -526,7 +526,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     id_type = df.schema[id_col].dataType.simpleString()
     slim = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    blocks = materialize(slim.mapInArrow(_pack, f"block long, ids array<{id_type}>, sizes array<long>, blob binary"), "blocks")
+    blocks = materialize(slim.mapInArrow(tidied(_pack), f"block long, ids array<{id_type}>, sizes array<long>, blob binary"), "blocks")
     found = find_repeats(blocks, length, gram)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -555,4 +555,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([*out, *([pa.array(texts, pa.binary())] if keep_text else [])], [*names, *(["kept"] if keep_text else [])])
 
     joined = blocks.join(found, "block", "left").select("ids", "sizes", "blob", "found")
-    return joined.mapInArrow(cut, f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return joined.mapInArrow(tidied(cut), f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)

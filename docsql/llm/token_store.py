@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsql.llm.common import field_ddl, groups_of, materialize, shuffle_partitions
+from docsql.llm.common import field_ddl, groups_of, materialize, shuffle_partitions, tidied
 
 END_ID = 2
 #: Tokens in a block (a longer document is a block of its own); occurrences that make a rule; rules a round; rounds.
@@ -309,7 +309,7 @@ def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
             yield flush()
 
     blocks = slim.repartitionByRange(n, F.col("__id").asc_nulls_first()).sortWithinPartitions(F.col("__id").asc_nulls_first())
-    return materialize(blocks.mapInArrow(run, f"shard int, block int, start long, n_tokens long, ids array<{id_type}>, payload binary"), "tokens")
+    return materialize(blocks.mapInArrow(tidied(run), f"shard int, block int, start long, n_tokens long, ids array<{id_type}>, payload binary"), "tokens")
 
 
 def read_tokens(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -328,4 +328,4 @@ def read_tokens(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 crc = [zlib.crc32(d.astype("<u4").tobytes()) for d in docs]
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(tidied(run), f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")

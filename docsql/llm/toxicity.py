@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsql.llm.common import LOWER, field_ddl, groups_of, text_buffer, word_spans
+from docsql.llm.common import LOWER, field_ddl, groups_of, slices, text_buffer, tidied, word_spans
 from docsql.llm.common import span_hashes as _hashes
 
 #: The fitting sample: labelled rows of either class and windows of each at most.
@@ -282,7 +282,10 @@ def fit(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int = SE
     known = known[np.argsort(-often[known], kind="stable")[:WORDS]]
     net = Network(np.sort(hashes[once[known]]), seed)
     numbers = net.word_numbers(hashes[once])
-    buckets, counts = grams(data, starts[once], ends[once])
+    del hashes
+    some = [grams(data, starts[once[i : i + _SOME_WORDS]], ends[once[i : i + _SOME_WORDS]]) for i in range(0, len(once), _SOME_WORDS)] or [grams(data, starts, ends)]
+    buckets, counts = (np.concatenate(x) for x in zip(*some, strict=True))
+    del some
     first_gram = np.cumsum(counts) - counts
     times = np.minimum(times, REPEATS)
 
@@ -292,7 +295,7 @@ def fit(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int = SE
         by_word = [np.bincount(in_word[mine & (labels[in_row] == y)], times[mine & (labels[in_row] == y)], len(once)) for y in (1, 0)]
         words = _log_odds(*(np.bincount(numbers, x, len(net.vocabulary) + 1) for x in by_word))
         words[0] = 0
-        return words, _log_odds(*(np.bincount(buckets, np.repeat(x, counts), 1 << FINE_BITS) for x in by_word))
+        return words, _log_odds(*(np.bincount(buckets, np.repeat(x.astype(np.float32), counts), 1 << FINE_BITS) for x in by_word))
 
     # What a row is learned with comes from the other half of the rows, as later rows have no part in the odds either.
     half = np.arange(len(texts)) % 2 == 0
@@ -387,7 +390,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = some[0].union(some[1])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             data, off = text_buffer(batch.column(1))
             starts, ends = word_spans(data, off, IS_WORD)
             first = np.searchsorted(starts, off)
@@ -402,7 +405,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text")).filter(F.col("__id").isNotNull())
     # Repeated ids could bring more rows than were chosen: the bound holds for what is learned from.
-    some = rows.join(F.broadcast(chosen), "__id").select(F.col("__y").cast("int").alias("y"), "__text").mapInArrow(cut, "y int, windows binary")
+    some = rows.join(F.broadcast(chosen), "__id").select(F.col("__y").cast("int").alias("y"), "__text").mapInArrow(tidied(cut), "y int, windows binary")
     some = some.orderBy(F.xxhash64("windows"), "windows", "y").limit(POSITIVE + NEGATIVE).repartition(1)
     base_rate = rate if rate is not None else 0.0
 
@@ -412,7 +415,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
 
     # One task fits the network; the driver gets its weights only.
-    found = some.mapInArrow(learn, "net binary").collect()
+    found = some.mapInArrow(tidied(learn), "net binary").collect()
     return pickle.loads(bytes(found[0].net)) if found else fit([], np.zeros(0), base_rate)
 
 
@@ -430,15 +433,15 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if remove:
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, text_col):
                 yield batch.filter(pa.array(net.value.scores(batch.column(text_col)) < 0.5))
 
-        return df.mapInArrow(keep, df.schema)
+        return df.mapInArrow(tidied(keep), df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             s = net.value.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     slim = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"), held_out(F.col(f"`{id_col}`")).alias("held_out"))
-    return slim.mapInArrow(run, f"{field_ddl(df, id_col)}, held_out boolean, score double, predicted int")
+    return slim.mapInArrow(tidied(run), f"{field_ddl(df, id_col)}, held_out boolean, score double, predicted int")
