@@ -259,7 +259,7 @@ def _log_odds(positive: np.ndarray, negative: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int = SEED) -> Network:
     """A network from texts (some windows of a row, joined), their labels, and the share of label 1 among all labels."""
-    if not texts:
+    if len(set(np.asarray(labels).tolist())) < 2:  # one class only: nothing can be told apart
         net = Network(np.zeros(0, np.uint64), seed)
         net.last = np.array([-6.0, 0, 0, 0, 0])
         return net
@@ -424,7 +424,7 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     With remove, the rows of df that are not predicted 1 instead, with df's columns. Null, empty and wordless texts
     are one window without words. Null ids are never learned from and not held out; an id with several labels
-    counts as 1 if any is; other labels than 0 and 1 are void. Without usable labels all scores are the same and low.
+    counts as 1 if any is; other labels than 0 and 1 are void. Without labels of both classes all scores are the same and low.
     Repeated rows are scored one by one; other columns may have any names.
     """
     sc = df.sparkSession.sparkContext

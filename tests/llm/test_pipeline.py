@@ -66,3 +66,24 @@ def test_run(spark, stages):
     sf_dir, steps = stages
     key = lambda r: (r.doc_id, r.piece, r.n_tokens)
     assert sorted(map(key, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(key, steps[-1][1]))
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_rows_and_empty_tables(spark, tmp_path, empty):
+    from .data import documents, table
+
+    docs = table(spark, documents()).limit(0) if empty else table(spark, documents())
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    some = [] if empty else [(1, 0), (2, 0), (3, 0), (None, 1), (4, None)]
+    spark.createDataFrame(some, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    items = [] if empty else [(1, None), (None, "w1 w2"), (2, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if empty:
+        assert got == []
+        return
+    of = defaultdict(list)
+    for r in documents():
+        of[lower(r[1])].append(-1 if r[0] is None else r[0])
+    kept = {max(ids) for ids in of.values()}
+    assert {-1 if r.doc_id is None else r.doc_id for r in got} <= kept and len({r.doc_id for r in got}) > len(kept) // 2
