@@ -71,8 +71,7 @@ class Engine:
         if isinstance(tree, Delete):
             head, df = "delete", self._doomed(tree)[0]
         else:
-            df = self.run(tree)
-            head = f"performing {tree.op.upper()}" if isinstance(tree, SetOperation) else "show" if isinstance(tree, Show) else ("nested loops" if tree.hint("USE_NL", "USE_NESTED_LOOPS") else "join") if tree.join else "aggregation" if is_aggregated(tree) else "query"
+            df, head = self.run(tree), _head(tree)
         return f"{head}\n{df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString('formatted'))}"
 
     def csv(self, text: str, with_id: bool = False, with_score: bool = False, **options) -> str:
@@ -222,6 +221,17 @@ class Engine:
         return self.spark.createDataFrame(rows, "table string, field string, type string")
 
 
+def _head(tree) -> str:
+    """What kind of statement a plan belongs to."""
+    if isinstance(tree, SetOperation):
+        return f"performing {tree.op.upper()}"
+    if isinstance(tree, Show):
+        return "show"
+    if tree.join:
+        return "nested loops" if tree.hint("USE_NL", "USE_NESTED_LOOPS") else "join"
+    return "aggregation" if is_aggregated(tree) else "query"
+
+
 def _lenient(select: Select) -> bool:
     hint = select.hint("INDICES_OPTIONS")
     return hint is not None and '"ignore_unavailable":true' in hint.text.replace(" ", "").lower()

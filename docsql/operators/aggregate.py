@@ -347,7 +347,7 @@ def _ranges(rows: Rows, call: Call, key: str, name: str, low: str) -> tuple[Rows
     return replace_rows(rows, df), level
 
 
-def _fill(rows: Rows, key: str, step: Column, bounds: list, least_of) -> DataFrame:
+def _fill(rows: Rows, key: str, step: Column, bounds: list) -> DataFrame:
     """All buckets from the first to the last one (and the bounds)."""
     ends = rows.df.agg(F.min(key).alias("a"), F.max(key).alias("b"))
     lo, hi = F.col("a"), F.col("b")
@@ -368,7 +368,7 @@ def _histogram(rows: Rows, call: Call, key: str, number: int, name: str) -> tupl
     if number == 0 and (bounds or least is not None and int(least) == 0):
         ends = [float(b) for b in str(bounds).split(":")] if bounds else []
         whole = rows.df.select(F.round((F.col(key) - offset) / step).cast("long").alias(key))
-        filled = _fill(replace_rows(rows, whole), key, F.lit(1).cast("long"), [F.floor(F.lit((e - offset) / step)) for e in ends], None)
+        filled = _fill(replace_rows(rows, whole), key, F.lit(1).cast("long"), [F.floor(F.lit((e - offset) / step)) for e in ends])
         level.filled = filled.select((F.col(key) * step + offset).alias(key))
     return rows, level
 
@@ -401,7 +401,7 @@ def _date_histogram(rows: Rows, call: Call, key: str, number: int, name: str) ->
     bounds = call.option("extended_bounds")
     if number == 0 and (bounds or least is not None and int(least) == 0):
         ends = [dates.moment(b) for b in re.split(r"(?<=\D):|:(?=\D)|(?<=\d\d):(?=\d{4}-)", str(bounds))] if bounds else []
-        level.filled = _fill(rows, key, step, ends, None)
+        level.filled = _fill(rows, key, step, ends)
     pattern = str(call.option("format") or DATE_PATTERN)
     level.extra = [F.date_format(F.col(key), pattern)]
     return rows, level
