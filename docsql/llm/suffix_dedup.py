@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
