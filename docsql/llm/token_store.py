@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from docsql.llm.common import groups_of, materialize, shuffle_partitions, tidied
 
 END_ID = 2
-#: Tokens in a block (a longer document is a block of its own); occurrences that make a rule; rules a round; rounds.
-BLOCK, LEAST, RULES, ROUNDS = 1 << 19, 12, 3000, 4
+#: Tokens in a block (a longer document is a block of its own); occurrences that make a rule.
+BLOCK, LEAST = 1 << 19, 12
 MAGIC = b"RPB1"
 _SLOTS = 18
 #: Bytes of text encoded at a time.
@@ -156,61 +156,87 @@ def encoder_for(path: str) -> Encoder:
 # ---------------------------------------------------------------- blocks
 
 
-def compress(docs: list[np.ndarray], least: int = LEAST, rules: int = RULES, rounds: int = ROUNDS) -> bytes:
-    """A block of documents, none of them without ids."""
-    seq = np.concatenate(docs)
+def _frequent(code: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+    """The pairs with `least` occurrences or more that do not overlap, the most frequent first; code: pairs at the places `at`."""
+    ordered = np.sort(code)
+    edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    count = np.diff(np.r_[edge, len(ordered)])
+    often = np.flatnonzero(count >= least)
+    pairs, count = ordered[edge[often]], count[often]
+    # A run of k equal pairs is a run of k + 1 equal symbols and holds (k + 1) // 2 pairs that do not overlap.
+    starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (at[1:] != at[:-1] + 1)])
+    runs = np.diff(np.r_[starts, len(code)])
+    starts, runs = starts[runs > 1], runs[runs > 1]
+    if len(starts) and len(pairs):
+        where = np.minimum(np.searchsorted(pairs, code[starts]), len(pairs) - 1)
+        mine = pairs[where] == code[starts]
+        count = count - np.bincount(where[mine], runs[mine] // 2, len(pairs)).astype(np.int64)
+        pairs, count = pairs[count >= least], count[count >= least]
+    return pairs[np.argsort(-count, kind="stable")]
+
+
+def compress(docs: list[np.ndarray], least: int = LEAST) -> bytes:
+    """A block of documents, none of them without ids. No pair of its symbols is left that occurs `least` times."""
+    seq = np.concatenate(docs).astype(np.uint32)
     base = int(seq.max()) + 1
-    # Pairs of 16-bit symbols fit into 32 bits, which are sorted and looked up in half the time.
-    half, odd = (16, 0x9E3779B1) if base + rules * rounds <= 1 << 16 else (32, 0x9E3779B97F4A7C15)
-    pair_kind = np.uint32 if half == 16 else np.uint64
-    seq = seq.astype(pair_kind)
     last = np.zeros(len(seq), bool)
     last[np.cumsum([len(d) for d in docs]) - 1] = True
     left, right, length = [], [], np.ones(0, np.int64)
     after = []
-    shift = pair_kind(half)
-    for _ in range(rounds):
-        if len(seq) < 2:
+    at = np.flatnonzero(~last)  # places whose pair may be frequent: a pair elsewhere is as rare as it was, or a document's end
+    while len(at):
+        # Pairs of 16-bit symbols fit into 32 bits, which are sorted and looked up in half the time.
+        half, odd = (16, 0x9E3779B1) if base + len(left) <= 1 << 16 else (32, 0x9E3779B97F4A7C15)
+        pair_kind = np.uint32 if half == 16 else np.uint64
+        shift = pair_kind(half)
+        code = (seq[at].astype(pair_kind) << shift) | seq[at + 1].astype(pair_kind)
+        pairs = _frequent(code, at, least)
+        if not len(pairs):
             break
-        code = (seq[:-1] << shift) | seq[1:]
-        code[last[:-1]] = 0  # (0, 0) as a pair is never replaced
-        ordered = np.sort(code)
-        edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        count = np.diff(np.r_[edge, len(ordered)])
-        often = np.flatnonzero((count >= least) & (ordered[edge] != 0))
-        if not len(often):
-            break
-        often = often[np.argsort(-count[often], kind="stable")[:rules]]
-        pairs = ordered[edge[often]]
         slot = lambda c: (c * pair_kind(odd)) >> pair_kind(2 * half - _SLOTS)
+        none = len(pairs)
         table = np.zeros(1 << _SLOTS, pair_kind)
-        rank_of = np.full(1 << _SLOTS, len(pairs), np.int32)
-        table[slot(pairs[::-1])] = pairs[::-1]  # of two pairs in a slot the more frequent stays
-        rank_of[slot(pairs[::-1])] = np.arange(len(pairs))[::-1]
-        at = slot(code)
-        rank = np.where(table[at] == code, rank_of[at], len(pairs)).astype(np.int32)
-        none = np.int32(len(pairs))
-        before = np.r_[none + 1, rank[:-1]]
-        following = np.r_[rank[1:], none]
-        pick = np.flatnonzero((rank < none) & (rank < before) & (rank <= following))
-        used = np.bincount(rank[pick], minlength=len(pairs))
-        pick = pick[used[rank[pick]] >= 3]
-        if not len(pick):
-            break
-        chosen = np.flatnonzero(used >= 3)
-        number = np.zeros(len(pairs), np.int64)
-        number[chosen] = len(left) + np.arange(len(chosen))
+        rank_of = np.full(1 << _SLOTS, none, np.int32)
+        table[slot(pairs[::-1])] = pairs[::-1]  # of two pairs in a slot the more frequent stays, the other waits for the next round
+        rank_of[slot(pairs[::-1])] = np.arange(none, dtype=np.int32)[::-1]
+        near = slot(code)
+        known = np.flatnonzero(table[near] == code)
+        known = known[rank_of[near[known]] < none]
+        spot, rank = at[known], rank_of[near[known]]
+        # In a run of one pair, which overlaps itself, every second one stands for all.
+        joined = np.r_[False, spot[1:] == spot[:-1] + 1]
+        place = np.arange(len(spot))
+        begins = np.maximum.accumulate(np.where(joined & np.r_[False, rank[1:] == rank[:-1]], 0, place))
+        before = np.where(joined, np.r_[none, rank[:-1]], none)
+        before[place > begins] = none
+        following = np.where(np.r_[joined[1:], False], np.r_[rank[1:], none], none)
+        won = ((place - begins) % 2 == 0) & (rank < before) & (rank <= following)
+        used = np.bincount(rank[won], minlength=none)
+        chosen = used >= min(3, least)
+        won &= chosen[rank]
+        pick = spot[won]
+        number = np.cumsum(chosen) - 1 + len(left)
         first, second = (pairs[chosen] >> shift).astype(np.int64), (pairs[chosen] & pair_kind((1 << half) - 1)).astype(np.int64)
         span = lambda s: np.where(s < base, 1, length[np.maximum(s - base, 0)] if len(length) else 1)
         length = np.r_[length, span(first) + span(second)]
         left += first.tolist()
         right += second.tolist()
         after.append(len(left))
-        seq[pick] = (base + number[rank[pick]]).astype(pair_kind)
+        seq[pick] = (base + number[rank[won]]).astype(np.uint32)
         last[pick] = last[pick + 1]
+        # Next come the places that lost or waited, and those beside a new symbol: all others' pairs are rare and stay so.
+        wanted = np.zeros(len(seq), bool)
+        in_order = np.sort(pairs)
+        frequent = in_order[np.minimum(np.searchsorted(in_order, code), none - 1)] == code
+        wanted[at[frequent]] = True
+        wanted[pick] = True
         stay = np.ones(len(seq), bool)
         stay[pick + 1] = False
-        seq, last = seq[stay], last[stay]
+        fresh = np.zeros(len(seq), bool)
+        fresh[pick] = True
+        seq, last, wanted, fresh = seq[stay], last[stay], wanted[stay], fresh[stay]
+        wanted[:-1] |= fresh[1:]
+        at = np.flatnonzero(wanted & ~last)
     ends = np.flatnonzero(last)
     sizes = np.diff(np.r_[-1, ends])
     width = 2 if base + len(left) <= 1 << 16 else 4
@@ -240,17 +266,17 @@ class Block:
         self.first = np.r_[0, np.cumsum(self.sizes)]
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
-        """The latest rules first: a rule's symbols are older than itself."""
-        for lo in [*self.after[-2::-1], 0] if self.after else []:
-            is_rule = seq >= self.base + lo
-            if is_rule.any():
-                n = 1 + is_rule
-                out = np.repeat(seq, n)
-                at = (np.cumsum(n) - n)[is_rule]
-                rule = seq[is_rule] - self.base
-                out[at], out[at + 1] = self.left[rule], self.right[rule]
-                seq = out
-        return seq
+        """Each symbol's place in the result is known from the lengths, so only what is still a rule is taken up again."""
+        n = self.spans(seq)
+        at = np.cumsum(n) - n
+        out = np.empty(int(n.sum()), np.int64)
+        while len(seq):
+            plain = seq < self.base
+            out[at[plain]] = seq[plain]
+            rule, at = seq[~plain] - self.base, at[~plain]
+            seq = np.concatenate([self.left[rule], self.right[rule]])
+            at = np.concatenate([at, at + self.spans(self.left[rule])])
+        return out
 
     def spans(self, seq: np.ndarray) -> np.ndarray:
         return np.where(seq < self.base, 1, self.length[np.maximum(seq - self.base, 0)] if len(self.length) else 1)

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -29,6 +30,33 @@ def test_round_trip_and_random_access(largest):
         assert (block.tokens(k, a, b) == docs[k][a:b]).all()
 
 
+def frequent(block):
+    """The most occurrences, none overlapping another, of one pair of a block's symbols."""
+    n = Counter()
+    for a, b in zip(block.first, block.first[1:], strict=False):
+        seq, taken = block.seq[a:b].tolist(), {}
+        for i, pair in enumerate(zip(seq, seq[1:], strict=False)):
+            if taken.get(pair) != i - 1:
+                taken[pair] = i
+                n[pair] += 1
+    return max(n.values(), default=0)
+
+
+def test_no_frequent_pair_is_left():
+    rnd = random.Random(4)
+    passage = [rnd.randrange(3, 50000) for _ in range(1000)]
+    copies = [np.array([*passage, 2], np.uint32)] * 300
+    mixed = [np.array([rnd.choice([0, 1, 1, 3]) for _ in range(rnd.randint(1, 300))] + [2], np.uint32) for _ in range(200)]
+    runs = [np.array([k] * n + [2], np.uint32) for k in (0, 7) for n in (1, 13, 5000)]
+    for docs in (copies, mixed, runs, copies + mixed + runs):
+        block = token_store.Block(token_store.compress(docs))
+        assert frequent(block) < token_store.LEAST
+        assert all((a == b).all() for a, b in zip(block.all(), docs, strict=True))
+    block = token_store.Block(token_store.compress(copies))
+    assert len(block.seq) <= 2 * len(copies) and block.length.max() >= 1000
+    assert (block.tokens(299, 400, 900) == passage[400:900]).all()
+
+
 def test_encoder_equals_library():
     texts = ["", " ", "a  b", "it's a 'dog' \n\n x", " lead", "trail ", "x y z", "a\tb c\r\n d", "don't  stop\n now", "é è 12 3.4 <|endoftext|> q", "日本 語", "a   b", "\x1c a", "a\x85 b", "\nx", "x\n", "a\nb c.\nD e", "a \nb", "a\n b", "a\n\nb c", "x ab. ab, ab .. ., é. 1. a1, 's. it's, d. y"] * 2
     plain = Tokenizer.from_file(PATH)
