@@ -34,3 +34,19 @@ def test_query(spark, sf_dir, db, name):
     want = [dict(zip(columns, r, strict=True)) for r in result.fetchall()]
     order = sorted(columns)
     assert sorted([shown(r[c]) for c in order] for r in got) == sorted([shown(r[c]) for c in order] for r in want)
+
+
+def test_queries_of_whole_tables(spark, sf_dir, db):
+    run = lambda name: [tuple(r) for r in QUERIES[name].run(spark, sf_dir).collect()]
+    one = lambda sql: db.execute(sql).fetchone()[0]
+    orders = one("SELECT count(*) FROM orders")
+    assert len(run("scalar_cast")) == one("SELECT count(*) FROM lineitem")
+    assert len(run("projection_include")) == orders
+    assert {a for a, _ in run("join_nullsafe")} == {k for (k,) in db.execute("SELECT o_orderkey FROM orders").fetchall()}
+    assert len(run("pred_script")) == one("SELECT count(*) FROM orders WHERE o_totalprice > 250000 AND o_totalprice < 400000")
+    assert 0 in {r.n for r in QUERIES["date_histogram_gaps"].run(spark, sf_dir).collect()}
+    assert sum(r.n for r in QUERIES["date_histogram_gaps"].run(spark, sf_dir).collect()) == one("SELECT count(*) FROM events WHERE event_type = 'error' AND value > 150")
+    # In order: the third of the rows without a price stands last.
+    ordered = [k for (k,) in run("order_nulls_last")]
+    assert ordered == [k for (k,) in db.execute(QUERIES["order_nulls_last"].oracle()).fetchall()]
+    assert len(ordered) == orders and all(k % 3 == 0 for k in ordered[-(orders // 3) :])
