@@ -43,7 +43,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = spark.createDataFrame(URL_LISTS, "kind string, name string, category string, action string, entry_date string").withColumn("entry_date", F.to_date("entry_date"))
     fetched = F.date_add(F.to_date(F.lit(URL_EPOCH)), F.pmod(F.col("page_id"), F.lit(URL_DAYS)).cast("int"))
     captures = _table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
-    return url_filter.url_filter(captures, entries)
+    return url_filter.url_filter(captures, entries, max_host=None)
 
 
 #: A tokenizer file of the tokenizers library; public_tokenizers names the installed one.

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Up to so many interval rows the list is broadcast (some 100 bytes each); beyond, it is joined with salt.
 BROADCAST_ROWS, SALT = 200_000, 16
-#: RFC 1035 and common URL limits: longer hosts are not valid, deeper paths are matched by their first segments.
-MAX_HOST, MAX_SEGMENTS = 253, 8
+#: RFC 1035: longer hosts are not valid names, and by default have no host; None keeps them.
+MAX_HOST = 253
 
 
 def intervals(entries: DataFrame, first_year, last_year) -> DataFrame:
@@ -34,53 +34,58 @@ def intervals(entries: DataFrame, first_year, last_year) -> DataFrame:
     )
 
 
-def host_of(url):
-    """Lower-case host without user, port and final dot; empty where there is none."""
+def host_of(url, max_host: int | None = MAX_HOST):
+    """Lower-case host without user, port and final dot; empty where there is none or it is longer than max_host."""
     host = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)
     host = F.regexp_replace(F.lower(host), r"\.$", "")
-    return F.when(F.length(host) <= MAX_HOST, host).otherwise(F.lit(""))
+    return host if max_host is None else F.when(F.length(host) <= max_host, host).otherwise(F.lit(""))
 
 
 def path_of(url):
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def _keys(host, path):
-    """Every (kind, name) that could list a URL: at most 127 domains and MAX_SEGMENTS prefixes."""
+def _keys(host, path, n_labels: int, n_segments: int):
+    """Every (kind, name) that could list a URL, where no listed domain has more than n_labels and no prefix more than n_segments."""
     labels = F.split(host, r"\.")
     some = host != ""
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels) - i + 1), ".").alias("name")))
-    segments = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, MAX_SEGMENTS)
+    last = F.slice(labels, F.greatest(F.size(labels) - n_labels + 1, F.lit(1)), n_labels)
+    domains = F.transform(F.sequence(F.lit(1), F.size(last)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(last, i, F.size(last) - i + 1), ".").alias("name")))
+    segments = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, n_segments)
     deep = F.sequence(F.lit(0), F.size(segments))
     prefixes = F.transform(deep, lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, i), "/")).alias("name")))
     own = F.array(F.struct(F.lit("host").alias("kind"), host.alias("name")))
     return F.when(some, F.concat(own, domains, prefixes))
 
 
-def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at", broadcast_rows: int = BROADCAST_ROWS, max_host: int | None = MAX_HOST) -> DataFrame:
     """One row for each capture: id, host, blocked, list_kind, list_name, category, since, n_active.
 
     The most specific active entry is reported (prefix before host before domain, then the longest name, then the
     smallest category); n_active counts all. Captures with a null or hostless URL or a null time match nothing
     and stay, unblocked; repeated rows are kept one by one; extra columns are ignored. Prefix names have the form
-    host/segment/... without a final slash (host/ for the whole host) and are compared in lower case.
+    host/segment/... without a final slash (host/ for the whole host) and are compared in lower case. Paths are met
+    down to the deepest listed prefix. A host longer than max_host counts as none; with None all hosts are met.
     """
     rows = captures.select(
         F.monotonically_increasing_id().alias("__row"),
         F.col(f"`{id_col}`").alias("__id"),
-        host_of(F.col(f"`{url_col}`").cast("string")).alias("__host"),
+        host_of(F.col(f"`{url_col}`").cast("string"), max_host).alias("__host"),
         F.lower(path_of(F.col(f"`{url_col}`").cast("string"))).alias("__path"),
         F.col(f"`{time_col}`").cast("date").alias("__at"),
     )
     span = captures.agg(F.min(F.year(F.col(f"`{time_col}`").cast("date"))).alias("a"), F.max(F.year(F.col(f"`{time_col}`").cast("date"))).alias("b")).first()
     listed = intervals(entries, F.lit(span.a if span.a is not None else 1), F.lit(span.b if span.b is not None else 0))
+    # How deep the list goes: names beyond that match nothing. Labels and segments of a name are one more than its dots and slashes.
+    marks = lambda kind, mark: F.coalesce(F.max(F.when(F.col("kind") == kind, F.size(F.split("name", mark)))), F.lit(1))
+    list_of = listed.agg(F.count(F.lit(1)).alias("n"), marks("domain", r"\.").alias("labels"), (marks("prefix", "/") - 1).alias("segments")).first()
     keyed = rows.select(
-        "__row", "__id", "__host", "__at", F.explode_outer(F.when(F.col("__at").isNotNull(), _keys(F.col("__host"), F.col("__path")))).alias("__k")
+        "__row", "__id", "__host", "__at", F.explode_outer(F.when(F.col("__at").isNotNull(), _keys(F.col("__host"), F.col("__path"), list_of.labels, list_of.segments))).alias("__k")
     ).select("__row", "__id", "__host", "__at", F.year("__at").alias("year"), F.col("__k.kind").alias("kind"), F.col("__k.name").alias("name"))
     listed = listed.select(*[F.col(c).alias(f"l_{c}") for c in listed.columns])
     met = (F.col("kind") == F.col("l_kind")) & (F.col("name") == F.col("l_name")) & (F.col("year") == F.col("l_year"))
     met = met & (F.col("l_since") <= F.col("__at")) & (F.col("l_until").isNull() | (F.col("__at") < F.col("l_until")))
-    if listed.count() <= broadcast_rows:
+    if list_of.n <= broadcast_rows:
         joined = keyed.join(F.broadcast(listed), met, "left")
     else:
         # A name that many captures share is spread over SALT tasks, each with a copy of its entries.

@@ -37,3 +37,22 @@ def test_empty(spark):
     assert url_filter.url_filter(captures, entries).collect() == []
     some = spark.createDataFrame(CAPTURES, "page_id long, url string, fetched_at date")
     assert not any(r.blocked for r in url_filter.url_filter(some, entries.limit(0)).collect())
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_deep_prefixes_and_long_hosts(spark, most):
+    deep, labels = "/".join(f"s{i}" for i in range(12)), ".".join(f"l{i}" for i in range(150))
+    entries = [("prefix", f"x.org/{deep}", "deep", "add", date(2024, 1, 1)), ("domain", "net", "tld", "add", date(2024, 1, 1)), ("domain", f"{labels}.org", "long", "add", date(2024, 1, 1))]
+    urls = {1: f"http://x.org/{deep}", 2: f"http://x.org//{deep}/more?q", 3: f"http://x.org/{deep}x", 4: "http://" + "a." * 200 + "net/", 5: f"http://a.b.{labels}.org/", 6: f"http://{labels[3:]}.org/"}
+    captures = spark.createDataFrame([(i, u, date(2024, 2, 2)) for i, u in urls.items()], "page_id long, url string, fetched_at date")
+    entries = spark.createDataFrame(entries, "kind string, name string, category string, action string, entry_date date")
+    got = {r.page_id: r.category for r in url_filter.url_filter(captures, entries, broadcast_rows=most, max_host=None).collect()}
+    assert got == {1: "deep", 2: "deep", 3: None, 4: "tld", 5: "long", 6: None}
+
+
+def test_query_keeps_long_hosts(spark, tmp_path):
+    from docsql.llm.queries import op2_url_filter
+
+    spark.createDataFrame([(40, "http://" + "a." * 200 + "example.org/")], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    [row] = op2_url_filter(spark, str(tmp_path)).collect()
+    assert len(row.host) > 400 and row.blocked and row.list_name == "example.org"
