@@ -209,28 +209,40 @@ def _hex(col: str):
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
-def _printed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _printed(df: DataFrame, id_col: str, text_col: str, digest: bool = False) -> DataFrame:
+    """id, fp and, if asked for, the text's digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1)).view(np.int64))], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1)).view(np.int64)), *batch.columns[2:]], [id_col, "fp", "digest"][: batch.num_columns])
+
+    text = F.col(f"`{text_col}`").cast("string")
+    slim = df.select(F.col(f"`{id_col}`").alias("__id"), text.alias("__text"), *[_digest(text).alias("__digest")] * digest)
+    return materialize(slim.mapInArrow(tidied(run), f"{field_ddl(df, id_col)}, fp long{', digest binary' * digest}"), "fingerprints")
+
 
-    slim = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    return materialize(slim.mapInArrow(tidied(run), f"{field_ddl(df, id_col)}, fp long"), "fingerprints")
+def _digest(text):
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def _components(printed: DataFrame, id_col: str) -> DataFrame:
-    """fp, component_id."""
+    """fp, root (of the component), component_id."""
     classes = materialize(printed.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least")), "classes")
     roots = connected_components(near_links(classes)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of simhash(): a row with its smallest id; df's columns."""
-    printed = _printed(df, id_col, text_col)
-    stay = printed.join(_components(printed, id_col), "fp").filter(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))
-    stay = stay.groupBy("component_id").agg(F.lit(1).alias("__one")).withColumnRenamed("component_id", "__stay")
-    kept = df.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__stay"))).select(*[F.col(f"`{c}`") for c in df.columns])
-    return kept.dropDuplicates([id_col])
+    """One row of each component of simhash(): a row with its smallest id (null if it has none); df's columns.
+
+    Components may share that id. Of a component's rows with it the one with the least digest stays, so an id and
+    a digest name a component: equal texts are in one. Of rows equal in both an arbitrary one stays.
+    """
+    printed = _printed(df, id_col, text_col, digest=True)
+    mine = printed.join(_components(printed, id_col), "fp").filter(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))
+    stay = mine.groupBy("root").agg(F.first("component_id").alias("__stay"), F.min("digest").alias("__of")).select("__stay", "__of")
+    kept = df.withColumn("__digest", _digest(F.col(f"`{text_col}`").cast("string")))
+    kept = kept.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__stay")) & F.col("__digest").eqNullSafe(F.col("__of")))
+    return kept.dropDuplicates([id_col, "__digest"]).select(*[F.col(f"`{c}`") for c in df.columns])

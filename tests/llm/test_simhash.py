@@ -93,3 +93,15 @@ def test_components(spark):
 
 def test_empty(spark):
     assert simhash.simhash(spark.createDataFrame([], COLUMNS)).collect() == []
+
+
+def test_one_row_of_each_component(spark):
+    rnd = random.Random(8)
+    line = lambda: " ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") * 3 + str(rnd.randrange(99)) for _ in range(60))
+    a, b, c, d, e, f = (line() for _ in range(6))
+    rows = [(None, a), (None, a), (None, b), (None, c), (4, c), (7, d), (7, d), (7, e), (9, d), (9, f), (None, None), (None, ""), (3, a.upper()), (None, "  ")]
+    root = smallest(prints := list({fingerprint(t) for _, t in rows}), [(x, y) for x, y in combinations(prints, 2) if (x ^ y).bit_count() <= 2])
+    assert len(set(root.values())) == 7
+    wide = spark.createDataFrame([(i, t, "", "", 0, 0, "", "") for i, t in rows], COLUMNS).repartition(3)
+    kept = sorted(((r.doc_id, (r.text or "").strip().lower()) for r in simhash.deduplicate(wide).collect()), key=str)
+    assert kept == sorted([(3, a), (None, b), (4, c), (7, d), (7, e), (9, f), (None, "")], key=str)
