@@ -1,6 +1,6 @@
 """License scans by canonical digest: whole texts are normalised and hash-joined to known licence digests.
 
-DataFrame operations only. Normalisation, in this order: null to empty; lower case; copyright lines go; spellings
+DataFrame operations only. Normalisation, in this order: null to empty; lower case; copyright notices go; spellings
 that licence matching guidelines hold to be equal become one; everything but letters and digits becomes one blank.
 """
 
@@ -67,11 +67,20 @@ Permission is granted to anyone to use this software for any purpose, including
 }
 
 
+# A notice begins its line, up to signs of comments, and has (c), a year or a placeholder; a wrapped
+# clause ("copyright notice and ...", "(c) the ...") has none. It ends with the line, or where a licence begins in it.
+_YEAR, _NAMED = r"\b(?:19|20)[0-9]{2}\b", r"[ \t]+(?:notices?|holders?|owners?|laws?|licen[cs]es?|statements?)\b"
+NOTICE = (
+    rf"(?m)^[^a-z0-9\n(©]*(?:copyright[ \t]*(?:\(c\)|©|[<\[{{])|copyright(?!{_NAMED})[^\r\n]*?{_YEAR}|\(c\)[ \t]*(?:copyright|{_YEAR}|[<\[{{])|©)"
+    r"[^\r\n]*?(?=\b(?:permission (?:is|to)|redistribution and use|(?:licensed|released) under|this (?:software|work) is)\b|[\r\n]|\z)"
+)
+
+
 def canonical(text):
     """The canonical form of a text column."""
     out = F.lower(F.coalesce(text.cast("string"), F.lit("")))
     has_line = out.contains("copyright") | out.contains("(c)") | out.contains("©")
-    out = F.when(has_line, F.regexp_replace(out, r"(?m)^[^a-z0-9\n(©]*(?:copyright|\(c\)|©)[^\n]*$", " ")).otherwise(out)
+    out = F.when(has_line, F.regexp_replace(out, NOTICE, " ")).otherwise(out)
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))

@@ -26,3 +26,17 @@ def test_odd_and_empty_tables(spark):
     assert license_scan.license_scan(table(spark, documents()), known).count() == len(documents())
     assert license_scan.license_scan(spark.createDataFrame([], COLUMNS), known).collect() == []
     assert not any(r.is_license for r in license_scan.license_scan(table(spark, documents()), known.limit(0)).collect())
+
+
+def test_wrapped_lines_and_notices(spark):
+    isc, mit, bsd = (license_scan.KNOWN[k] for k in ("ISC", "MIT", "0BSD"))
+    wrapped = isc.replace("provided that the above copyright", "provided that the above\ncopyright")
+    texts = {
+        1: wrapped, 2: "/*\n * " + wrapped.replace("\n", "\n * ") + "\n */", 3: mit.replace("COPYRIGHT HOLDERS BE", "\nCOPYRIGHT HOLDERS BE"), 4: " ".join(bsd.split()),
+        5: mit.replace("Copyright (c) <year> <copyright holders>", "Copyright (c) Some Authors\r\nCopyright Other, Inc. 2019-2021\r\n(c) 2020 X\r\nCopyright [yyyy] [name]"),
+        6: isc.replace("copyright notice and", "\n(c) notice and"), 7: mit.replace("The above copyright", "The above\rcopyright"), 8: isc.replace("provided that the above copyright notice and", "and"),
+    }
+    docs = spark.createDataFrame([(i, t, "", "", 0, 0, "", "") for i, t in texts.items()], COLUMNS)
+    known = spark.createDataFrame(list(license_scan.KNOWN.items()), "license_id string, text string")
+    found = {r.doc_id: r.license_id for r in license_scan.license_scan(docs, known).collect()}
+    assert found == {1: "ISC", 2: "ISC", 3: "MIT", 4: "0BSD", 5: "MIT", 6: None, 7: "MIT", 8: None}
