@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docsql.llm import decontaminate, exact_dedup, packing, simhash, toxicity
 from docsql.llm.common import materialize
+from docsql.llm.queries import tokenizer_path
 from docsql.shipping import ship
 
 
@@ -37,9 +38,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands: bin and offset."""
+    """Where each piece of each document stands: bin and offset, in ids of op3's tokenizer."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, tokenizer=tokenizer_path())
 
 
 STAGES = [

@@ -10,16 +10,21 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsql.llm.common import ascii_lower, field_ddl, materialize
+from docsql.llm.common import ascii_lower, field_ddl, materialize, slices, tidied
+from docsql.llm.token_store import encoder_for
 
 CAPACITY = 2048
 #: Tokens and rows in a shard, on average: what one task holds.
 SHARD_TOKENS, SHARD_ROWS = 16 << 20, 20_000
+#: Bytes of text encoded at a time to count ids.
+GROUP = 4 << 20
 #: A source with more than this share of a shard has a list of the bins that lack it; others step over their bins.
 HOT = 1 / 32
 
@@ -89,10 +94,24 @@ def pack_shard(items: list[tuple[int, int, int]], capacity: int) -> list[tuple[i
     return out
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def _measured(items: DataFrame, tokenizer: str) -> DataFrame:
+    """__words, a text, becomes its number of ids and one end mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_for(tokenizer)
+        for batch in slices(batches, 1, GROUP):
+            n = np.array([len(ids) + 1 for ids in encoder.encode(batch.column(1))], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), batch.column(2), batch.column(3)], ["__id", "__words", "source", "cluster"])
+
+    return items.mapInArrow(tidied(run), f"{field_ddl(items, '__id')}, __words long, source string, cluster string")
+
+
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """One row for each document and piece: id, piece, n_tokens, bin_id, bin_offset, source, cluster.
 
-    A document's length is its blank-separated words and one end mark, so null and empty texts have length 1.
+    A document's length is the ids that the tokenizer file gives for its whole text, as in token_store, and one end
+    mark; without a tokenizer it is the blank-separated words and the end mark, whatever else separates words. Null
+    and empty texts have length 1.
     Without cluster_col, documents with equal text up to the case of A-Z are one cluster. A null source is a
     source of its own, as is a null cluster a cluster; no two rests in a bin share a source or a cluster. Repeated
     rows are packed one by one. Other columns may have any names; an empty table gives no rows.
@@ -101,9 +120,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     words = F.size(F.filter(F.split(text, " "), lambda w: w != "")) + 1
     cluster = F.col(f"`{cluster_col}`").cast("string") if cluster_col else F.md5(ascii_lower(text).cast("binary"))
     items = df.select(
-        F.col(f"`{id_col}`").alias("__id"), words.cast("long").alias("__words"),
+        F.col(f"`{id_col}`").alias("__id"), (text if tokenizer else words.cast("long")).alias("__words"),
         F.col(f"`{source_col}`").cast("string").alias("source"), cluster.alias("cluster"),
     )
+    if tokenizer:
+        items = _measured(items, tokenizer)
     items = materialize(items.withColumn("__row", F.monotonically_increasing_id()), "lengths")
     total = items.agg(F.coalesce(F.sum("__words"), F.lit(0)).alias("w"), F.count(F.lit(1)).alias("n")).first()
     shards = int(max(1, -(-total.w // SHARD_TOKENS), -(-total.n // SHARD_ROWS)))

@@ -50,12 +50,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def op3_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    if tokenizer is None:
-        import public_tokenizers
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
 
-        tokenizer = public_tokenizers.path(TOKENIZER)
-    return token_store.read_tokens(token_store.write_tokens(_table(spark, sf_dir, "documents"), tokenizer))
+
+def op3_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return token_store.read_tokens(token_store.write_tokens(_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path()))
 
 
 #: The tables hold pages only; each gives a full response and a later revisit, whose fields follow from page_id.
@@ -85,7 +87,7 @@ def op4_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 import random
 from collections import defaultdict
 
+import corpus_pipeline
 from docsql.llm import packing
+from docsql.llm.queries import op5_packing, tokenizer_path
+from tokenizers import Tokenizer
 
 from .data import COLUMNS, documents, table
 
@@ -51,3 +54,25 @@ def test_table(spark):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], COLUMNS)).collect() == []
+
+
+def test_lengths_are_ids(spark):
+    lines, solid, script = "a line\n" * 900, "xyz0" * 50000, "日本語の文章" * 3000
+    rows = [(i, t, "en", f"s{i}", 0, 0, "", "") for i, t in enumerate([lines, "\t".join(["tab"] * 700), solid, script, "", None, "two words"])]
+    path = tokenizer_path()
+    got = packing.pack(table(spark, rows), capacity=512, tokenizer=path).collect()
+    plain, placed, filled, pieces = Tokenizer.from_file(path), defaultdict(int), defaultdict(int), defaultdict(set)
+    for r in got:
+        placed[r.doc_id] += r.n_tokens
+        filled[r.bin_id] += r.n_tokens
+        pieces[r.doc_id].add(r.piece)
+    assert placed == {r[0]: len(plain.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows}
+    assert max(filled.values()) <= 512
+    assert all(len(p) == -(-placed[i] // 512) for i, p in pieces.items()) and all(len(pieces[i]) > 1 for i in range(4))
+
+
+def test_query_counts_ids(spark, tmp_path):
+    table(spark, [(1, "a line\n" * 4000, "en", "s", 0, 0, "", "")]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert op5_packing(spark, str(tmp_path)).count() > 1
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.pack(spark, docs, str(tmp_path)).count() > 1
