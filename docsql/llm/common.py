@@ -67,6 +67,17 @@ def drop(df: DataFrame) -> None:
     _delete(df.sparkSession, df._docsql_path)
 
 
+def written() -> int:
+    """A mark for drop_since()."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, mark: int, but: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes the tables that materialize() has written since the mark, but those given."""
+    for path in [p for p in _written[mark:] if p not in {df._docsql_path for df in but}]:
+        _delete(spark, path)
+
+
 def drop_all(spark: SparkSession, but: tuple[DataFrame, ...] = ()) -> None:
     """Deletes all tables that materialize() wrote in this session, but those given."""
     for path in [p for p in _written if p not in {df._docsql_path for df in but}]:

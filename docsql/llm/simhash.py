@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsql.llm.common import LOWER, field_ddl, groups_of, materialize, shuffle_partitions, slices, text_buffer, tidied
+from docsql.llm.common import LOWER, drop, drop_since, field_ddl, groups_of, materialize, shuffle_partitions, slices, text_buffer, tidied, written
 from docsql.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -222,16 +222,19 @@ def _printed(df: DataFrame, id_col: str, text_col: str, digest: bool = False) ->
 
 
 def _digest(text):
-    return F.unhex(F.md5(text.cast("binary")))
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def _components(printed: DataFrame, id_col: str) -> DataFrame:
     """fp, root (of the component), component_id."""
+    spark, mark = printed.sparkSession, written()
     classes = materialize(printed.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least")), "classes")
     roots = connected_components(near_links(classes)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    found = materialize(rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "components")
+    drop_since(spark, mark, but=(found,))
+    return found
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,8 +244,12 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     a digest name a component: equal texts are in one. Of rows equal in both an arbitrary one stays.
     """
     printed = _printed(df, id_col, text_col, digest=True)
-    mine = printed.join(_components(printed, id_col), "fp").filter(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))
-    stay = mine.groupBy("root").agg(F.first("component_id").alias("__stay"), F.min("digest").alias("__of")).select("__stay", "__of")
-    kept = df.withColumn("__digest", _digest(F.col(f"`{text_col}`").cast("string")))
-    kept = kept.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__stay")) & F.col("__digest").eqNullSafe(F.col("__of")))
-    return kept.dropDuplicates([id_col, "__digest"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    key = lambda i, digest: F.concat(F.coalesce(F.concat(F.lit("i"), i.cast("string")), F.lit("n")), F.lit(":"), F.hex(digest))
+    found = _components(printed, id_col)
+    mine = printed.join(found, "fp").filter(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))
+    stay = materialize(mine.groupBy("root").agg(F.first("component_id").alias("i"), F.min("digest").alias("d")).select(key(F.col("i"), F.col("d")).alias("__near_key")), "stay")
+    drop(printed)
+    drop(found)
+    # Repeats go within each task before the one shuffle of texts, so that no key's rows gather; the join keeps that partitioning.
+    keyed = df.withColumn("__near_key", key(F.col(f"`{id_col}`"), _digest(F.col(f"`{text_col}`").cast("string"))))
+    return keyed.dropDuplicates(["__near_key"]).join(stay, "__near_key", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
