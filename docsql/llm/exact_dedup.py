@@ -8,6 +8,8 @@ bucket's edge (a few rows for each bucket) is merged afterwards.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,9 @@ _PREFIX = 24
 def _splitters(keys: DataFrame, rows: int, buckets: int, seed: int) -> list:
     """At most buckets-1 splitters; the driver gets some SAMPLES rows for each bucket, of fixed width."""
     share = min(1.0, SAMPLES * buckets / max(rows, 1))
-    got = sorted(tuple(r) for r in keys.sample(share, seed).collect())
-    return sorted({got[len(got) * i // buckets] for i in range(1, buckets)}) if got else []
+    order = lambda r: (r[0], r[1], r[2] is not None, r[2])
+    got = sorted((tuple(r) for r in keys.sample(share, seed).collect()), key=order)
+    return sorted({got[len(got) * i // buckets] for i in range(1, buckets)}, key=order) if got else []
 
 
 def _bucket(key, splitters: list, id_type: str):
@@ -30,8 +33,8 @@ def _bucket(key, splitters: list, id_type: str):
     if not splitters:
         return F.lit(0)
     at = lambda acc, lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"), acc["key"].alias("key"))
-    one = lambda s: F.struct(F.lit(s[0]).alias("p"), F.lit(s[1]).alias("h"), F.lit(s[2]).cast(id_type).alias("i"))
-    table = F.array(*[one(s) for s in splitters])
+    # One literal, however many splitters there are; null ids are the smallest, as in the sort.
+    table = F.from_json(F.lit(json.dumps([dict(zip("phi", s, strict=True)) for s in splitters], default=str)), f"array<struct<p: string, h: bigint, i: {id_type}>>")
     steps = F.sequence(F.lit(1), F.lit(len(splitters).bit_length()))
 
     def step(acc, _):
@@ -49,7 +52,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with
     the largest id stays; of repeated rows with that id exactly one stays; a null id counts as smaller than any
-    other. An empty table gives an empty result. Columns of df other than the two named are ignored (or carried)
+    other, whatever the type of ids. An empty table gives an empty result. Columns of df other than the two named are ignored (or carried)
     and may have any names.
     """
     buckets = OVERSPLIT * shuffle_partitions(df.sparkSession)
@@ -61,7 +64,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         text.alias("__text"),
         *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")] if carry else []),
     )
-    key = (F.substring(norm, 1, _PREFIX), F.xxhash64(norm), F.coalesce(F.col("__id"), F.lit(-(2**63)).cast(id_type)))
+    key = (F.substring(norm, 1, _PREFIX), F.xxhash64(norm), F.col("__id"))
     splitters = _splitters(base.select(*key), df.count(), buckets, seed)
     dealt = base.withColumn("__bucket", _bucket(F.struct(*[k.alias(a) for k, a in zip(key, "phi")]), splitters, id_type))
     dealt = dealt.repartition(shuffle_partitions(df.sparkSession), "__bucket")

@@ -1,8 +1,10 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
 from docsql.llm import exact_dedup
 from docsql.llm.common import LOWER
+from pyspark.sql import functions as F
 
 from .data import COLUMNS, documents, table
 
@@ -35,6 +37,22 @@ def test_large_group_over_many_buckets(spark):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("kind", ["int", "smallint", "string"])
+def test_null_ids_of_any_type(spark, kind):
+    rows = [(i if i % 4 else None, ["same", "SAME", "other", None][i % 4 // (1 + i % 2)] or f"own {i % 7}", "en", "s", 0, 0, "", "") for i in range(400)]
+    got = exact_dedup.exact_dedup(table(spark, rows).withColumn("doc_id", F.col("doc_id").cast(kind))).collect()
+    groups = defaultdict(list)
+    for r in rows:
+        groups[hashlib.sha256(norm(r[1])).hexdigest()].append(r[0])
+    order = (lambda i: str(i)) if kind == "string" else (lambda i: i)
+    assert len(got) == len(rows)
+    for r in got:
+        ids = groups[r.text_sha256]
+        keep = max((i for i in ids if i is not None), default=None, key=order)
+        assert (r.keep_id, r.group_size) == (keep if kind != "string" or keep is None else str(keep), len(ids))
+    assert sorted((r.text_sha256, r.doc_id) for r in got if r.kept) == sorted((r.text_sha256, r.keep_id) for r in {r.text_sha256: r for r in got}.values())
+
+
 def test_keeps_whole_rows(spark):
     df = table(spark, documents())
     kept = exact_dedup.deduplicate(df)
