@@ -1,29 +1,31 @@
 """License scans by canonical digest: whole texts are normalised and hash-joined to known licence digests.
 
-DataFrame operations only. Normalisation, in this order: null to empty; lower case; copyright notices go; spellings
-that licence matching guidelines hold to be equal become one; everything but letters and digits becomes one blank.
+DataFrame operations only. Normalisation, in this order: null to empty; lower case; copyright notices go; `&` is `and`;
+everything but letters and digits separates words; whole words (or two) that licence matching guidelines hold to be equal
+become one. Texts without any of these words are not looked at word by word.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Up to so many known digests are broadcast (under 200 bytes each); beyond, the join is shuffled.
 BROADCAST_ROWS = 100_000
 
-# Pairs of spellings that public licence matching guidelines hold to be equal (first -> second).
+# Whole words that public licence matching guidelines hold to be equal (first -> second).
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"),
     ("authorisation", "authorization"), ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"),
     ("capitalisations", "capitalizations"), ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"),
-    ("emphasised", "emphasized"), ("favour", "favor"), ("fulfil ", "fulfill "), ("fulfilment", "fulfillment"),
-    ("initialise", "initialize"), ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"),
-    ("licence", "license"), ("maximise", "maximize"), ("modelled", "modeled"), ("modelling", "modeling"),
-    ("non-commercial", "noncommercial"), ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"),
-    ("organise", "organize"), ("owner", "holder"), ("per cent", "percent"), ("practise", "practice"), ("programme", "program"),
-    ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("sub-license", "sublicense"),
-    ("sub license", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("https://", "http://"), ("&", " and "),
+    ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("emphasised", "emphasized"), ("favour", "favor"),
+    ("favourite", "favorite"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("initialise", "initialize"), ("judgement", "judgment"),
+    ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"), ("licences", "licenses"), ("maximise", "maximize"), ("modelled", "modeled"),
+    ("modelling", "modeling"), ("non commercial", "noncommercial"), ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"),
+    ("organise", "organize"), ("per cent", "percent"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"),
+    ("signalling", "signaling"), ("sub license", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("https", "http"),
 ]
 
 # Short licence notices and short licences, by identifier.
@@ -64,6 +66,57 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
+    "BSD-2-Clause": """BSD 2-Clause License
+
+Copyright (c) <year> <owner>
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """BSD 3-Clause License
+
+Copyright (c) <year> <owner>
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "GPL-3.0-or-later-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
 }
 
 
@@ -76,20 +129,33 @@ NOTICE = (
 )
 
 
-def canonical(text):
-    """The canonical form of a text column."""
-    out = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    has_line = out.contains("copyright") | out.contains("(c)") | out.contains("©")
-    out = F.when(has_line, F.regexp_replace(out, NOTICE, " ")).otherwise(out)
-    for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(out, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+def _any_spelling() -> str:
+    """A pattern for any word to be respelled, by first letters, so that other words are passed over at once."""
+    by_letter = defaultdict(list)
+    for word, _ in SPELLINGS:
+        by_letter[word[0]].append(word[1:].replace(" ", "  "))
+    return " (?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ") "
+
+
+def _canonical(df: DataFrame, text) -> DataFrame:
+    """df with the canonical form of a text column as __form."""
+    low = df.withColumn("__form", F.lower(F.coalesce(text.cast("string"), F.lit(""))))
+    has_line = F.col("__form").contains("copyright") | F.col("__form").contains("(c)") | F.col("__form").contains("©")
+    bare = low.withColumn("__form", F.when(has_line, F.regexp_replace("__form", NOTICE, " ")).otherwise(F.col("__form")))
+    # Each word has a blank of its own on both sides, so that a word is replaced whole, whatever stands beside it.
+    apart = F.regexp_replace(F.replace(F.col("__form"), F.lit("&"), F.lit(" and ")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  ")
+    spaced = bare.withColumn("__form", F.concat(F.lit(" "), apart, F.lit(" ")))
+    spelled = F.col("__form")
+    for word, other in SPELLINGS:
+        spelled = F.replace(spelled, F.lit(f" {word} ".replace(" ", "  ")[1:-1]), F.lit(f" {other} ".replace(" ", "  ")[1:-1]))
+    some = spaced.withColumn("__form", F.when(F.col("__form").rlike(_any_spelling()), spelled).otherwise(F.col("__form")))
+    return some.withColumn("__form", F.trim(F.replace(F.col("__form"), F.lit("  "), F.lit(" "))))
 
 
 def known_digests(known: DataFrame) -> DataFrame:
     """license_id and digest of each known text; of equal digests the smallest id stays; void and empty texts go."""
-    form = known.select("license_id", canonical(F.col("text")).alias("form")).filter("license_id is not null and form <> ''")
-    return form.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    form = _canonical(known.select("license_id", F.col("text").alias("__text")), F.col("__text")).filter("license_id is not null and __form <> ''")
+    return form.groupBy(F.sha2("__form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def license_scan(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -99,8 +165,9 @@ def license_scan(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text_c
     one; extra columns are ignored. known: license_id, text. A digest is looked up in a broadcast table while
     there are at most broadcast_rows known digests, else by a shuffled join in which Spark splits hot digests.
     """
-    rows = df.select(F.col(f"`{id_col}`"), F.sha2(canonical(F.col(f"`{text_col}`")), 256).alias("digest"))
+    slim = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    rows = _canonical(slim, F.col("__text")).select("__id", F.sha2("__form", 256).alias("digest"))
     digests = known_digests(known)
     small = known.count() <= broadcast_rows
     found = rows.join(F.broadcast(digests) if small else digests, "digest", "left")
-    return found.select(F.col(f"`{id_col}`"), "digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))
+    return found.select(F.col("__id").alias(id_col), "digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))

@@ -43,7 +43,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = spark.createDataFrame(URL_LISTS, "kind string, name string, category string, action string, entry_date string").withColumn("entry_date", F.to_date("entry_date"))
     fetched = F.date_add(F.to_date(F.lit(URL_EPOCH)), F.pmod(F.col("page_id"), F.lit(URL_DAYS)).cast("int"))
     captures = _table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
-    return url_filter.url_filter(captures, entries, max_host=None)
+    return url_filter.url_filter(captures, entries)
 
 
 #: A tokenizer file of the tokenizers library; public_tokenizers names the installed one.
@@ -142,7 +142,7 @@ def _quoted(s: str) -> str:
 
 def _op2_sql() -> str:
     entries = ", ".join(f"({_quoted(k)}, {_quoted(n)}, {_quoted(c)}, {_quoted(a)}, DATE {_quoted(d)})" for k, n, c, a, d in URL_LISTS)
-    host = r"regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)), '\.$', '')"
+    host = r"regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)', 1)), '\.$', '')"
     path = r"lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1))"
     return f"""
 WITH entries(kind, name, category, action, entry_date) AS (VALUES {entries}),
@@ -173,9 +173,11 @@ FROM caps c LEFT JOIN met m ON m.page_id = c.page_id AND m.rn = 1
 def _canonical_sql(text: str) -> str:
     out = f"lower(coalesce({text}, ''))"
     out = rf"regexp_replace({out}, '(?m)^[^a-z0-9\n(©]*(?:copyright|\(c\)|©)[^\n]*$', ' ', 'g')"
+    out = rf"' ' || regexp_replace(replace({out}, '&', ' and '), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g') || ' '"
     for a, b in license_scan.SPELLINGS:
+        a, b = (" " + x.replace(" ", "  ") + " " for x in (a, b))
         out = f"replace({out}, {_quoted(a)}, {_quoted(b)})"
-    return rf"trim(regexp_replace({out}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 def _op8_sql() -> str:
@@ -192,9 +194,9 @@ _CANON = r"""
 bare AS (SELECT page_id, url, regexp_replace(regexp_replace(coalesce(url, ''), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?', '') AS b FROM pages),
 parts AS (
   SELECT page_id, url, regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^www\.|:(?:80|443)$', '', 'g') AS host,
-         regexp_replace(regexp_extract(b, '^[^/?]*(/[^?]*)', 1), '(?:\.html)?/*$', '') AS path,
+         regexp_replace(regexp_extract(b, '^[^/?]*(/[^?]*)', 1), '(?:/(?:index|default)\.[a-z]+)?/*$', '') AS path,
          list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'),
-                   lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[a-z]+|ref|fbclid|gclid)(?:=|$)'))) AS q FROM bare),
+                   lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[a-z]+|fbclid|gclid)(?:=|$)'))) AS q FROM bare),
 canon AS (SELECT page_id, url, CASE WHEN host <> '' THEN host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS u FROM parts)
 """
 

@@ -21,13 +21,16 @@ PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "la
 
 
 def canonical_url(url):
-    """Scheme, user, default port, `www.`, fragment, tracking parameters, index suffix and final slash go; host in lower case; the rest of the query is sorted."""
+    """Scheme, user, default port, `www.`, fragment, tracking parameters, index file and final slash go; host in lower case; the rest of the query is sorted.
+
+    Index files are index.* and default.* at the path's end; other names and their suffixes stay.
+    """
     u = F.coalesce(url.cast("string"), F.lit(""))
     bare = F.regexp_replace(F.regexp_replace(u, r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^([^/?]*)", 1)), r"^www\.|:(?:80|443)$", "")
-    path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*(/[^?]*)", 1), r"(?:\.html)?/*$", "")
+    path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*(/[^?]*)", 1), r"(?:/(?:index|default)\.[a-z]+)?/*$", "")
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(r"^(?:utm_[a-z]+|ref|fbclid|gclid)(?:=|$)")))
+    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(r"^(?:utm_[a-z]+|fbclid|gclid)(?:=|$)")))
     full = F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
     return F.when(host != "", full)
 

@@ -13,32 +13,30 @@ from pyspark.sql import functions as F
 
 #: Up to so many interval rows the list is broadcast (some 100 bytes each); beyond, it is joined with salt.
 BROADCAST_ROWS, SALT = 200_000, 16
-#: RFC 1035: longer hosts are not valid names, and by default have no host; None keeps them.
-MAX_HOST = 253
 
 
 def intervals(entries: DataFrame, first_year, last_year) -> DataFrame:
     """Validity intervals (kind, name, category, since, until) with a row for each year they touch, `from` included, `until` not.
 
     entries: kind ('host', 'domain', 'prefix'), name, category, action ('add', 'remove'), entry_date. Of entries
-    with the same kind, name, category and date, a removal wins. Null fields make an entry void.
+    with the same kind, name (in lower case), category and date, a removal wins. Null fields and other actions make
+    an entry void.
     """
-    once = entries.dropna(subset=["kind", "name", "category", "action", "entry_date"]).groupBy("kind", "name", "category", "entry_date").agg(F.max("action").alias("action"))
+    once = entries.dropna(subset=["kind", "name", "category", "entry_date"]).filter(F.col("action").isin("add", "remove")).withColumn("name", F.lower("name")).groupBy("kind", "name", "category", "entry_date").agg(F.max("action").alias("action"))
     order = Window.partitionBy("kind", "name", "category").orderBy("entry_date")
     return (
         once.withColumn("until", F.lead("entry_date").over(order))
         .filter(F.col("action") == "add")
         .withColumn("year", F.explode(F.sequence(F.greatest(F.year("entry_date"), first_year), F.greatest(F.least(F.coalesce(F.year("until"), last_year), last_year), F.greatest(F.year("entry_date"), first_year)))))
         .filter(F.col("year") <= last_year)
-        .select("kind", F.lower("name").alias("name"), "category", F.col("entry_date").alias("since"), "until", "year")
+        .select("kind", "name", "category", F.col("entry_date").alias("since"), "until", "year")
     )
 
 
-def host_of(url, max_host: int | None = MAX_HOST):
-    """Lower-case host without user, port and final dot; empty where there is none or it is longer than max_host."""
-    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)
-    host = F.regexp_replace(F.lower(host), r"\.$", "")
-    return host if max_host is None else F.when(F.length(host) <= max_host, host).otherwise(F.lit(""))
+def host_of(url):
+    """Lower-case host without user, port and final dot, an IPv6 address in its brackets; empty where there is none."""
+    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)", 1)
+    return F.regexp_replace(F.lower(host), r"\.$", "")
 
 
 def path_of(url):
@@ -58,19 +56,19 @@ def _keys(host, path, n_labels: int, n_segments: int):
     return F.when(some, F.concat(own, domains, prefixes))
 
 
-def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at", broadcast_rows: int = BROADCAST_ROWS, max_host: int | None = MAX_HOST) -> DataFrame:
+def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each capture: id, host, blocked, list_kind, list_name, category, since, n_active.
 
     The most specific active entry is reported (prefix before host before domain, then the longest name, then the
     smallest category); n_active counts all. Captures with a null or hostless URL or a null time match nothing
     and stay, unblocked; repeated rows are kept one by one; extra columns are ignored. Prefix names have the form
     host/segment/... without a final slash (host/ for the whole host) and are compared in lower case. Paths are met
-    down to the deepest listed prefix. A host longer than max_host counts as none; with None all hosts are met.
+    down to the deepest listed prefix, hosts of any length and IPv6 addresses (in brackets, listed so too) are met.
     """
     rows = captures.select(
         F.monotonically_increasing_id().alias("__row"),
         F.col(f"`{id_col}`").alias("__id"),
-        host_of(F.col(f"`{url_col}`").cast("string"), max_host).alias("__host"),
+        host_of(F.col(f"`{url_col}`").cast("string")).alias("__host"),
         F.lower(path_of(F.col(f"`{url_col}`").cast("string"))).alias("__path"),
         F.col(f"`{time_col}`").cast("date").alias("__at"),
     )

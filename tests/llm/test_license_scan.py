@@ -21,6 +21,36 @@ def test_variants_match(spark, most):
     assert all(r.is_license == (r.license_id is not None) for r in got)
 
 
+def test_whole_words_only(spark):
+    mit = license_scan.KNOWN["MIT"]
+    texts = {
+        1: "This is for programmers.", 2: "This is for programrs.", 3: "licence licence licence, sub-licence & non-commercial", 4: "license license license sub license and noncommercial",
+        5: "the owners", 6: "the holders", 7: "licenced", 8: "licensed", 9: mit.replace("distribute, sublicense", "distribute, sub license"), 10: "A" * 300000 + " licence", 11: "a" * 300000 + "\nLicense",
+        12: license_scan.KNOWN["BSD-3-Clause"].replace("copyright holder nor", "copyright owner nor"), 13: license_scan.KNOWN["Apache-2.0-header"].replace("http:", "https:").replace("\n", "\n# "),
+    }
+    docs = spark.createDataFrame([(i, t, "", "", 0, 0, "", "") for i, t in texts.items()] * 2, COLUMNS)
+    known = spark.createDataFrame(list(license_scan.KNOWN.items()), "license_id string, text string")
+    got = license_scan.license_scan(docs, known).collect()
+    digest, found = {r.doc_id: r.digest for r in got}, {r.doc_id: r.license_id for r in got}
+    assert len(got) == 2 * len(texts) and len({(r.doc_id, r.digest) for r in got}) == len(texts)
+    assert digest[1] != digest[2] and digest[5] != digest[6] and digest[7] != digest[8]
+    assert digest[3] == digest[4] and digest[10] == digest[11]
+    assert (found[9], found[12], found[13]) == ("MIT", "BSD-3-Clause", "Apache-2.0-header")
+
+
+def test_query_equals_sql_where_texts_match(spark, tmp_path):
+    import duckdb
+    from docsql.llm.queries import oracle_sql, queries
+
+    texts = [*license_scan.KNOWN.values(), "Released under the MIT Licence", "none", None, "", "whilst & sub-licence https://x"]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in queries()["op8_license_scan"](spark, str(tmp_path)).select("doc_id", "digest", "license_id", "is_license").collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(db.execute(f"SELECT doc_id, digest, license_id, is_license FROM ({oracle_sql()['op8_license_scan']})").fetchall())
+    assert got == want and sum(r[3] for r in got) == len(license_scan.KNOWN) + 1
+
+
 def test_odd_and_empty_tables(spark):
     known = spark.createDataFrame(list(license_scan.KNOWN.items()), "license_id string, text string")
     assert license_scan.license_scan(table(spark, documents()), known).count() == len(documents())

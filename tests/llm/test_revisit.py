@@ -56,10 +56,10 @@ def test_one_hot_url_over_many_tasks(spark):
 
 
 def test_canonical_urls(spark):
-    same = ["http://www.Example.com/a.html", "https://u@example.com:443/a/?utm_source=x#top", "http://example.com/a?ref=q"]
-    rows = spark.createDataFrame([(u,) for u in [*same, "http://example.com/a?b=2&a=1", "http://example.com/a?a=1&b=2", "", None]], "u string")
+    same = ["http://www.Example.com/a/index.html", "https://u@example.com:443/a/?utm_source=x#top", "http://example.com/a?gclid=q"]
+    rows = spark.createDataFrame([(u,) for u in [*same, "http://example.com/a?b=2&a=1", "http://example.com/a?a=1&b=2", "", None, "http://example.com/a.html", "http://example.com/a?ref=q", "http://example.com/index.php", "http://example.com/myindex.html"]], "u string")
     got = [r[0] for r in rows.select(revisit.canonical_url(rows.u)).collect()]
-    assert got == ["example.com/a"] * 3 + ["example.com/a?a=1&b=2"] * 2 + [None, None]
+    assert got == ["example.com/a"] * 3 + ["example.com/a?a=1&b=2"] * 2 + [None, None, "example.com/a.html", "example.com/a?ref=q", "example.com", "example.com/myindex.html"]
 
 
 def test_empty(spark):

@@ -16,7 +16,7 @@ CAPTURES = [
 ]
 WANT = {
     1: ("prefix", "a.example.com/x/y", 3), 2: ("host", "a.example.com", 2), 3: ("domain", "example.com", 1), 4: ("host", "a.example.com", 2), 5: None, 6: None, 7: None, 8: None,
-    9: ("prefix", "b.example.org/", 1), 10: None, 11: ("domain", "example.com", 1), 12: None, 13: ("domain", "net", 1), None: ("domain", "net", 1),
+    9: ("prefix", "b.example.org/", 1), 10: None, 11: ("domain", "example.com", 1), 12: ("domain", "net", 1), 13: ("domain", "net", 1), None: ("domain", "net", 1),
 }
 
 
@@ -46,10 +46,25 @@ def test_deep_prefixes_and_long_hosts(spark, most):
     urls = {1: f"http://x.org/{deep}", 2: f"http://x.org//{deep}/more?q", 3: f"http://x.org/{deep}x", 4: "http://" + "a." * 200 + "net/", 5: f"http://a.b.{labels}.org/", 6: f"http://{labels[3:]}.org/"}
     captures = spark.createDataFrame([(i, u, date(2024, 2, 2)) for i, u in urls.items()], "page_id long, url string, fetched_at date")
     entries = spark.createDataFrame(entries, "kind string, name string, category string, action string, entry_date date")
-    got = {r.page_id: r.category for r in url_filter.url_filter(captures, entries, broadcast_rows=most, max_host=None).collect()}
+    got = {r.page_id: r.category for r in url_filter.url_filter(captures, entries, broadcast_rows=most).collect()}
     assert got == {1: "deep", 2: "deep", 3: None, 4: "tld", 5: "long", 6: None}
 
 
+@pytest.mark.parametrize("most", [1000, 0])
+def test_letter_case_addresses_and_actions(spark, most):
+    entries = [
+        ("host", "A.com", "adult", "add", date(2024, 1, 1)), ("host", "a.com", "adult", "remove", date(2024, 2, 1)), ("host", "a.com", "adult", "suspend", date(2024, 3, 1)),
+        ("host", "b.com", "adult", "add", date(2024, 1, 1)), ("host", "B.COM", "adult", "add", date(2024, 1, 1)), ("host", "b.com", "adult", "review", date(2024, 1, 5)),
+        ("host", "[::1]", "local", "add", date(2024, 1, 1)), ("prefix", "[2001:DB8::2]/x", "trap", "add", date(2024, 1, 1)),
+    ]
+    urls = {1: "http://a.com/", 2: "http://A.COM:80/x", 3: "http://b.com", 4: "http://u@[::1]:8080/q", 5: "https://[2001:db8::2]/X/y", 6: "http://[::2]/"}
+    when = {1: date(2024, 1, 31), 2: date(2024, 2, 1)}
+    captures = spark.createDataFrame([(i, u, when.get(i, date(2024, 3, 3))) for i, u in urls.items()], "page_id long, url string, fetched_at date")
+    entries = spark.createDataFrame(entries, "kind string, name string, category string, action string, entry_date date")
+    got = {r.page_id: (r.host, r.category, r.n_active) for r in url_filter.url_filter(captures, entries, broadcast_rows=most).collect()}
+    assert got == {1: ("a.com", "adult", 1), 2: ("a.com", None, 0), 3: ("b.com", "adult", 1), 4: ("[::1]", "local", 1), 5: ("[2001:db8::2]", "trap", 1), 6: ("[::2]", None, 0)}
+
+
 def test_query_keeps_long_hosts(spark, tmp_path):
     from docsql.llm.queries import op2_url_filter
 
