@@ -6,7 +6,8 @@ fitting sample: the log odds of the word and the largest log odds of its n-grams
 All overlapping windows of a text are scored; a logistic layer turns their logits' maximum, mean and spread into
 the text's score. Labels, language, source and ids are inputs of no score.
 
-The network is fitted on a bounded sample of labelled rows (POSITIVE, NEGATIVE rows, WINDOWS windows of each).
+The network is fitted on a bounded sample of labelled rows (POSITIVE, NEGATIVE rows, WINDOWS windows of each), and the
+logistic layer on whole texts of a part of these rows that the network has not seen.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsql.llm.common import LOWER, field_ddl, groups_of, slices, text_buffer, tidied, word_spans
+from docsql.llm.common import LOWER, drop, field_ddl, groups_of, materialize, slices, text_buffer, tidied, word_spans
 from docsql.llm.common import span_hashes as _hashes
 
 #: The fitting sample: labelled rows of either class and windows of each at most.
@@ -33,6 +34,8 @@ REPEATS, SEEN, SMOOTH, LEAST, SCALE = 4, 3, 4.0, 1.5, 0.4
 EPOCHS, MOST_EPOCHS, STEPS, BATCH, RATE, SEED = 3, 24, 500, 128, 0.01, 7
 #: Rate of the embeddings beside the other weights', and by how much they shrink with each use.
 SLOW, SHRINK = 0.3, 0.1
+#: One in so many sampled rows is kept from the network for the logistic layer.
+KEPT_BACK = 4
 #: Rows with this remainder of crc32(id as text) mod FOLDS are never learned from.
 FOLDS, HELD_OUT = 5, 0
 IS_WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -229,11 +232,14 @@ class Network:
         return text, out
 
     def scores(self, texts: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.last, -30, 30)))
+
+    def features(self, texts: pa.Array) -> np.ndarray:
         data, off = text_buffer(texts)
-        out = np.empty(len(texts))
+        out = np.empty((len(texts), 5))
         for i, j in groups_of(off, _GROUP):
             text, z = self.logits(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            out[i:j] = 1 / (1 + np.exp(-np.clip(text_features(text, z, j - i) @ self.last, -30, 30)))
+            out[i:j] = text_features(text, z, j - i)
         return out
 
 
@@ -257,8 +263,8 @@ def _log_odds(positive: np.ndarray, negative: np.ndarray) -> np.ndarray:
     return np.where(positive + negative >= SEEN, SCALE * np.maximum(odds - LEAST, 0), 0).astype(np.float32)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int = SEED) -> Network:
-    """A network from texts (some windows of a row, joined), their labels, and the share of label 1 among all labels."""
+def fit(texts: list[bytes], labels: np.ndarray, seed: int = SEED) -> Network:
+    """A network from texts (some windows of a row, joined) and their labels; its logistic layer is not fitted yet."""
     if len(set(np.asarray(labels).tolist())) < 2:  # one class only: nothing can be told apart
         net = Network(np.zeros(0, np.uint64), seed)
         net.last = np.array([-6.0, 0, 0, 0, 0])
@@ -274,8 +280,7 @@ def fit(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int = SE
     hashes = _hashes(data, starts, ends)
     once, number = _distinct(hashes)
     row = np.repeat(np.arange(len(texts)), np.diff(first))
-    fitting = np.arange(len(texts)) < max(1, len(texts) * 3 // 4)  # the rest is for the logistic layer
-    pair, times = np.unique(row[fitting[row]] * np.int64(len(once) + 1) + number[fitting[row]], return_counts=True)
+    pair, times = np.unique(row * np.int64(len(once) + 1) + number, return_counts=True)
     in_row, in_word = pair // (len(once) + 1), pair % (len(once) + 1)
     often = np.bincount(in_word, minlength=len(once))
     known = np.flatnonzero(often >= 2)
@@ -299,15 +304,15 @@ def fit(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int = SE
 
     # What a row is learned with comes from the other half of the rows, as later rows have no part in the odds either.
     half = np.arange(len(texts)) % 2 == 0
-    odds = [odds_of(fitting & ~half), odds_of(fitting & half)]
-    net.odds = odds_of(fitting)
+    odds = [odds_of(~half), odds_of(half)]
+    net.odds = odds_of(np.ones(len(texts), bool))
     del pair, in_row, in_word, times
 
     text, begin = windows_of(np.diff(first))
     size = np.minimum(np.diff(first)[text], LENGTH)
     begin = begin + first[:-1][text]
     padded = np.r_[number, np.full(LENGTH, len(once))].astype(np.int64)
-    train = np.flatnonzero(fitting[text] & (size > 0))
+    train = np.flatnonzero(size > 0)
     share = labels[text[train]].mean() if len(train) else 0.5
     m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     each_epoch = max(1, sum(-(-int((half[text[train]] == k).sum()) // BATCH) for k in (0, 1)))
@@ -352,15 +357,11 @@ def fit(texts: list[bytes], labels: np.ndarray, base_rate: float, seed: int = SE
                 net.w[name][touched] *= 1 - SHRINK
                 net.w[name][touched] -= (SLOW * rate * sums / (np.sqrt(b[touched]) + 1e-6)).astype(np.float32)
             net.w["word"][0] = 0
-    _fit_last(net, data, off, labels, np.flatnonzero(~fitting) if (~fitting).any() else np.arange(len(texts)), base_rate)
     return net
 
 
-def _fit_last(net: Network, data: np.ndarray, off: np.ndarray, labels: np.ndarray, rows: np.ndarray, base_rate: float) -> None:
-    """The logistic layer, by Newton's method, with the classes weighted as among all labels."""
-    lo, hi = off[rows[0]], off[rows[-1] + 1]
-    text, z = net.logits(data[lo:hi], off[rows[0] : rows[-1] + 2] - lo)
-    x, y = text_features(text, z, len(rows)), labels[rows].astype(float)
+def fit_last(x: np.ndarray, y: np.ndarray, base_rate: float) -> np.ndarray:
+    """The logistic layer from texts' features and labels, by Newton's method, with the classes weighted as among all labels."""
     rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
     base_rate = min(max(base_rate, 1e-3), 1 - 1e-3)
     weight = np.where(y == 1, base_rate / rate, (1 - base_rate) / (1 - rate))
@@ -371,7 +372,7 @@ def _fit_last(net: Network, data: np.ndarray, off: np.ndarray, labels: np.ndarra
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         g = x.T @ (weight * (p - y)) + keep * (b - centre)
         b = b - np.clip(np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(keep), g), -2, 2)
-    net.last = b
+    return b
 
 
 # ---------------------------------------------------------------- the operator
@@ -382,12 +383,25 @@ def held_out(id_col):
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
-    """Fits on POSITIVE and NEGATIVE labelled rows at most, those with the least hashed ids, and WINDOWS windows of each."""
+    """Fits on POSITIVE and NEGATIVE labelled rows at most, those with the least hashed ids, and WINDOWS windows of each.
+
+    Of rows that share an id the one with the least text counts. The logistic layer has the whole texts of one in
+    KEPT_BACK of these rows (of all, where these lack a class), whose windows are scored in tasks of their own.
+    """
     marks = labels.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isin(0, 1)).groupBy(F.col(f"`{id_col}`").alias("__id")).agg(F.max(f"`{label_col}`").alias("__y"))
     marks = marks.filter(~held_out(F.col("__id")))
     rate = marks.agg(F.avg("__y")).first()[0]
+    base_rate = rate if rate is not None else 0.0
     some = [marks.filter(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n) for y, n in ((1, POSITIVE), (0, NEGATIVE))]
     chosen = some[0].union(some[1])
+    rows = df.select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text")).filter(F.col("__id").isNotNull())
+    rows = rows.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.max("__y").cast("int").alias("y"), F.min("__text").alias("text"))
+    sample = materialize(rows.select("y", "text", (F.pmod(F.xxhash64("__id", F.lit(SEED)), F.lit(KEPT_BACK)) == 0).alias("back")), "labelled")
+    counts = {(r.back, r.y): r.n for r in sample.groupBy("back", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if {y for _, y in counts} != {0, 1}:
+        drop(sample)
+        return fit([], np.zeros(0))
+    split = all((back, y) in counts for back in (True, False) for y in (0, 1))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -395,28 +409,31 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             starts, ends = word_spans(data, off, IS_WORD)
             first = np.searchsorted(starts, off)
             out = []
-            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 begin = windows_of(np.array([b - a]))[1]
                 rnd = np.random.default_rng(b - a)
                 begin = np.sort(rnd.choice(begin, min(WINDOWS, len(begin)), replace=False)) + a
-                parts = [data[starts[s] : ends[min(s + LENGTH, b) - 1]].tobytes() for s in begin.tolist() if b > a]
-                out.append(b" ".join(p for p in parts if len(p) < 1 << 16))
+                out.append(b" ".join(data[starts[s] : ends[min(s + LENGTH, b) - 1]].tobytes() for s in begin.tolist() if b > a))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["y", "windows"])
 
-    rows = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text")).filter(F.col("__id").isNotNull())
-    # Repeated ids could bring more rows than were chosen: the bound holds for what is learned from.
-    some = rows.join(F.broadcast(chosen), "__id").select(F.col("__y").cast("int").alias("y"), "__text").mapInArrow(tidied(cut), "y int, windows binary")
-    some = some.orderBy(F.xxhash64("windows"), "windows", "y").limit(POSITIVE + NEGATIVE).repartition(1)
-    base_rate = rate if rate is not None else 0.0
-
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for b in batches for r in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True)]
-        net = fit([w for w, _ in sorted(got)], np.array([y for _, y in sorted(got)]), base_rate)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+        got = sorted(r for b in batches for r in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([w for w, _ in got], np.array([y for _, y in got])))], pa.binary())], ["net"])
+
+    # One task fits the network; the driver gets its weights only, and five numbers of each row for the logistic layer.
+    windows = (sample.filter("NOT back") if split else sample).select("y", "text").mapInArrow(tidied(cut), "y int, windows binary").repartition(1)
+    net = pickle.loads(bytes(windows.mapInArrow(tidied(learn), "net binary").first().net))
+    shared = df.sparkSession.sparkContext.broadcast(net)
 
-    # One task fits the network; the driver gets its weights only.
-    found = some.mapInArrow(tidied(learn), "net binary").collect()
-    return pickle.loads(bytes(found[0].net)) if found else fit([], np.zeros(0), base_rate)
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.features(batch.column(1)).tolist(), pa.list_(pa.float64()))], ["y", "x"])
+
+    got = sorted((list(r.x), r.y) for r in (sample.filter("back") if split else sample).select("y", "text").mapInArrow(tidied(measure), "y int, x array<double>").collect())
+    net.last = fit_last(np.array([x for x, _ in got]), np.array([y for _, y in got], float), base_rate)
+    shared.destroy()
+    drop(sample)
+    return net
 
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", remove: bool = False) -> DataFrame:
