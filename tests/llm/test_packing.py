@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
+import pytest
 from docsql.llm import packing
 from docsql.llm.queries import op5_packing, tokenizer_path
 from tokenizers import Tokenizer
@@ -52,6 +53,25 @@ def test_table(spark):
         assert len({r.source for r in members}) == len(members) == len({r.cluster for r in members})
 
 
+@pytest.mark.parametrize("capacity", [64, 128])
+def test_table_is_packed_as_tightly_as_plain_search(spark, capacity):
+    """Every rest of the whole table stands where the plain search puts it; rows that are equal in length, source and cluster may change places."""
+    rows = documents(n=160)
+    got = packing.pack(table(spark, rows), capacity=capacity).collect()
+    rests = [(r.n_tokens, r.source, r.cluster) for r in got if r.n_tokens < capacity]
+    key = lambda r: (-r[0], r[2] is None, r[2] or "", r[1] is None, r[1] or "")
+    clusters = {c: i for i, c in enumerate(sorted({r[2] for r in rests}, key=str))}
+    ordered = sorted(rests, key=key)
+    bins, want = defaultdict(list), defaultdict(list)
+    for r in got:
+        if r.n_tokens < capacity:
+            bins[r.bin_id].append((r.bin_offset, r.n_tokens, r.source, r.cluster))
+    for item, (b, offset) in zip(ordered, brute([(n, s, clusters[c]) for n, s, c in ordered], capacity), strict=True):
+        want[b].append((offset, *item))
+    as_rows = lambda found: sorted((sorted(x, key=str) for x in found.values()), key=str)
+    assert as_rows(bins) == as_rows(want) and len(rests) > 100
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], COLUMNS)).collect() == []
 
