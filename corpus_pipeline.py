@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docsql.llm import decontaminate, exact_dedup, packing, simhash, toxicity
-from docsql.llm.common import materialize
+from docsql.llm.common import drop_since, materialize, written
 from docsql.llm.queries import tokenizer_path
 from docsql.shipping import ship
 
@@ -32,9 +32,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with passages of two benchmark items or more go."""
+    """Documents with a passage of any benchmark item go."""
     ship(spark)
-    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove=True)
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_items=1, remove=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = written()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.split(" ")[0].lower())
+        drop_since(spark, mark, but=(docs,))
     return docs
