@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 from itertools import combinations
 
@@ -20,7 +21,7 @@ def contaminated(text, items):
     for item in items:
         k = min(8, len(item))
         n += k > 0 and any(tuple(item[p : p + k]) in seen[k] for p in range(len(item) - k + 1))
-    return n >= 2
+    return n >= 1
 
 
 @pytest.fixture(scope="module")
@@ -82,8 +83,29 @@ def test_odd_rows_and_empty_tables(spark, tmp_path, empty):
     if empty:
         assert got == []
         return
-    of = defaultdict(list)
+    # No label of class 1 and no item with an id and words: what is left after exact and near dedup is packed.
+    last = {}
     for r in documents():
-        of[lower(r[1])].append(-1 if r[0] is None else r[0])
-    kept = {max(ids) for ids in of.values()}
-    assert {-1 if r.doc_id is None else r.doc_id for r in got} <= kept and len({r.doc_id for r in got}) > len(kept) // 2
+        if lower(r[1]) not in last or (r[0] is not None and (last[lower(r[1])] or -1) < r[0]):
+            last[lower(r[1])] = r[0]
+    prints = defaultdict(list)
+    for text, i in last.items():
+        prints[fingerprint(text.decode())].append(i)
+    root = smallest(list(prints), [(a, b) for a, b in combinations(prints, 2) if (a ^ b).bit_count() <= 2])
+    groups = defaultdict(list)
+    for p, ids in prints.items():
+        groups[root[p]] += ids
+    kept = [min((i for i in g if i is not None), default=None) for g in groups.values()]
+    assert sorted((r.doc_id for r in got if r.piece == 0), key=str) == sorted(kept, key=str)
+
+
+def test_documents_with_one_passage_go(spark, tmp_path):
+    rnd = random.Random(2)
+    line = lambda k: " ".join(f"w{rnd.randrange(5000)}" for _ in range(k))
+    item, other = line(40), line(40)
+    docs = [(i, line(60), "en", "s", 0) for i in range(20)]
+    docs += [(50, f"{line(30)} {' '.join(item.split()[5:20]).upper()} {line(30)}", "en", "s", 0), (51, " ".join(item.split()[:7]), "en", "s", 0), (None, f"{item} {other}", "en", "s", 0)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item), (2, other)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = corpus_pipeline.drop_contaminated(spark, frame, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(20), 51]
