@@ -7,35 +7,42 @@ A passage is a string of `length` bytes that starts at two places or more. Its b
 2. Only anchors whose k-gram occurs twice can lie in a passage: their hashes are counted, once for each block.
 3. Each task sorts the suffixes that start at these anchors (as long as the windows of the anchor reach), keeps one
    of equal ones, and writes the sorted run front-coded (length of the prefix shared with the run's suffix before,
-   and the rest), cut by sampled splitters.
+   and the rest), cut by sampled splitters. A splitter is a whole suffix with the text before it, so that suffixes
+   that begin with the same frequent k-gram spread over as many ranges as they fill.
 4. Each range merges its runs with a loser tree. Heads carry the length of the prefix they share with the last
    output, so prefixes known to be equal are never compared again. Neighbours that share a k-gram form a class.
 5. In a class, the right match of two suffixes is the least of the shared prefixes between them; their left match is
-   compared. Both give the windows that two places have in common. Large classes are resolved with hashes of
-   their windows instead of pairs, very large ones with a distributed count of these.
-6. The windows go back to their blocks, where the bytes they cover are cut out.
+   compared. Both give the windows that two places have in common. Large classes are resolved by the ranks of their
+   suffixes and of the texts before them: shared prefixes tell which have a window in common. No hash decides.
+6. A window can be in two ranges only if its part from the anchor on is a prefix of a splitter. Suffixes with such
+   windows are sorted once more, by the text before the anchor, and merged in the same way. What still is in
+   two ranges is a prefix of a splitter on both sides: few different windows, counted by their bytes.
+7. The windows go back to their blocks, where the bytes they cover are cut out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsql.llm.common import drop, groups_of, materialize, shuffle_partitions, text_buffer, tidied
 
 LENGTH, GRAM = 200, 64
-#: Bytes of text in a block and in a run; regions of a class compared by pairs, and by window hashes in one task.
-BLOCK, RUN_TEXT, PAIRS, CLASS = 2 << 20, 32 << 20, 32, 20_000
-#: For splitters: so many blocks at most are looked at, and so many anchors of each.
-SAMPLE_BLOCKS, SAMPLE_ANCHORS = 12, 4000
+#: Bytes of text in a block and in a run; regions of a class up to which pairs are compared, beyond which ranks (both exact).
+BLOCK, RUN_TEXT, PAIRS = 2 << 20, 32 << 20, 32
+#: For splitters: so many blocks at least and anchors for each range are looked at, and so many anchors of each block.
+SAMPLE_BLOCKS, SAMPLE_RANGE, SAMPLE_ANCHORS = 12, 40, 4000
+#: Hashes with more than a share of 1 / HOT of all rows of hashes, at most HOT of them, are found by a broadcast.
+HOT = 20_000
 _CHUNK = 1 << 18
 _MULT = 0xD6E8FEB86659FD93
 _BYTE = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64)
@@ -235,7 +242,7 @@ def merge_runs(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
 # ---------------------------------------------------------------- classes
 
 
-def resolve(members: list[tuple[int, bytes, bytes, int, int]], length: int, put, overflow=None) -> None:
+def resolve(members: list[tuple[int, bytes, bytes, int, int]], length: int, put) -> None:
     """put(block, first window, last window) for the windows that occur twice in a class.
 
     members: (shared prefix with the member before, right, left, block, place) in sorted order.
@@ -263,11 +270,11 @@ def resolve(members: list[tuple[int, bytes, bytes, int, int]], length: int, put,
                 put(block, place - len(left), place + len(right) - length)
     if len(keys) < 2:
         return
-    if len(keys) > CLASS and overflow is not None:
-        overflow(keys, of, many)
-        return
     if len(keys) > PAIRS:
-        _by_hash(keys, of, many, length, put)
+        found = _Found([p[0] if p else (0, -1) for p in of], many, put)
+        for before, has, code in ranked([r for r, _ in keys], [x for _, x in keys], step, length, False):
+            found.add(before, has, np.unique(code, return_inverse=True)[1])
+        found.close()
         return
     for i in range(len(keys)):
         if not of[i] or many[i]:
@@ -296,43 +303,53 @@ def _meet(found: list, right: bytes, other: bytes, left: bytes, other_left: byte
             found.append((max(low, 0), high))
 
 
-def _window_hashes(keys: list[tuple[bytes, bytes]], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each offset before the anchor: the regions that have such a window, and the windows' hashes."""
-    reach = max(len(left) for _, left in keys)
-    text = np.zeros((reach + length, len(keys)), np.uint8)
-    for i, (right, left) in enumerate(keys):
-        text[reach - len(left) : reach, i] = np.frombuffer(left, np.uint8)[::-1]
-        text[reach : reach + len(right), i] = np.frombuffer(right, np.uint8)
-    lefts, rights = np.array([len(x[1]) for x in keys]), np.array([len(x[0]) for x in keys])
-    power = [np.uint64(pow(_MULT, j, 2**64)) for j in range(len(text))]
-    high = np.zeros(len(keys), np.uint64)
-    for j in range(length):
-        high += _BYTE[text[j]] * power[j]
-    for start in range(reach + 1):  # the window [start, start + length) of the aligned text
-        before = reach - start
+def ranked(a: list[bytes], b: list[bytes], step: list[int], length: int, a_is_left: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each offset before the anchor: the members that have such a window, and numbers that are equal for equal windows.
+
+    a is in order, and step has the prefix each shares with the one before; b has the other side's texts. Members whose
+    neighbours between them all share enough of a side agree in that side's part of the window.
+    """
+    order = sorted(range(len(b)), key=b.__getitem__)
+    place = np.empty(len(b), np.int64)
+    place[order] = np.arange(len(b))
+    step_a = np.array([0, *step[1:]], np.int64)
+    step_b = np.array([0, *(extend(b[i], b[j], 0) for i, j in zip(order, order[1:], strict=False))], np.int64)
+    len_a, len_b = (np.array([len(t) for t in x], np.int64) for x in (a, b))
+    lefts, rights = (len_a, len_b) if a_is_left else (len_b, len_a)
+    for before in range(max(0, length - int(rights.max())), min(length, int(lefts.max())) + 1):
         has = np.flatnonzero((lefts >= before) & (rights >= length - before))
         if len(has):
-            yield before, has, high[has]
-        if start < reach:
-            high -= _BYTE[text[start]] * power[start]
-            high += _BYTE[text[start + length]] * power[start + length]
-
-
-def _by_hash(keys, of, many, length: int, put) -> None:
-    alone = np.array([not m and bool(p) for m, p in zip(many, of, strict=True)])
-    open_: dict[int, tuple[int, int]] = {}
-    for before, has, h in _window_hashes(keys, length):
-        _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-        for i in has[(count[inverse] > 1) & alone[has]].tolist():
-            low, high = open_.get(i, (before, before))
-            if low - before > 1:
-                block, place = of[i][0]
-                put(block, place - high, place - low)
-                high = before
-            open_[i] = (before, high)
-    for i, (low, high) in open_.items():
-        block, place = of[i][0]
-        put(block, place - high, place - low)
+            need_a, need_b = (before, length - before) if a_is_left else (length - before, before)
+            yield before, has, np.cumsum(step_a < need_a)[has] * (len(a) + 1) + np.cumsum(step_b < need_b)[place[has]]
+
+
+class _Found:
+    """Windows that occur twice, gathered offset by offset; members that stand for several places count twice and are put already."""
+
+    def __init__(self, places: list[tuple[int, int]], many: list[bool], put):
+        self.places, self.put = places, put
+        self.weight = np.where(many, 2, 1)
+        self.alone = ~np.array(many, bool) & np.array([p >= 0 for _, p in places])
+        self.open: dict[int, tuple[int, int]] = {}
+
+    def add(self, before: int, has: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Returns how often each group occurs."""
+        count = np.bincount(group, self.weight[has]).astype(np.int64)
+        for i in has[(count[group] > 1) & self.alone[has]].tolist():
+            low, high = self.open.get(i, (before, before))
+            if before - high > 1:
+                self._out(i, low, high)
+                low = before
+            self.open[i] = (low, before)
+        return count
+
+    def _out(self, i: int, low: int, high: int) -> None:
+        block, place = self.places[i]
+        self.put(block, place - high, place - low)
+
+    def close(self) -> None:
+        for i, (low, high) in self.open.items():
+            self._out(i, low, high)
 
 
 # ---------------------------------------------------------------- the operator
@@ -351,17 +368,44 @@ class _Intervals:
         return {b: np.array(x, "<i4").tobytes() for b, x in self.found.items()}
 
 
-_OUT = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("payload", pa.binary()), ("h", pa.int64()), ("n", pa.int32())])
-_DDL = "part int, block long, payload binary, h long, n int"
+_OUT = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("payload", pa.binary()), ("key", pa.binary()), ("n", pa.int32())])
+_DDL = "part int, block long, payload binary, key binary, n int"
+#: Parts of rows that are no runs: windows found, and windows that other ranges may have too.
+_KNOWN, _OPEN = -1, -2
 
 
 def _rows(part, block, payload) -> pa.RecordBatch:
     n = len(part)
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array(payload, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], schema=_OUT)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array(payload, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], schema=_OUT)
+
+
+def _cut(records: list[tuple[bytes, bytes, int, int]], splitters: list[tuple[bytes, bytes]], squeeze: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
+    """A sorted run, in one row for each range that it touches."""
+    cut = [0, *(bisect_left(records, s) for s in splitters), len(records)]
+    for part, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+        if b > a:
+            yield _rows([part], [records[a][2]], [encode_run(records[a:b], squeeze)])
+
+
+def _regions(row: dict, length: int, gram: int) -> tuple[list[tuple[bytes, bytes, int, int]], int]:
+    """A block's suffixes at anchors whose k-gram occurs twice, and the block's size."""
+    data = _bytes_of(row["blob"].as_py())
+    ends = np.cumsum(np.array(row["sizes"].values, np.int64))
+    twice = np.sort(np.array(row["hashes"].values, np.int64).view(np.uint64))
+    place, lo, hi, h = anchors(data, ends, length, gram)
+    at = np.minimum(np.searchsorted(twice, h), len(twice) - 1)
+    raw, keep, block = data.tobytes(), twice[at] == h, row["block"].as_py()
+    return [(raw[p : z + length], raw[a:p][::-1], block, p) for p, a, z in zip(place[keep].tolist(), lo[keep].tolist(), hi[keep].tolist(), strict=True)], len(data)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes], parts: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Blocks with the hashes that occur twice -> front-coded runs (part >= 0) and windows already known (part -1)."""
+def _blocks_in(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield {name: batch.column(name)[row] for name in batch.schema.names}
+
+
+def _runs(batches: Iterator[pa.RecordBatch], splitters: list[tuple[bytes, bytes]], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Blocks with the hashes that occur twice -> front-coded runs (part >= 0) and windows already known."""
     squeeze = zstandard.ZstdCompressor(level=1)
     records: list[tuple[bytes, bytes, int, int]] = []
     held = 0
@@ -386,147 +430,190 @@ def _runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes], parts: int,
         records, held = [], 0
         packed = known.packed()
         if packed:
-            yield _rows([-1] * len(packed), list(packed), list(packed.values()))
-        grams = [r[0][:gram] for r in once]
-        cut = [0, *(_lower(grams, s) for s in splitters), len(once)]
-        for part, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
-            if b > a:
-                yield _rows([part], [once[a][2]], [encode_run(once[a:b], squeeze)])
-
-    for batch in batches:
-        for row in range(batch.num_rows):
-            block = batch.column(0)[row].as_py()
-            data = _bytes_of(batch.column(2)[row].as_py())
-            ends = np.cumsum(np.array(batch.column(1)[row].values, np.int64))
-            twice = np.sort(np.array(batch.column(3)[row].values, np.int64).view(np.uint64))
-            place, lo, hi, h = anchors(data, ends, length, gram)
-            at = np.minimum(np.searchsorted(twice, h), len(twice) - 1)
-            raw = data.tobytes()
-            keep = twice[at] == h
-            for p, a, z in zip(place[keep].tolist(), lo[keep].tolist(), hi[keep].tolist(), strict=True):
-                records.append((raw[p : z + length], raw[a:p][::-1], block, p))
-            held += len(data)
-            if held >= RUN_TEXT:
-                yield from flush()
+            yield _rows([_KNOWN] * len(packed), list(packed), list(packed.values()))
+        yield from _cut(once, splitters, squeeze)
+
+    for row in _blocks_in(batches):
+        more, size = _regions(row, length, gram)
+        records += more
+        held += size
+        if held >= RUN_TEXT:
+            yield from flush()
     if records:
         yield from flush()
 
 
-def _lower(grams: list[bytes], splitter: bytes) -> int:
-    lo, hi = 0, len(grams)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if grams[mid] < splitter:
-            lo = mid + 1
-        else:
-            hi = mid
-    return lo
+def _around(part: int, splitters: list[tuple[bytes, bytes]]) -> list[bytes]:
+    """The first strings of the splitters below and above a range."""
+    return [splitters[i][0] for i in (part - 1, part) if 0 <= i < len(splitters)]
 
 
-def _merge(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by part -> windows (packed by block; part null) and windows of very large classes (h, n set)."""
-    found = _Intervals()
-    late: list[pa.RecordBatch] = []
+def _depth(text: bytes, around: list[bytes]) -> int:
+    """How much of a text other ranges may have too: no text beyond a splitter shares more with it than the splitter does."""
+    return max((extend(text, s, 0) for s in around), default=-1)
 
-    def overflow(keys, of, many) -> None:
-        for before, has, h in _window_hashes(keys, length):
-            block = [of[i][0][0] if of[i] else -1 for i in has.tolist()]
-            window = [np.array([of[i][0][1] - before] * 2, "<i4").tobytes() if of[i] and not many[i] else None for i in has.tolist()]
-            mixed = (h ^ np.uint64(before)) * np.uint64(0x9E3779B97F4A7C15)
-            late.append(pa.RecordBatch.from_arrays([pa.array([-2] * len(has), pa.int32()), pa.array(block, pa.int64()), pa.array(window, pa.binary()), pa.array(mixed.view(np.int64)), pa.array([2 if many[i] else 1 for i in has.tolist()], pa.int32())], schema=_OUT))
-
-    def finish(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        members: list[tuple] = []
-        for rec in merge_runs([decode_run(p) for p in payloads]):
-            if rec[0] < gram and members:
-                if len(members) > 1:
-                    resolve(members, length, found.put, overflow)
-                members = []
-                yield from late
-                late.clear()
-            members.append(rec)
-        if len(members) > 1:
-            resolve(members, length, found.put, overflow)
-        yield from late
-        late.clear()
 
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
     part, payloads = None, []
     for batch in batches:
         for p, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if p != part and payloads:
-                yield from finish(payloads)
+                yield part, payloads
                 payloads = []
             part = p
             payloads.append(payload.as_py())
     if payloads:
-        yield from finish(payloads)
+        yield part, payloads
+
+
+def _merge(batches: Iterator[pa.RecordBatch], splitters: list[tuple[bytes, bytes]], left_splitters: list[tuple[bytes, bytes]], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Runs sorted by part -> windows found, and runs, by the text before the anchor, of what other ranges may have too."""
+    found = _Intervals()
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for part, payloads in _by_part(batches):
+        around = [s for s in _around(part, splitters) if len(s) >= gram]
+        members: list[tuple] = []
+        opened: list[tuple[bytes, bytes, int, int]] = []
+
+        def finish(members, around=around, opened=opened) -> None:
+            if len(members) > 1:
+                resolve(members, length, found.put)
+            near = [s for s in around if s[:gram] == members[0][1][:gram]]
+            for _, right, left, block, place in members if near else ():
+                depth = _depth(right, near)
+                if depth >= length - len(left):
+                    opened.append((left, right[:depth], block, place))
+
+        for rec in merge_runs([decode_run(p) for p in payloads]):
+            if rec[0] < gram and members:
+                finish(members)
+                members = []
+            members.append(rec)
+        if members:
+            finish(members)
+        # Windows that two of these have in common have been found: one of them stands for both.
+        opened.sort()
+        once: list[tuple[bytes, bytes, int, int]] = []
+        for left, right, block, place in opened:
+            if once and once[-1][:2] == (left, right):
+                once[-1] = (left, right, block, -1)
+            else:
+                once.append((left, right, block, place))
+        yield from _cut(once, left_splitters, squeeze)
     packed = found.packed()
     if packed:
-        yield _rows([None] * len(packed), list(packed), list(packed.values()))
+        yield _rows([_KNOWN] * len(packed), list(packed), list(packed.values()))
 
 
-def _splitters(blocks: DataFrame, parts: int, length: int, gram: int) -> list[bytes]:
-    """At most parts-1 k-grams, from a bounded sample of anchors."""
-    n = blocks.count()
+def _merge_left(batches: Iterator[pa.RecordBatch], splitters: list[tuple[bytes, bytes]], length: int) -> Iterator[pa.RecordBatch]:
+    """Runs by the text before the anchor -> windows found, and windows that other ranges may have too, each once with its count (2 at most)."""
+    found = _Intervals()
+    for part, payloads in _by_part(batches):
+        members = list(merge_runs([decode_run(p) for p in payloads]))
+        around = _around(part, splitters)
+        lefts, rights = [m[1] for m in members], [m[2] for m in members]
+        places, many = [(m[3], m[4]) for m in members], [m[4] < 0 for m in members]
+        depth = np.array([_depth(x, around) for x in lefts])
+        gathered = _Found(places, many, found.put)
+        for before, has, code in ranked(lefts, rights, [m[0] for m in members], length, True):
+            _, first, group = np.unique(code, return_index=True, return_inverse=True)
+            count = gathered.add(before, has, group)
+            some = np.flatnonzero(depth[has[first]] >= before)
+            if len(some):
+                who = has[first[some]].tolist()
+                once = (count[some] == 1).tolist()
+                key = [lefts[i][:before][::-1] + rights[i][: length - before] for i in who]
+                window = [np.array([places[i][1] - before] * 2, "<i4").tobytes() if o else None for i, o in zip(who, once, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([_OPEN] * len(who), pa.int32()), pa.array([places[i][0] for i in who], pa.int64()), pa.array(window, pa.binary()), pa.array(key, pa.binary()), pa.array(np.minimum(count[some], 2).astype(np.int32))], schema=_OUT)
+        gathered.close()
+    packed = found.packed()
+    if packed:
+        yield _rows([_KNOWN] * len(packed), list(packed), list(packed.values()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                data = _bytes_of(batch.column(1)[row].as_py())[: 8 * BLOCK]  # a sample needs no more of a very long text
-                place = anchors(data, np.array([len(data)]), length, gram)[0]
-                some = place[:: max(1, len(place) // SAMPLE_ANCHORS)].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([data[p : p + gram].tobytes() for p in some], pa.binary())], ["g"])
 
-    every = max(1, n // SAMPLE_BLOCKS)
-    rows = blocks.select("block", "blob").filter(F.pmod(F.xxhash64("block"), F.lit(every)) == 0).limit(2 * SAMPLE_BLOCKS)
-    got = sorted(bytes(r.g) for r in rows.mapInArrow(tidied(run), "g binary").collect())
-    return sorted({got[len(got) * i // parts] for i in range(1, parts)}) if got else []
+def _splitters(blocks: DataFrame, lists: DataFrame, parts: int, length: int, gram: int) -> tuple[list[tuple[bytes, bytes]], list[tuple[bytes, bytes]]]:
+    """At most parts-1 splitters by suffix and by the text before it, from a sample of anchors bounded by the number of ranges."""
+    wanted = max(SAMPLE_BLOCKS, -(-SAMPLE_RANGE * parts // SAMPLE_ANCHORS))
+    every = max(1, blocks.count() // wanted)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _blocks_in(batches):
+            some = _regions(row, length, gram)[0]
+            some = some[:: max(1, len(some) // SAMPLE_ANCHORS)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.binary()), pa.array([r[1] for r in some], pa.binary())], ["r", "l"])
+
+    chosen = F.pmod(F.xxhash64("block"), F.lit(every)) == 0
+    rows = blocks.filter(chosen).join(lists.filter(chosen), "block").select("block", "sizes", "blob", "hashes").limit(2 * wanted)
+    got = sorted((bytes(x.r), bytes(x.l)) for x in rows.mapInArrow(tidied(run), "r binary, l binary").collect())
+    right = sorted({got[len(got) * i // parts] for i in range(1, parts)}) if got else []
+    opened = []
+    for r, x in got:
+        depth = _depth(r, [s for s in _around(bisect_right(right, (r, x)), right) if s[:gram] == r[:gram]])
+        if depth >= length - len(x):
+            opened.append((x, r[:depth]))
+    opened.sort()
+    return right, sorted({opened[len(opened) * i // parts] for i in range(1, parts)}) if opened else []
+
+
+def _twice(text: DataFrame, length: int, gram: int) -> DataFrame:
+    """block, hashes: the k-gram hashes of the block's anchors that occur twice in all blocks."""
+    spark = text.sparkSession
 
-def find_repeats(blocks: DataFrame, length: int, gram: int) -> DataFrame:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _blocks_in(batches):
+            ends = np.cumsum(np.array(row["sizes"].values, np.int64))
+            h, count = np.unique(anchors(_bytes_of(row["blob"].as_py()), ends, length, gram)[3], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), row["block"].as_py())), pa.array(np.minimum(count, 2).astype(np.int32))], ["h", "block", "n"])
+
+    # A hash has one row for each block at most, whatever its frequency, and is counted with partial sums.
+    seen = materialize(text.mapInArrow(tidied(hashes), "h long, block long, n int"), "seen")
+    counts = materialize(seen.groupBy("h").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("blocks")).filter("all > 1").select("h", "blocks"), "counts")
+    most = seen.count() // HOT
+    # Fewer than HOT hashes can have more than a HOT-th of the rows each: their list is bounded, and no join gathers their rows.
+    hot = spark.createDataFrame([(r.h,) for r in counts.filter(F.col("blocks") > max(most, 1)).select("h").limit(HOT).collect()] if most else [], "h long")
+    cold = seen.join(F.broadcast(hot), "h", "left_anti").join(counts.select("h"), "h", "left_semi")
+    lists = cold.union(seen.join(F.broadcast(hot), "h", "left_semi")).groupBy("block").agg(F.collect_list("h").alias("hashes"))
+    lists = materialize(lists, "anchors")
+    drop(seen)
+    drop(counts)
+    return lists
+
+
+def find_repeats(blocks: DataFrame, length: int, gram: int, parts: int | None = None) -> DataFrame:
     """block, found: packed pairs of first and last windows that start at two places or more."""
     n = shuffle_partitions(blocks.sparkSession)
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ends = np.cumsum(np.array(batch.column(1)[row].values, np.int64))
-                h, count = np.unique(anchors(_bytes_of(batch.column(2)[row].as_py()), ends, length, gram)[3], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), batch.column(0)[row].as_py())), pa.array(np.minimum(count, 2).astype(np.int32))], ["h", "block", "n"])
-
+    parts = parts or 2 * n
     text = blocks.select("block", "sizes", "blob")
-    # A hash has one row for each block at most, whatever its frequency.
-    seen = text.mapInArrow(tidied(hashes), "h long, block long, n int").repartition(n, "h")
-    twice = seen.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).filter("all > 1")
-    lists = materialize(twice.groupBy("block").agg(F.collect_list("h").alias("hashes")), "anchors")
-    parts = 2 * n
-    splitters = _splitters(blocks, parts, length, gram)
-    runs = text.join(lists, "block").select("block", "sizes", "blob", "hashes").mapInArrow(tidied(lambda b: _runs(b, splitters, parts, length, gram)), _DDL)
+    lists = _twice(text, length, gram)
+    splitters, left_splitters = _splitters(text, lists, parts, length, gram)
+    dealt = lambda df: df.filter("part >= 0").select("part", "payload").repartition(n, "part").sortWithinPartitions("part")
+    runs = text.join(lists, "block").select("block", "sizes", "blob", "hashes").mapInArrow(tidied(lambda b: _runs(b, splitters, length, gram)), _DDL)
     runs = materialize(runs, "runs")
-    merged = runs.filter("part >= 0").select("part", "payload").repartition(n, "part").sortWithinPartitions("part").mapInArrow(tidied(lambda b: _merge(b, length, gram)), _DDL)
-    merged = materialize(merged, "merged")
-    drop(lists)
-    found = merged.filter("part is null").union(runs.filter("part = -1")).select("block", "payload")
-    windows = merged.filter("part = -2")
-    if not windows.isEmpty():
-        counted = windows.groupBy("h").agg(F.sum("n").alias("all")).filter("all > 1").select("h")
-        found = found.union(windows.filter("payload is not null").join(counted, "h").select("block", "payload"))
-    return found.groupBy("block").agg(F.collect_list("payload").alias("found"))
-
-
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
+    merged = materialize(dealt(runs).mapInArrow(tidied(lambda b: _merge(b, splitters, left_splitters, length, gram)), _DDL), "merged")
+    left = materialize(dealt(merged).mapInArrow(tidied(lambda b: _merge_left(b, left_splitters, length)), _DDL), "left")
+    found = runs.union(merged).union(left).filter(F.col("part") == _KNOWN).select("block", "payload")
+    windows = left.filter(F.col("part") == _OPEN)
+    counted = windows.groupBy("key").agg(F.sum("n").alias("all")).filter("all > 1").select("key")
+    found = found.union(windows.filter("payload is not null").join(counted, "key").select("block", "payload"))
+    found = materialize(found.groupBy("block").agg(F.collect_list("payload").alias("found")), "found")
+    for table in (lists, runs, merged, left):
+        drop(table)
+    return found
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, parts: int | None = None) -> DataFrame:
     """One row for each row of df: id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (binary).
 
     Every byte covered by a string of `length` bytes that also starts anywhere else, in the same document or another,
     is removed; strings are judged on the input and never cross documents. Null counts as empty; texts shorter
     than `length` stay whole; repeated rows remove each other. Cut texts may break a character, so kept is binary.
     An empty table gives no rows; other columns may have any names. A block of some 2 MB, or one longer
-    document, is in a task's memory at a time.
+    document, is in a task's memory at a time. parts: ranges of sorted suffixes (two for each shuffle partition).
     """
     id_type = df.schema[id_col].dataType.simpleString()
     slim = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     blocks = materialize(slim.mapInArrow(tidied(_pack), f"block long, ids array<{id_type}>, sizes array<long>, blob binary"), "blocks")
-    found = find_repeats(blocks, length, gram)
+    found = find_repeats(blocks, length, gram, parts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

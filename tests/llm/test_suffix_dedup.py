@@ -47,39 +47,36 @@ def test_small_windows(spark, length, gram, monkeypatch):
     compare(spark, [*rows, (99, "a" * 500, None, None, 0, 0, "", "")], length, gram=gram)
 
 
-def test_classes_by_hash_and_count(spark):
+def test_classes_by_pairs_and_ranks(monkeypatch):
     rnd = random.Random(8)
     word = lambda n: "".join(rnd.choice("abcd") for _ in range(n))
-    core = word(30)
-    members, texts = [], []
-    for _ in range(70):
-        left, right = word(rnd.randint(0, 9)), core + word(rnd.randint(0, 9))
-        texts.append((right.encode(), left.encode()))
-    texts = sorted(set(texts))
-    length = 36
-
-    def all_windows(f):
+    core, length = word(30), 36
+    texts = sorted({((core + word(rnd.randint(0, 9))).encode(), word(rnd.randint(0, 9)).encode()) for _ in range(70)})
+    members = []
+    for i, (right, left) in enumerate(texts):
+        shared = suffix_dedup.extend(members[-1][1], right, 0) if members else 0
+        members.append((shared, right, left, i, -1 if i % 9 == 0 else 100))
+
+    def all_windows(pairs):
         found = set()
-        f(lambda b, lo, hi: found.update((b, s) for s in range(lo, hi + 1)))
+        monkeypatch.setattr(suffix_dedup, "PAIRS", pairs)
+        suffix_dedup.resolve(members, length, lambda b, lo, hi: found.update((b, s) for s in range(lo, hi + 1)))
         return found
 
-    shared, members = 0, []
-    for i, (right, left) in enumerate(texts):
-        right = right[: length]
-        shared = suffix_dedup.extend(members[-1][1], right, 0) if members else 0
-        members.append((shared, right, left, i, 100))
-    by_pairs = all_windows(lambda put: _limits(1000, 1000, lambda: suffix_dedup.resolve(members, length, put)))
-    by_hash = all_windows(lambda put: _limits(3, 1000, lambda: suffix_dedup.resolve(members, length, put)))
-    assert by_pairs == by_hash and by_pairs
-
-
-def _limits(pairs, most, f):
-    old = suffix_dedup.PAIRS, suffix_dedup.CLASS
-    suffix_dedup.PAIRS, suffix_dedup.CLASS = pairs, most
-    try:
-        f()
-    finally:
-        suffix_dedup.PAIRS, suffix_dedup.CLASS = old
+    by_pairs = all_windows(1000)
+    assert by_pairs == all_windows(3) and by_pairs
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_one_passage_in_all_documents_over_many_ranges(spark, parts):
+    """Suffixes at one frequent k-gram stand in several ranges, by suffix and by the text before it."""
+    rnd = random.Random(parts)
+    word = lambda n, letters="ab": "".join(rnd.choice(letters) for _ in range(n))
+    core, tails, heads = word(45, "abcdefgh"), [word(30) for _ in range(5)], [word(30) for _ in range(5)]
+    text = lambda: word(12, "xyz") + rnd.choice(heads)[rnd.randint(0, 25) :] + core + rnd.choice(tails)[: rnd.randint(0, 30)] + word(12, "xyz")
+    rows = [(i, "".join(text() for _ in range(rnd.randint(1, 3))), None, None, 0, 0, "", "") for i in range(150)]
+    for length, gram in ((40, 8), (52, 10), (60, 30)):
+        compare(spark, rows, length, gram=gram, parts=parts)
 
 
 def test_merge_keeps_shared_prefixes():
