@@ -38,7 +38,7 @@ from docsql.llm.common import drop, groups_of, materialize, shuffle_partitions,
 
 LENGTH, GRAM = 200, 64
 #: Bytes of text in a block and in a run; regions of a class up to which pairs are compared, beyond which ranks (both exact).
-BLOCK, RUN_TEXT, PAIRS = 2 << 20, 32 << 20, 32
+BLOCK, RUN_TEXT, PAIRS = 2 << 20, 16 << 20, 32
 #: For splitters: so many blocks at least and anchors for each range are looked at, and so many anchors of each block.
 SAMPLE_BLOCKS, SAMPLE_RANGE, SAMPLE_ANCHORS = 12, 40, 4000
 #: Hashes with more than a share of 1 / HOT of all rows of hashes, at most HOT of them, are found by a broadcast.
