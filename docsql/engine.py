@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from docsql.operators import hits, setops
 from docsql.operators.aggregate import aggregate, is_aggregated
-from docsql.operators.expressions import Scope, condition
+from docsql.operators.expressions import Scope, condition, member_join, split_members
 from docsql.operators.joins import join
 from docsql.plans.parser import bind, parse
 from docsql.plans.tree import Col, Delete, Item, Select, SetOperation, Show, Star
@@ -76,21 +76,39 @@ class Engine:
 
     def csv(self, text: str, with_id: bool = False, with_score: bool = False, **options) -> str:
         """Options: flat, separator, quote, new_line, show_header; the key and the score can be columns in front."""
-        tree = parse(text)
+        return options.pop("new_line", "\n").join(self.csv_parts(text, with_id, with_score, **options))
+
+    def _with_keys(self, tree, with_id: bool, with_score: bool):
         if (with_id or with_score) and isinstance(tree, Select) and tree.join is None and not is_aggregated(tree):
             key = self.catalog.scan([t.name for t in tree.tables], tree.hint("IGNORE_UNAVAILABLE") is not None).id_col
             more = [Item(Col(key), "_id", "_id")] * with_id + [Item(Col("_score"), "_score", "_score")] * with_score
-            tree = replace(tree, items=(*more, *tree.items))
-        return options.pop("new_line", "\n").join(results.csv_lines(self.run(tree), **options))
+            return replace(tree, items=(*more, *tree.items))
+        return tree
 
     def json(self, text: str) -> dict:
         """The answer as a dict; with TRACK_TOTAL_HITS the total counts all rows that fit, not only those shown."""
         began, tree = time.time(), parse(text)
-        out = results.envelope(self.run(tree), int(1000 * (time.time() - began)))
-        if isinstance(tree, Select) and tree.join is None and tree.hint("TRACK_TOTAL_HITS") and not is_aggregated(tree):
-            out["hits"]["total"]["value"] = self.base(tree)[0].count()
+        out = results.envelope(self.run(tree))
+        if (total := self._total(tree)) is not None:
+            out["hits"]["total"]["value"] = total
+        out["took"] = int(1000 * (time.time() - began))
         return out
 
+    def json_parts(self, text: str) -> Iterator[str]:
+        """The same answer as pieces of its text, hit by hit: no more than a partition of it is held."""
+        began, tree = time.time(), parse(text)
+        total = self._total(tree)
+        yield from results.envelope_parts(self.run(tree), began, total)
+
+    def _total(self, tree) -> int | None:
+        counted = isinstance(tree, Select) and tree.join is None and tree.hint("TRACK_TOTAL_HITS") and not is_aggregated(tree)
+        return self.base(tree)[0].count() if counted else None
+
+    def csv_parts(self, text: str, with_id: bool = False, with_score: bool = False, **options) -> Iterator[str]:
+        """Lines of csv(), one by one."""
+        options.pop("new_line", None)
+        return results.csv_lines(self.run(self._with_keys(parse(text), with_id, with_score)), **options)
+
     def scroll(self, text: str, size: int | None = None) -> Iterator[list]:
         tree = parse(text)
         hint = tree.hint("USE_SCROLL") if isinstance(tree, Select) else None
@@ -116,12 +134,15 @@ class Engine:
         source = Source(df, source.id_col if source.id_col in df.columns else next(iter(df.columns), "_id"), source.text, source.children)
         aliases = tuple(a for t in select.tables for a in (t.alias, t.name) if a)
         scope = Scope(df, df.schema, source, self, aliases)
-        if select.where is not None:
-            test = condition(select.where, scope)
+        members, rest = split_members(select.where)
+        if rest is not None:
+            test = condition(rest, scope)
             df = self.with_marks(df, scope).filter(test)
             if scope.semi:
                 df = df.drop(*[c for _, _, cols in scope.semi for c in cols])
             scope.semi.clear()
+        for node, negated in members:
+            df = member_join(df, node, negated, scope)
         return df, scope
 
     def select(self, select: Select) -> DataFrame:
@@ -184,11 +205,11 @@ class Engine:
         test = F.lit(True) if tree.where is None else F.coalesce(condition(tree.where, scope), F.lit(False))
         marked = self.with_marks(df, scope).withColumn("__doomed", test)
         if tree.limit is not None:
-            numbered = marked.filter("__doomed").withColumn("__n", F.monotonically_increasing_id())
-            first = numbered.orderBy("__n").limit(tree.limit)
-            rest = numbered.join(first.select("__n"), "__n", "left_anti")
+            # The first by content: rows that tie are equal, so what goes and what stays are complements however often they are read.
             columns = [F.col(f"`{c}`") for c in df.columns]
-            return marked.filter(~F.col("__doomed")).select(*columns).union(rest.select(*columns)), first.select(*columns)
+            doomed = marked.filter("__doomed").select(*columns)
+            first = doomed.orderBy(F.to_json(F.struct(*columns))).limit(tree.limit)
+            return marked.filter(~F.col("__doomed")).select(*columns).union(doomed.exceptAll(first)), first
         columns = [F.col(f"`{c}`") for c in df.columns]
         return marked.filter(~F.col("__doomed")).select(*columns), marked.filter("__doomed").select(*columns)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zoneinfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,6 +41,18 @@ def moment(text: str, pattern: str | None = None) -> Column:
     return F.coalesce(F.try_to_timestamp(F.lit(text), F.lit(pattern)), F.lit(text).try_cast("timestamp")) if pattern else F.lit(text).try_cast("timestamp")
 
 
+def zone(text: str) -> str:
+    """A time zone as Spark takes it: an offset as +08:00, or the name of a region; unknown ones are an error."""
+    text = text.strip()
+    if m := re.fullmatch(r"([+-])(\d{1,2})(?::?(\d{2}))?", text):
+        return f"{m[1]}{int(m[2]):02d}:{m[3] or '00'}"
+    try:
+        zoneinfo.ZoneInfo("UTC" if text.upper() == "Z" else text)
+    except (zoneinfo.ZoneInfoNotFoundError, ValueError) as e:
+        raise ValueError(f"no time zone {text!r}") from e
+    return "UTC" if text.upper() == "Z" else text
+
+
 def fixed_micros(text: str) -> int:
     """90m, 20d, 500ms, +8h in microseconds."""
     m = re.fullmatch(r"\s*([+-]?\d+)\s*(ms|micros|[wdhms])\s*", text)

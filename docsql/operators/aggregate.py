@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -43,11 +44,11 @@ def is_aggregated(select: Select) -> bool:
 class Level:
     name: str
     key: str = ""  # physical column
-    order: tuple[str, bool] = ("key", True)  # 'key' or 'count', ascending
+    order: tuple[str, bool] = ("key", True)  # 'key', 'count' or '=' and a metric's name; ascending
     size: int | None = None
     least: int = 1  # rows a bucket needs
     domain: list | None = None  # buckets that exist even when empty, in order
-    filled: DataFrame | None = None  # the same as a one-column DataFrame
+    gaps: Callable[[Column, Column], Column] | None = None  # all buckets from the first to the last
     visible: bool = True
     position: dict = field(default_factory=dict)
     extra: list[Column] = field(default_factory=list)
@@ -138,7 +139,11 @@ class _Chained(Scope):
 
 
 def leave(rows: Rows) -> Rows:
-    return replace_rows(rows, rows.df, rows.home)
+    """Back to the rows themselves: each counts once in a bucket, however many of its elements were there."""
+    df = rows.df
+    if rows.has_id:
+        df = df.dropDuplicates(["__row", *[c for c in df.columns if re.fullmatch(r"__k\d+", c)]])
+    return Rows(df, rows.home, rows.home, rows.has_id)
 
 
 def _option_field(call: Call, rows: Rows) -> tuple[Rows, Column, T.DataType | None, str]:
@@ -187,9 +192,7 @@ def _call_level(rows: Rows, call: Call, key: str, number: int, select: Select, e
         if len(call.args) > 1 and str(plain(call.args[1])).startswith("~"):
             rows = enter(rows, str(plain(call.args[1]))[1:])
             return _key_level(rows, value(node, rows.scope), rows.scope.kind(node), name, key, select, engine)
-        rows, level = _key_level(rows, value(node, rows.scope), rows.scope.kind(node), name, key, select, engine)
-        before = [f"__k{i}" for i in range(number)]
-        return replace_rows(rows, rows.df.dropDuplicates(["__row", *[b for b in before if b in rows.df.columns], key])), level
+        return _key_level(rows, value(node, rows.scope), rows.scope.kind(node), name, key, select, engine)
     if low == "children":
         rows = enter_children(rows, str(plain(call.args[0])))
         node = _as_col(call.args[1])
@@ -252,13 +255,20 @@ def _filters(rows: Rows, call: Call, key: str, name: str) -> tuple[Rows, Level]:
 def _order_option(given, default: tuple[str, bool]) -> tuple[str, bool]:
     if given is None:
         return default
-    text_ = str(given).lower()
-    if text_.startswith("{"):
-        k, v = next(iter(json.loads(text_).items()))
-        return ("key" if "key" in k or "term" in k else "count"), v == "asc"
-    if "_" in text_:
+    text_ = str(given).strip()
+    if text_.startswith(("{", "[")):
+        orders = json.loads(text_)
+        orders = orders if isinstance(orders, list) else [orders]
+        k, v = next(iter(orders[0].items()))
+        # Keys are different, so what follows the first order only matters for a count or a metric, whose ties go by key.
+        if any(next(iter(o)).lstrip("_") not in ("key", "term") for o in orders[1:]):
+            raise LoweringError("the second order of buckets can be their key only")
+        known = {"_key": "key", "_term": "key", "_count": "count", "key": "key", "term": "key", "count": "count"}
+        return known.get(k, f"={k}"), str(v).lower() == "asc"
+    text_ = text_.lower()
+    if re.fullmatch(r"(?:count|key|term)_(?:asc|desc)", text_):
         what, _, way = text_.partition("_")
-        return what, way == "asc"
+        return "count" if what == "count" else "key", way == "asc"
     return "key", text_ == "asc"
 
 
@@ -323,8 +333,12 @@ def _ranges(rows: Rows, call: Call, key: str, name: str, low: str) -> tuple[Rows
             pairs = _bounds(values)
         pattern = str(options.get("format") or DATE_PATTERN)
         c = value(field_, rows.scope).cast("timestamp")
+        zone = dates.zone(str(options["time_zone"])) if options.get("time_zone") else None
         ends = {v: dates.moment(str(v), pattern) for p in pairs for v in p if v is not None}
-        show = lambda v: F.lit("*") if v is None else F.date_format(ends[v], pattern)
+        # Bounds are local times, but for those counted from now.
+        ends = {v: F.to_utc_timestamp(e, zone) if zone and not str(v).strip().startswith("now") else e for v, e in ends.items()}
+        local = lambda e: F.from_utc_timestamp(e, zone) if zone else e
+        show = lambda v: F.lit("*") if v is None else F.date_format(local(ends[v]), pattern)
         labels = [F.concat(show(a), F.lit("-"), show(b)) for a, b in pairs]
         limits = [(None if a is None else ends[a], None if b is None else ends[b]) for a, b in pairs]
     else:
@@ -347,15 +361,6 @@ def _ranges(rows: Rows, call: Call, key: str, name: str, low: str) -> tuple[Rows
     return replace_rows(rows, df), level
 
 
-def _fill(rows: Rows, key: str, step: Column, bounds: list) -> DataFrame:
-    """All buckets from the first to the last one (and the bounds)."""
-    ends = rows.df.agg(F.min(key).alias("a"), F.max(key).alias("b"))
-    lo, hi = F.col("a"), F.col("b")
-    if bounds:
-        lo, hi = F.least(lo, bounds[0]), F.greatest(hi, bounds[1])
-    return ends.select(F.explode(F.sequence(lo, hi, step)).alias(key))
-
-
 def _histogram(rows: Rows, call: Call, key: str, number: int, name: str) -> tuple[Rows, Level]:
     rows, c, _, _ = _option_field(call, rows)
     step = float(call.option("interval") or 1)
@@ -365,11 +370,11 @@ def _histogram(rows: Rows, call: Call, key: str, number: int, name: str) -> tupl
     least = call.option("min_doc_count")
     level = Level(name, key, _order_option(call.option("order"), ("key", True)), least=max(1, int(least or 0)))
     bounds = call.option("extended_bounds")
-    if number == 0 and (bounds or least is not None and int(least) == 0):
-        ends = [float(b) for b in str(bounds).split(":")] if bounds else []
-        whole = rows.df.select(F.round((F.col(key) - offset) / step).cast("long").alias(key))
-        filled = _fill(replace_rows(rows, whole), key, F.lit(1).cast("long"), [F.floor(F.lit((e - offset) / step)) for e in ends])
-        level.filled = filled.select((F.col(key) * step + offset).alias(key))
+    if bounds or least is not None and int(least) == 0:
+        ends = [F.lit(float(b)) for b in str(bounds).split(":")] if bounds else []
+        number_of = lambda c: F.round((c - offset) / step).cast("long")
+        widened = lambda lo, hi: (F.least(number_of(lo), *[F.floor((e - offset) / step) for e in ends[:1]]), F.greatest(number_of(hi), *[F.floor((e - offset) / step) for e in ends[1:]])) if ends else (number_of(lo), number_of(hi))
+        level.gaps = lambda lo, hi: F.transform(F.sequence(*widened(lo, hi)), lambda i: i * step + offset)
     return rows, level
 
 
@@ -377,8 +382,7 @@ def _date_histogram(rows: Rows, call: Call, key: str, number: int, name: str) ->
     rows, c, _, _ = _option_field(call, rows)
     at = c.cast("timestamp")
     zone = call.option("time_zone")
-    shift = _zone_micros(str(zone)) if zone else 0
-    local = F.timestamp_micros(F.unix_micros(at) + shift) if shift else at
+    local = F.from_utc_timestamp(at, dates.zone(str(zone))) if zone else at
     calendar, fixed = call.option("calendar_interval"), call.option("fixed_interval")
     plain_ = call.option("interval")
     plain_ = plain_.strip() if isinstance(plain_, str) else plain_
@@ -399,21 +403,14 @@ def _date_histogram(rows: Rows, call: Call, key: str, number: int, name: str) ->
     least = call.option("min_doc_count")
     level = Level(name, key, _order_option(call.option("order"), ("key", True)), least=max(1, int(least or 0)))
     bounds = call.option("extended_bounds")
-    if number == 0 and (bounds or least is not None and int(least) == 0):
+    if bounds or least is not None and int(least) == 0:
         ends = [dates.moment(b) for b in re.split(r"(?<=\D):|:(?=\D)|(?<=\d\d):(?=\d{4}-)", str(bounds))] if bounds else []
-        level.filled = _fill(rows, key, step, ends)
+        level.gaps = lambda lo, hi: F.sequence(F.least(lo, ends[0]) if ends else lo, F.greatest(hi, ends[1]) if ends else hi, step)
     pattern = str(call.option("format") or DATE_PATTERN)
     level.extra = [F.date_format(F.col(key), pattern)]
     return rows, level
 
 
-def _zone_micros(zone: str) -> int:
-    m = re.fullmatch(r"([+-])(\d{1,2}):?(\d{2})?", zone.strip())
-    if not m:
-        return 0
-    return (1 if m[1] == "+" else -1) * (int(m[2]) * 60 + int(m[3] or 0)) * 60_000_000
-
-
 # ---------------------------------------------------------------- metrics
 
 
@@ -503,14 +500,16 @@ def _scripted(call: Call, rows: Rows) -> Column:
     return F.expr(out)
 
 
-def _top_hits(rows: DataFrame, keys: list[str], i: Item, columns: list[str]) -> DataFrame:
+def _top_hits(rows: DataFrame, keys: list[str], i: Item, columns: list[str], id_col: str) -> DataFrame:
     """keys and an array of the group's first rows: ranked before they are gathered, so no group is held whole."""
     call: Call = i.node
     size, start = int(call.option("size") or 3), int(call.option("from") or 0)
     take, leave_ = (str(call.option(k) or "") for k in ("include", "exclude"))
     order = [F.col(f"`{k}`").desc_nulls_last() if str(plain(v)).lower() == "desc" else F.col(f"`{k}`").asc_nulls_last() for k, v in call.named if k.lower() not in ("size", "from", "include", "exclude", "alias")]
     shown = [c for c in columns if (not take or c in [t.strip() for t in take.split(",")]) and c not in [t.strip() for t in leave_.split(",")]]
-    window = Window.partitionBy(*keys).orderBy(*(order or [F.lit(0)]), *[F.col(f"`{c}`") for c in columns if isinstance(rows.schema[c].dataType, T.AtomicType)])
+    # Ties go by the key column, so that the scan and the sort hold no column but those shown and sorted by.
+    ties = [F.col(f"`{id_col}`")] if id_col in columns else [F.col(f"`{c}`") for c in columns if isinstance(rows.schema[c].dataType, T.AtomicType)] or [F.lit(0)]
+    window = Window.partitionBy(*keys).orderBy(*order, *ties)
     ranked = rows.withColumn("__rn", F.row_number().over(window)).filter((F.col("__rn") > start) & (F.col("__rn") <= start + size))
     hit = F.struct("__rn", F.struct(*[F.col(f"`{c}`") for c in shown]).alias("hit"))
     found = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("__hits"))
@@ -521,11 +520,13 @@ def _top_hits(rows: DataFrame, keys: list[str], i: Item, columns: list[str]) ->
 
 
 def aggregate(select: Select, base: DataFrame, scope: Scope, engine) -> DataFrame:
-    if any(isinstance(n, Call) and n.name.lower() == "significant_text" for g in select.groups for n in g):
-        return _significant(select, base, scope)
+    if any(_is_significant(n) for g in select.groups for n in g):
+        return _significant(select, base, scope, engine)
     lists = select.groups or ((),)
     lists = tuple(tuple(n for n in g if not (isinstance(n, Call) and n.name.lower() == "geo_bounds")) for g in lists)
     boxes = [Item(n, n.option("alias") or n.text, n.text) for g in select.groups for n in g if isinstance(n, Call) and n.name.lower() == "geo_bounds"]
+    if (once := _grouping_sets(select, lists, boxes, base, scope, engine)) is not None:
+        return once
     outs = []
     for number, group in enumerate(lists):
         df = _one_list(select, group, boxes, base, scope, engine)
@@ -535,6 +536,31 @@ def aggregate(select: Select, base: DataFrame, scope: Scope, engine) -> DataFram
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), outs)
 
 
+def _grouping_sets(select: Select, lists: tuple, boxes: list[Item], base: DataFrame, scope: Scope, engine) -> DataFrame | None:
+    """Several lists of plain columns, all buckets of them: one scan and one aggregation. None where that does not do."""
+    items = [i for i in select.items if is_metric(i.node)]
+    nodes = list(dict.fromkeys(n for g in lists for n in g))
+    plain_ = all(isinstance(n, Col) and scope.kind(n) is not None and not isinstance(scope.kind(n), T.ArrayType) for n in nodes) and all(lists)
+    if len(lists) < 2 or not plain_ or boxes or select.having is not None or select.orders or _limit(select, engine) is not None:
+        return None
+    if any(i.node.name.lower() in PIPELINE | {"tophits"} or any(isinstance(a, Call) and a.name.lower() in BUCKETS for a in i.node.args) for i in items):
+        return None
+    rows = Rows(base.withColumns({f"__k{n}": value(node, scope) for n, node in enumerate(nodes)}), scope, scope)
+    named = [(f"__m{n}", name, c) for n, (name, c) in enumerate(x for i in items for x in metrics(i, rows, engine))]
+    key = {node: f"__k{n}" for n, node in enumerate(nodes)}
+    sets = [[F.col(key[n]) for n in g] for g in lists]
+    # A set's bits: which keys it lacks. Rows with a null key vanish from the sets that have the key.
+    out = rows.df.groupingSets(sets, *[F.col(k) for k in key.values()]).agg(F.grouping_id(*key.values()).alias("__id"), F.count(F.lit(1)).alias("__count"), *[c.alias(m) for m, _, c in named])
+    bits = [sum(1 << (len(nodes) - 1 - i) for i, n in enumerate(nodes) if n not in g) for g in lists]
+    if len(set(bits)) < len(bits):
+        return None
+    number = F.coalesce(*[F.when(F.col("__id") == b, F.lit(n)) for n, b in enumerate(bits)])
+    there = reduce(lambda a, b: a & b, [F.col(k).isNotNull() | (F.col("__id").bitwiseAND(F.lit(1 << (len(nodes) - 1 - i)).cast("long")) != 0) for i, k in enumerate(key.values())])
+    out = out.withColumn("_grouping", number).filter(there).orderBy("_grouping", F.desc("__count"), *key.values())
+    shown = [F.col(k).alias(_text_of(n)) for n, k in key.items()] + [F.col(m).alias(name) for m, name, _ in named]
+    return out.select(*shown, *([] if items else [F.col("__count").alias("doc_count")]), "_grouping")
+
+
 def _one_list(select: Select, group: tuple[Node, ...], boxes: list[Item], base: DataFrame, scope: Scope, engine) -> DataFrame:
     rows = Rows(base, scope, scope)
     if _needs_row_id(group, select):
@@ -559,7 +585,7 @@ def _one_list(select: Select, group: tuple[Node, ...], boxes: list[Item], base:
     out = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("__count"), *[c.alias(m) for m, _, c in named])
     for i in items:
         if i.node.name.lower() == "tophits":
-            hits = _top_hits(data, keys, i, base.columns)
+            hits = _top_hits(data, keys, i, base.columns, scope.source.id_col)
             cond = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]) if keys else None
             out = out.alias("a").join(hits.alias("b"), cond, "left") if keys else out.crossJoin(hits)
             out = out.select(*[F.col(f"a.{c}") for c in data.groupBy(*keys).agg(F.count(F.lit(1)).alias("__count")).columns], *[F.col(m) for m, *_ in named], F.col(f"`{metric_name(i)}`")) if keys else out
@@ -579,33 +605,40 @@ def _once_each(rows: Rows, items: list[Item]) -> DataFrame:
 
 
 def _trim_levels(rows: Rows, levels: list[Level], select: Select) -> Rows:
-    """Every level but the last keeps its first buckets only; they are found by a count over that level."""
+    """Every level but the last keeps the buckets with rows enough, and the first of these; they are found by a count over that level."""
     for n, level in enumerate(levels[:-1]):
-        if level.size is None:
+        if level.order[0].startswith("="):
+            raise LoweringError(f"metrics belong to the last level, {level.name} cannot be ordered by one")
+        if level.size is None and level.least <= 1:
             continue
         above = [lv.key for lv in levels[:n]]
-        counts = rows.df.groupBy(*above, level.key).agg(F.count(F.lit(1)).alias("__c"))
+        kept = rows.df.groupBy(*above, level.key).agg(F.count(F.lit(1)).alias("__c")).filter(F.col("__c") >= level.least)
         order = [F.col("__c").asc() if level.order[1] else F.col("__c").desc()] if level.order[0] == "count" else []
         order.append(F.col(level.key).asc() if level.order[0] == "count" or level.order[1] else F.col(level.key).desc())
-        if above:
-            kept = counts.withColumn("__r", F.row_number().over(Window.partitionBy(*above).orderBy(*order))).filter(F.col("__r") <= level.size)
-        else:
-            kept = counts.orderBy(*order).limit(level.size)
+        if level.size is not None and above:
+            kept = kept.withColumn("__r", F.row_number().over(Window.partitionBy(*above).orderBy(*order))).filter(F.col("__r") <= level.size)
+        elif level.size is not None:
+            kept = kept.orderBy(*order).limit(level.size)
         rows = replace_rows(rows, rows.df.join(kept.select(*above, level.key), [*above, level.key], "left_semi"))
     return rows
 
 
 def _fill_empty(out: DataFrame, levels: list[Level], named: list, columns: list) -> DataFrame:
     """The last level's buckets without rows, below every parent there is."""
-    if not levels or (levels[-1].domain is None and levels[-1].filled is None) or not levels[-1].visible and len(levels) > 1:
+    if not levels or (levels[-1].domain is None and levels[-1].gaps is None) or not levels[-1].visible and len(levels) > 1:
         return out
     level = levels[-1]
     spark = out.sparkSession
     kind = out.schema[level.key].dataType
-    domain = level.filled if level.filled is not None else spark.range(1).select(F.explode(F.array(*[F.lit(d).cast(kind) for d in level.domain])).alias(level.key))
     above = [lv.key for lv in levels[:-1]]
-    # The domain is as small as its definition; parents are buckets, not rows.
-    every = out.select(*above).distinct().crossJoin(F.broadcast(domain)) if above else domain
+    if level.gaps is not None:
+        # From each parent's own first bucket to its last one.
+        ends = out.groupBy(*above).agg(F.min(level.key).alias("__lo"), F.max(level.key).alias("__hi"))
+        every = ends.select(*above, F.explode(level.gaps(F.col("__lo"), F.col("__hi"))).alias(level.key))
+    else:
+        domain = spark.range(1).select(F.explode(F.array(*[F.lit(d).cast(kind) for d in level.domain])).alias(level.key))
+        # The domain is as small as its definition; parents are buckets, not rows.
+        every = out.select(*above).distinct().crossJoin(F.broadcast(domain)) if above else domain
     out = every.join(out, [*above, level.key], "left").withColumn("__count", F.coalesce("__count", F.lit(0)))
     zero = [m for (m, _), (_, c) in zip(named, columns, strict=True) if re.match(r"count\(|Column<'count", str(c)) or "count(" in str(c).split(" ")[0].lower()]
     return out.withColumns({m: F.coalesce(F.col(m), F.lit(0)) for m in zero}) if zero else out
@@ -618,9 +651,9 @@ def _finish(out: DataFrame, levels: list[Level], shown: dict[str, str], items: l
         if low in ("movingavg", "rollingstd"):
             out, by_name = _moving(out, i, levels, by_name)
             shown[f"__p_{metric_name(i)}"] = metric_name(i)
-    for i in items:
-        if i.node.name.lower() in ("max_bucket", "min_bucket"):
-            return _extreme(out, i, levels, by_name)
+    siblings = [i for i in items if i.node.name.lower() in ("max_bucket", "min_bucket")]
+    if siblings:
+        return _extremes(out, siblings, levels, by_name)
     alias_of = {i.alias: i.text for i in select.items if i.alias}
 
     def named(node: Node, text_: str) -> Column | None:
@@ -657,6 +690,11 @@ def _finish(out: DataFrame, levels: list[Level], shown: dict[str, str], items: l
     if levels:
         last = levels[-1]
         own = given or ([F.col("__count").asc() if last.order[1] else F.col("__count").desc()] if last.order[0] == "count" else [])
+        if not given and last.order[0].startswith("="):
+            c = named(Col(last.order[0][1:]), last.order[0][1:])
+            if c is None:
+                raise LoweringError(f"no metric {last.order[0][1:]} to order {last.name} by")
+            own = [c.asc_nulls_last() if last.order[1] else c.desc_nulls_last()]
         tie = F.col(last.key).desc() if last.order == ("key", False) and not given else F.col(last.key).asc()
         limit = last.size
         if len(levels) == 1:
@@ -748,35 +786,67 @@ def _moving(out: DataFrame, i: Item, levels: list[Level], by_name: dict[str, str
     return out.withColumn(f"__p_{name}", f.over(before)), by_name | {name: f"__p_{name}"}
 
 
-def _extreme(out: DataFrame, i: Item, levels: list[Level], by_name: dict[str, str]) -> DataFrame:
-    """The largest or smallest value of a metric over all buckets, and the bucket's key."""
-    c = _path_column(i.node, by_name)
-    largest = i.node.name.lower() == "max_bucket"
+def _extremes(out: DataFrame, items: list[Item], levels: list[Level], by_name: dict[str, str]) -> DataFrame:
+    """One row: of each item the largest or smallest value of its metric over all buckets, and the first key of a bucket that has it.
+
+    The key's column is `keys`, or name.keys where there are several items.
+    """
+    if not levels:
+        raise LoweringError(f"{items[0].node.name} needs a group")
     last = levels[-1]
     key = last.extra[0] if last.extra and last.domain is None else F.col(last.key)
-    best = F.max if largest else F.min
-    at = out.agg(best(c).alias("__best"))
-    found = out.join(F.broadcast(at), c == F.col("__best")).agg(F.min(key.cast("string")).alias("keys"), F.first("__best").alias("value"))
-    return found.select("keys", F.col("value").alias(metric_name(i)))
+    found, shown = [], []
+    for n, i in enumerate(items):
+        c = _path_column(i.node, by_name)
+        # The best value first, then the least key, in one pass: an array's order is that of its elements.
+        if i.node.name.lower() == "max_bucket":
+            best, first = F.max(c), F.min(F.when(c.isNotNull(), F.struct((-c).alias("v"), key.cast("string").alias("k"))))
+        else:
+            best, first = F.min(c), F.min(F.when(c.isNotNull(), F.struct(c.alias("v"), key.cast("string").alias("k"))))
+        found += [best.alias(f"__best{n}"), first["k"].alias(f"__keys{n}")]
+        shown += [F.col(f"__keys{n}").alias("keys" if len(items) == 1 else f"{metric_name(i)}.keys"), F.col(f"__best{n}").alias(metric_name(i))]
+    return out.agg(*found).select(*shown)
 
 
-def _significant(select: Select, base: DataFrame, scope: Scope) -> DataFrame:
-    """Words that are more frequent in the filtered rows than in all: their counts in both and the score."""
-    call = next(n for g in select.groups for n in g if isinstance(n, Call) and n.name.lower() == "significant_text")
+def _significant(select: Select, base: DataFrame, scope: Scope, engine) -> DataFrame:
+    """Words that are more frequent in a bucket's rows than in all rows, by score: keys of the levels above, word, metrics, doc_count, bg_count, score."""
+    if len(select.groups) > 1 or not _is_significant(select.groups[0][-1]) or any(_is_significant(n) for n in select.groups[0][:-1]):
+        raise LoweringError("significant_text is the last level of one list")
+    call = select.groups[0][-1]
     field_ = Col(str(call.option("field") or plain(call.args[0])))
-    words = lambda df: df.select(F.explode(F.array_distinct(text.tokens(value(field_, scope)))).alias("w"))
-    front = words(base).groupBy("w").agg(F.count(F.lit(1)).alias("doc_count"))
-    least = int(call.option("min_doc_count") or 3)
-    front = front.filter(F.col("doc_count") >= least)
+    rows, levels = Rows(base, scope, scope), []
+    for node in select.groups[0][:-1]:
+        rows, level = add_level(rows, node, len(levels), select, engine)
+        levels.append(level)
+    word = Level(str(call.option("alias") or call.text), "__word")
+    rows = _trim_levels(rows, [*levels, word], select)
+    items = [i for i in select.items if is_metric(i.node)]
+    if any(i.node.name.lower() in PIPELINE | {"tophits"} for i in items):
+        raise LoweringError("significant_text takes simple metrics")
+    columns = [(f"__m{n}", name, c) for n, (name, c) in enumerate(x for i in items for x in metrics(i, rows, engine))]
+    above = [lv.key for lv in levels]
+    words = lambda df: df.withColumn("__word", F.explode(F.array_distinct(text.tokens(value(field_, scope)))))
+    front = words(rows.df).groupBy(*above, "__word").agg(F.count(F.lit(1)).alias("doc_count"), *[c.alias(m) for m, _, c in columns])
+    front = front.filter(F.col("doc_count") >= int(call.option("min_doc_count") or 3))
     for option, keep in (("include", True), ("exclude", False)):
         if given := call.option(option):
-            test = F.col("w").rlike(f"^(?:{given})$")
+            test = F.col("__word").rlike(f"^(?:{given})$")
             front = front.filter(test if keep else ~test)
-    back = words(scope.df).groupBy("w").agg(F.count(F.lit(1)).alias("bg_count"))
-    sizes = base.agg(F.count(F.lit(1)).alias("__f")).crossJoin(scope.df.agg(F.count(F.lit(1)).alias("__b")))
+    back = words(scope.df.select(value(field_, scope).alias(field_.name) if "." not in field_.name else F.col("*"))).groupBy("__word").agg(F.count(F.lit(1)).alias("bg_count"))
+    sizes = rows.df.groupBy(*above).agg(F.count(F.lit(1)).alias("__f"))
+    front = front.join(sizes, above) if above else front.crossJoin(F.broadcast(sizes))
+    front = front.join(back, "__word").crossJoin(F.broadcast(scope.df.agg(F.count(F.lit(1)).alias("__b"))))
     fg, bg = F.col("doc_count") / F.col("__f"), F.col("bg_count") / F.col("__b")
-    out = front.join(back, "w").crossJoin(F.broadcast(sizes)).withColumn("score", (fg - bg) * (fg / bg)).filter("score > 0")
-    name = str(call.option("alias") or call.text)
+    out = front.withColumn("score", (fg - bg) * (fg / bg)).filter("score > 0")
     size = int(call.option("size") or 10)
-    return out.orderBy(F.desc("score"), "w").limit(size).select(F.col("w").alias(name), "doc_count", "bg_count", "score")
+    if above:
+        rank = F.row_number().over(Window.partitionBy(*above).orderBy(F.desc("score"), "__word"))
+        out = out.withColumn("__rank", rank).filter(F.col("__rank") <= size).orderBy(*above, F.desc("score"), "__word")
+    else:
+        out = out.orderBy(F.desc("score"), "__word").limit(size)
+    keys = [(F.element_at(F.array(*lv.extra), F.col(lv.key).cast("int") + 1) if lv.domain is not None and lv.extra else lv.extra[0] if lv.extra else F.col(lv.key)).alias(lv.name) for lv in levels if lv.visible]
+    return out.select(*keys, F.col("__word").alias(word.name), *[F.col(m).alias(name) for m, name, _ in columns], "doc_count", "bg_count", "score")
+
 
+def _is_significant(node: Node) -> bool:
+    return isinstance(node, Call) and node.name.lower() == "significant_text"

@@ -398,6 +398,53 @@ def _member(c: Column, kind, select: Select, scope: Scope) -> Column:
     return F.coalesce(F.col(mark), F.lit(False))
 
 
+def split_members(where: Node | None) -> tuple[list[tuple[Node, bool]], Node | None]:
+    """The conjuncts that ask for membership in a subquery or for child rows, each with whether it is negated; and the rest."""
+    parts = list(where.items) if isinstance(where, All) else [] if where is None else [where]
+    members, rest = [], []
+    for x in parts:
+        node, negated = (x.item, True) if isinstance(x, Not) else (x, False)
+        if (found := _membership(node)) is not None:
+            members.append((found[0], negated != found[1]))
+        else:
+            rest.append(x)
+    return members, None if not rest else rest[0] if len(rest) == 1 else All(tuple(rest))
+
+
+def _membership(node: Node) -> tuple[Node, bool] | None:
+    """A condition as membership in a subquery (In) or as children(table, condition), and whether it is negated."""
+    if isinstance(node, In) and isinstance(node.items, SubQuery) and not isinstance(node.node, Call):
+        return In(node.node, node.items), node.negated
+    if isinstance(node, Call) and node.name.lower() == "children":
+        return node, False
+    if isinstance(node, Compare) and node.op in ("=", "<>"):
+        left, right = node.left, node.right
+        if isinstance(left, Call) and left.name.lower() == "children" and not isinstance(right, SubQuery):
+            return Call(left.name, (left.args[0], Compare("=", _as_col(left.args[1]), right))), node.op == "<>"
+        if isinstance(right, Call) and right.name.lower() in ("in_terms", "terms") and right.args and isinstance(right.args[0], SubQuery) and not isinstance(left, Call):
+            return In(left, right.args[0]), node.op == "<>"
+    return None
+
+
+def member_join(df: DataFrame, node: Node, negated: bool, scope: Scope) -> DataFrame:
+    """Rows whose value is (or is not) among a subquery's, or which have (or have not) such child rows: a semi or anti join by the values' own type."""
+    if isinstance(node, In):
+        inner = scope.engine.select(node.items.select)
+        if len(inner.columns) != 1:
+            raise LoweringError("a subquery must have one column")
+        left, kind, right = value(node.node, scope), scope.kind(node.node), inner.schema[0].dataType
+    else:
+        inner, column = _child_rows(str(plain(node.args[0])), node.args[1], scope)
+        inner = inner.select(F.col(f"`{column}`"))
+        left, kind, right = scope.column(scope.source.id_col), scope.schema[scope.source.id_col].dataType, inner.schema[0].dataType
+    name = scope.engine.fresh("member")
+    key = F.col(f"`{inner.columns[0]}`")
+    if not (kind == right or isinstance(kind, T.IntegralType) and isinstance(right, T.IntegralType)):
+        left, key = _as_text(left, kind), _as_text(key, right)
+    inner = inner.select(key.alias(name))
+    return df.join(inner, left == F.col(name), "left_anti" if negated else "left_semi")
+
+
 def _as_text(c: Column, kind: T.DataType | None) -> Column:
     """Whole numbers look the same whatever their type."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
@@ -460,17 +507,22 @@ def element_scope(scope: Scope, path: str, kind: T.ArrayType, element: Column) -
 
 def _children(name: str, inner: Node, scope: Scope) -> Column:
     """Whether any child row fits: a mark from a left join with the distinct parents of those rows."""
+    rows, column = _child_rows(name, inner, scope)
+    mark = scope.engine.fresh("child")
+    parents = rows.select(F.col(f"`{column}`").cast("string").alias(f"{mark}_v")).distinct().withColumn(mark, F.lit(True))
+    scope.semi.append((parents, scope.column(scope.source.id_col).cast("string") == F.col(f"{mark}_v"), [mark, f"{mark}_v"]))
+    return F.coalesce(F.col(mark), F.lit(False))
+
+
+def _child_rows(name: str, inner: Node, scope: Scope) -> tuple[DataFrame, str]:
+    """The child rows that fit, and their column with the parent's id."""
     child = scope.source.children.get(name)
     if child is None:
         raise LoweringError(f"no child table {name}")
     source = scope.engine.catalog.one(child.table)
     below = Scope(source.df, source.df.schema, source, scope.engine)
     test = condition(inner, below)
-    rows = scope.engine.with_marks(source.df, below).filter(test)
-    mark = scope.engine.fresh("child")
-    parents = rows.select(F.col(f"`{child.parent}`").cast("string").alias(f"{mark}_v")).distinct().withColumn(mark, F.lit(True))
-    scope.semi.append((parents, scope.column(scope.source.id_col).cast("string") == F.col(f"{mark}_v"), [mark, f"{mark}_v"]))
-    return F.coalesce(F.col(mark), F.lit(False))
+    return scope.engine.with_marks(source.df, below).filter(test), child.parent
 
 
 # ---------------------------------------------------------------- text and places

@@ -163,6 +163,8 @@ def project(df: DataFrame, select: Select, scope: Scope) -> DataFrame:
             out += [F.col(f"`{c}`") for c in df.columns if c not in scope.schema.names and c != "_score" and not c.startswith("__")]
         else:
             out.append(item_column(i, df, scope).alias(item_name(i)))
+    if not any(isinstance(i.node, Star) for i in items):
+        out += [F.col(f"`{c}`") for c in df.columns if c.endswith(".highlight") and c not in scope.schema.names]
     return df.select(*out)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,13 @@ def join(select: Select, engine) -> DataFrame:
     other = frames[right]
     if select.hint("USE_NL", "USE_NESTED_LOOPS"):
         other = other.hint("shuffle_replicate_nl") if j.kind == "inner" else other
-    df = frames[left].crossJoin(other) if on is None else frames[left].join(other, on, j.kind)
+    by_parts = j.kind == "inner" and isinstance(j.on, Any_) and not select.hint("USE_NL", "USE_NESTED_LOOPS") and all(_has_equality(x, sources) for x in j.on.items)
+    if by_parts:
+        # Each pair comes from the first part that it fits, so the parts share none, and each is an equality join.
+        parts = [F.coalesce(_on(x, both), F.lit(False)) if not _equality(x, sources) else _on(x, both) for x in j.on.items]
+        df = reduce(DataFrame.unionAll, [frames[left].join(other, reduce(lambda a, b: a & ~b, parts[:n], c), "inner") for n, c in enumerate(parts)])
+    else:
+        df = frames[left].crossJoin(other) if on is None else frames[left].join(other, on, j.kind)
     if where:
         test = condition(All(tuple(where)) if len(where) > 1 else where[0], both)
         df = engine.with_marks(df, both).filter(test)
@@ -84,6 +92,15 @@ def _tables(node, aliases) -> set[str]:
     return found
 
 
+def _equality(node: Node, sources) -> bool:
+    """Whether a condition is that a column of one table equals a column of the other."""
+    return isinstance(node, Compare) and node.op == "=" and isinstance(node.left, Col) and isinstance(node.right, Col) and {len(_tables(node.left, sources)), len(_tables(node.right, sources))} == {1} and _tables(node, sources) == set(sources)
+
+
+def _has_equality(node: Node, sources) -> bool:
+    return _equality(node, sources) or isinstance(node, All) and any(_equality(x, sources) for x in node.items)
+
+
 def _on(node: Node, both: Scope) -> Column:
     if isinstance(node, All):
         out = _on(node.items[0], both)

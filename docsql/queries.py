@@ -30,6 +30,10 @@ def engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
     item = F.struct("l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
     nested = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("lines"))
     catalog.register("order_docs", orders.join(nested, orders.o_orderkey == nested.l_orderkey).drop("l_orderkey"), "o_orderkey")
+    square = lambda x, y: F.array(x, y)
+    ring = F.array(*[square(F.col("center.lon") + dx, F.col("center.lat") + dy) for dx, dy in ((-2, -2), (2, -2), (2, 2), (-2, 2), (-2, -2))])
+    areas = catalog.one("places").df.select("c_custkey", "center", F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("area"))
+    catalog.register("areas", areas.filter("abs(center.lon) < 20 and abs(center.lat) < 20"), "c_custkey")
     catalog.register("order_tree", orders, "o_orderkey", children={"line": Child("lineitem", "l_orderkey")})
     return Engine(spark, catalog, **options)
 
@@ -40,9 +44,11 @@ class Query:
     sql: str | None
     rounded: tuple[str, ...] = ()
     as_json: tuple[str, ...] = ()
+    picked: tuple[str, str] | None = None  # of a column of rows, the field shown
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = engine(spark, sf_dir).sql(self.text)
+        df = df.withColumn(self.picked[0], F.to_json(F.transform(self.picked[0], lambda r: r[self.picked[1]]))) if self.picked else df
         df = df.withColumns({c: F.to_json(F.col(f"`{c}`")) for c in self.as_json}) if self.as_json else df
         return df.withColumns({c: F.round(F.col(f"`{c}`").cast("double"), DIGITS) for c in self.rounded}) if self.rounded else df
 
@@ -101,6 +107,12 @@ QUERIES: dict[str, Query] = {
     "group_by_case_alias": Query(
         "SELECT CASE WHEN o_totalprice > 250000 THEN 'high' ELSE 'low' END AS level, COUNT(*) AS n FROM orders GROUP BY level",
         "SELECT CASE WHEN o_totalprice > 250000 THEN 'high' ELSE 'low' END AS level, count(*) AS n FROM orders GROUP BY 1"),
+    "terms_order_option": Query(
+        "SELECT SUM(o_totalprice) AS s FROM orders GROUP BY terms(field='o_custkey',alias='k',size=9,order='[{\"s\":\"desc\"},{\"_key\":\"asc\"}]')",
+        "SELECT o_custkey AS k, sum(o_totalprice) AS s FROM orders GROUP BY 1 ORDER BY s DESC, 1 LIMIT 9", ("s",)),
+    "terms_least_above": Query(
+        "SELECT COUNT(*) AS n FROM orders GROUP BY terms(field='o_custkey',alias='k',min_doc_count=16), o_orderstatus",
+        "SELECT o_custkey AS k, o_orderstatus, count(*) AS n FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 16) GROUP BY 1, 2"),
     "grouping_lists": Query(
         "SELECT COUNT(*) AS n, MAX(o_totalprice) AS m FROM orders GROUP BY (o_orderstatus), (o_orderpriority, o_orderstatus)",
         """SELECT 0 AS _grouping, o_orderstatus, NULL AS o_orderpriority, count(*) AS n, max(o_totalprice) AS m FROM orders GROUP BY o_orderstatus
@@ -113,12 +125,32 @@ QUERIES: dict[str, Query] = {
         "SELECT COUNT(*) AS n FROM orders GROUP BY date_range(field='o_orderdate',format='yyyy-MM-dd',alias='d','1995-01-01','1996-01-01','1996-07-01','1998-01-01')",
         """WITH b(a, z) AS (VALUES (DATE '1995-01-01', DATE '1996-01-01'), (DATE '1996-01-01', DATE '1996-07-01'), (DATE '1996-07-01', DATE '1998-01-01'))
  SELECT strftime(a, '%Y-%m-%d') || '-' || strftime(z, '%Y-%m-%d') AS d, count(o_orderkey) AS n FROM b LEFT JOIN orders ON o_orderdate >= a AND o_orderdate < z GROUP BY 1"""),
+    "date_range_zone": Query(
+        "SELECT COUNT(*) AS n FROM events GROUP BY date_range(field='ts',format='yyyy-MM-dd',time_zone='Asia/Tokyo',alias='d','2024-01-05','2024-01-10','2024-02-01')",
+        """WITH b(a, z) AS (VALUES (TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-10'), (TIMESTAMP '2024-01-10', TIMESTAMP '2024-02-01'))
+ SELECT strftime(a, '%Y-%m-%d') || '-' || strftime(z, '%Y-%m-%d') AS d, count(event_id) AS n FROM b LEFT JOIN events ON ts + INTERVAL 9 HOUR >= a AND ts + INTERVAL 9 HOUR < z GROUP BY 1"""),
+    "month_buckets": Query(
+        "SELECT COUNT(*) AS n FROM orders GROUP BY month(field='o_orderdate',format='yyyy-MM',alias='m','1995-01','1995-02','1995-05')",
+        """WITH b(a, z) AS (VALUES (DATE '1995-01-01', DATE '1995-02-01'), (DATE '1995-02-01', DATE '1995-05-01'))
+ SELECT strftime(a, '%Y-%m') || '-' || strftime(z, '%Y-%m') AS m, count(o_orderkey) AS n FROM b LEFT JOIN orders ON o_orderdate >= a AND o_orderdate < z GROUP BY 1"""),
     "histogram": Query(
         "SELECT COUNT(*) AS n, AVG(o_totalprice) AS a FROM orders GROUP BY histogram(field='o_totalprice',interval=50000,alias='h')",
         "SELECT floor(o_totalprice / 50000) * 50000 AS h, count(*) AS n, avg(o_totalprice) AS a FROM orders GROUP BY 1", ("a",)),
     "histogram_gaps": Query(
         "SELECT COUNT(*) AS n FROM nation WHERE n_nationkey < 4 OR n_nationkey > 17 GROUP BY histogram(field='n_nationkey',interval=3,alias='h',min_doc_count=0,extended_bounds='0:33')",
         "SELECT CAST(h AS DOUBLE) AS h, count(n_nationkey) AS n FROM range(0, 34, 3) r(h) LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 4 OR n_nationkey > 17) ON floor(n_nationkey / 3) * 3 = h GROUP BY 1"),
+    "histogram_gaps_below": Query(
+        "SELECT COUNT(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY o_orderpriority, histogram(field='o_totalprice',interval=2500,alias='h',min_doc_count=0)",
+        """WITH r AS (SELECT o_orderpriority AS p, CAST(floor(o_totalprice / 2500) AS BIGINT) AS i FROM orders WHERE o_totalprice > 300000),
+ g AS (SELECT p, unnest(generate_series(min(i), max(i))) AS i FROM r GROUP BY p)
+ SELECT g.p AS o_orderpriority, CAST(g.i * 2500 AS DOUBLE) AS h, count(r.i) AS n FROM g LEFT JOIN r ON r.p = g.p AND r.i = g.i GROUP BY 1, 2"""),
+    "date_histogram_zone": Query(
+        "SELECT COUNT(*) AS n FROM events GROUP BY date_histogram(field='ts',interval='1d',format='yyyy-MM-dd',time_zone='Asia/Shanghai',alias='d')",
+        "SELECT strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS d, count(*) AS n FROM events GROUP BY 1"),
+    "date_histogram_gaps_below": Query(
+        "SELECT COUNT(*) AS n FROM events WHERE value > 150 GROUP BY event_type, date_histogram(field='ts',interval='1h',min_doc_count=0,alias='h')",
+        """WITH e AS (SELECT event_type, date_trunc('hour', ts) AS t FROM events WHERE value > 150), g AS (SELECT event_type, unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS t FROM e GROUP BY 1)
+ SELECT g.event_type, strftime(g.t, '%Y-%m-%d %H:%M:%S') AS h, count(e.t) AS n FROM g LEFT JOIN e ON e.t = g.t AND e.event_type = g.event_type GROUP BY 1, 2"""),
     "date_histogram_fixed": Query("SELECT COUNT(*) AS n, SUM(value) AS s FROM events GROUP BY date_histogram(field='ts',interval='90m',alias='h')", _date_buckets("90 minutes", ", sum(value) AS s"), ("s",)),
     "date_histogram_calendar": Query(
         "SELECT COUNT(*) AS n FROM orders GROUP BY date_histogram(field='o_orderdate',interval='month',format='yyyy-MM',alias='m')",
@@ -141,6 +173,14 @@ QUERIES: dict[str, Query] = {
  s AS (SELECT CAST(count(*) AS DOUBLE) AS nb, CAST(count(*) FILTER (source = 'src3') AS DOUBLE) AS nf FROM d)
  SELECT word, doc_count, bg_count, (doc_count / nf - bg_count / nb) * ((doc_count / nf) / (bg_count / nb)) AS score FROM b, s
  WHERE doc_count >= 5 AND doc_count / nf > bg_count / nb ORDER BY score DESC, word LIMIT 12""", ("score",)),
+    "significant_text_below": Query(
+        "SELECT COUNT(*) AS n, MAX(n_chars) AS longest FROM documents GROUP BY source, significant_text(field='text',alias='word',size=4,min_doc_count=6)",
+        f"""WITH d AS (SELECT *, {_WORDS} AS t FROM documents), w AS (SELECT doc_id, source, n_chars, unnest(list_distinct(t)) AS word FROM d),
+ b AS (SELECT word, count(*) AS bg_count FROM w GROUP BY 1), f AS (SELECT source, word, count(*) AS doc_count, max(n_chars) AS longest FROM w GROUP BY 1, 2),
+ s AS (SELECT source, CAST(count(*) AS DOUBLE) AS nf FROM d GROUP BY 1), a AS (SELECT CAST(count(*) AS DOUBLE) AS nb FROM d)
+ SELECT source, word, doc_count AS n, CAST(longest AS DOUBLE) AS longest, doc_count, bg_count, (doc_count / nf - bg_count / nb) * ((doc_count / nf) / (bg_count / nb)) AS score
+ FROM f JOIN b USING (word) JOIN s USING (source), a WHERE doc_count >= 6 AND doc_count / nf > bg_count / nb
+ QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, word) <= 4""", ("score",)),
     # metrics
     "stats": Query("SELECT stats(l_quantity) AS q FROM lineitem GROUP BY l_returnflag", f"SELECT l_returnflag, {_STATS.format('l_quantity', 'q')} FROM lineitem GROUP BY 1", ("q.sum", "q.avg")),
     "extended_stats": Query(
@@ -180,6 +220,10 @@ QUERIES: dict[str, Query] = {
     "min_bucket": Query(
         "SELECT COUNT(*) AS n, min_bucket(n) AS least FROM orders GROUP BY o_orderpriority",
         "WITH b AS (SELECT o_orderpriority AS k, count(*) AS n FROM orders GROUP BY 1) SELECT min(k) AS keys, max(n) AS least FROM b WHERE n = (SELECT min(n) FROM b)"),
+    "sibling_metrics": Query(
+        "SELECT SUM(value) AS s, COUNT(*) AS n, max_bucket(s) AS best, min_bucket(n) AS least FROM events GROUP BY event_type",
+        """WITH b AS (SELECT event_type AS k, sum(value) AS s, count(*) AS n FROM events GROUP BY 1)
+ SELECT (SELECT min(k) FROM b WHERE s = (SELECT max(s) FROM b)) AS "best.keys", (SELECT max(s) FROM b) AS best, (SELECT min(k) FROM b WHERE n = (SELECT min(n) FROM b)) AS "least.keys", (SELECT min(n) FROM b) AS least""", ("best",)),
     # predicates
     "pred_compare": Query(
         "SELECT o_orderkey FROM orders WHERE (o_totalprice >= 400000 AND o_orderstatus = 'F') OR (o_totalprice < 5000 AND NOT o_orderpriority = '5-LOW')",
@@ -204,8 +248,14 @@ QUERIES: dict[str, Query] = {
         "SELECT o_orderkey FROM orders WHERE floor(o_totalprice) % 1000 = 7 AND cast(o_custkey as string) LIKE '1%' AND substring(o_orderpriority,0,1) <> '1'",
         "SELECT o_orderkey FROM orders WHERE floor(o_totalprice) % 1000 = 7 AND CAST(o_custkey AS VARCHAR) LIKE '1%' AND substring(o_orderpriority, 1, 1) <> '1'"),
     "pred_subquery_in": Query(
-        "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)",
-        "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)"),
+        "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 420000)",
+        "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 420000)"),
+    "pred_subquery_not_in_nulls": Query(
+        "SELECT o_orderkey FROM sparse WHERE prio NOT IN (SELECT prio FROM sparse WHERE price > 499000) AND o_custkey = IN_TERMS(SELECT c_custkey FROM customer WHERE c_acctbal > 8000)",
+        f"SELECT o_orderkey FROM {_SPARSE} WHERE (prio IS NULL OR prio NOT IN (SELECT prio FROM {_SPARSE} WHERE price > 499000 AND prio IS NOT NULL)) AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 8000)"),
+    "pred_subquery_or": Query(
+        "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000) OR c_acctbal < 0",
+        "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000) OR c_acctbal < 0"),
     "pred_script": Query("SELECT o_orderkey FROM orders WHERE script('doc[\\'o_totalprice\\'].value > limit && o_totalprice < 400000','limit'=250000)", "SELECT o_orderkey FROM orders WHERE o_totalprice > 250000 AND o_totalprice < 400000"),
     "pred_odbc_time": Query("SELECT o_orderkey FROM orders WHERE o_orderdate < {ts '1995-02-01 00:00:00.000'}", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-02-01'"),
     "min_score": Query(
@@ -216,6 +266,10 @@ QUERIES: dict[str, Query] = {
         "SELECT o_orderkey, abs(0 - o_totalprice) AS a, round(o_totalprice / 7, 2) AS r, floor(o_totalprice) AS f, ceil(o_totalprice) AS c, sqrt(o_totalprice) AS q, pow(o_custkey, 2) AS p, log10(o_totalprice) AS l, log(2, o_totalprice) AS l2, o_orderkey % 7 AS m, max_bw(o_orderkey, o_custkey) AS mx, min_bw(o_orderkey, o_custkey) AS mn, cbrt(o_totalprice) AS cb, round(0 - 2.5) AS h FROM orders",
         "SELECT o_orderkey, abs(o_totalprice) AS a, floor(o_totalprice / 7 * 100 + 0.5) / 100 AS r, floor(o_totalprice) AS f, ceil(o_totalprice) AS c, sqrt(o_totalprice) AS q, pow(o_custkey, 2) AS p, log10(o_totalprice) AS l, ln(o_totalprice) / ln(2) AS l2, o_orderkey % 7 AS m, greatest(o_orderkey, o_custkey) AS mx, least(o_orderkey, o_custkey) AS mn, cbrt(o_totalprice) AS cb, CAST(-2 AS BIGINT) AS h FROM orders",
         ("a", "r", "q", "l", "l2", "cb")),
+    "scalar_calls": Query(
+        "SELECT o_orderkey, log2(o_custkey + 1) AS l2, exp(o_custkey % 10) AS e, rint(o_totalprice) AS ri, add(o_orderkey, 5) AS a, subtract(o_orderkey, o_custkey) AS s, multiply(o_custkey, 3) AS m, divide(o_orderkey, 4) AS d, modulus(o_orderkey, 9) AS r, field(o_orderstatus) AS f FROM orders",
+        "SELECT o_orderkey, log2(o_custkey + 1) AS l2, exp(o_custkey % 10) AS e, round_even(o_totalprice, 0) AS ri, o_orderkey + 5 AS a, o_orderkey - o_custkey AS s, o_custkey * 3 AS m, o_orderkey / 4 AS d, o_orderkey % 9 AS r, o_orderstatus AS f FROM orders",
+        ("l2", "e", "ri", "d")),
     "scalar_string": Query(
         "SELECT p_partkey, substring(p_name,1,4) AS s, concat_ws('-', p_brand, p_type) AS c, split(p_brand, '#')[1] AS b, trim(concat_ws('', '  ', p_brand, ' ')) AS t FROM part",
         "SELECT p_partkey, substring(p_name, 2, 3) AS s, p_brand || '-' || p_type AS c, string_split(p_brand, '#')[2] AS b, trim(p_brand) AS t FROM part"),
@@ -242,6 +296,15 @@ QUERIES: dict[str, Query] = {
     "join_or": Query(
         "SELECT a.n_nationkey AS a, b.r_regionkey AS b FROM nation a JOIN region b ON a.n_regionkey = b.r_regionkey OR a.n_nationkey = b.r_regionkey",
         "SELECT n_nationkey AS a, r_regionkey AS b FROM nation JOIN region ON n_regionkey = r_regionkey OR n_nationkey = r_regionkey"),
+    "join_or_large": Query(
+        "SELECT c.c_custkey AS k, o.o_orderkey AS o FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey OR c.c_custkey = o.o_orderkey",
+        "SELECT c_custkey AS k, o_orderkey AS o FROM customer JOIN orders ON c_custkey = o_custkey OR c_custkey = o_orderkey"),
+    "join_tables_limit": Query(
+        "SELECT /*! JOIN_TABLES_LIMIT(2, null) */ a.r_regionkey AS a, COUNT(*) AS n FROM region a JOIN nation b GROUP BY a.r_regionkey",
+        'SELECT a.r_regionkey AS a, count(*) AS n FROM (SELECT * FROM region WHERE r_regionkey < 2) a, nation b GROUP BY 1'),
+    "join_geo": Query(
+        "SELECT a.c_custkey AS a, b.c_custkey AS b FROM areas a JOIN areas b ON GEO_INTERSECTS(a.area, b.area) WHERE a.c_custkey < b.c_custkey",
+        f"WITH p AS (SELECT * FROM {_PLACES} WHERE abs(lon) < 20 AND abs(lat) < 20) SELECT a.c_custkey AS a, b.c_custkey AS b FROM p a JOIN p b ON a.c_custkey < b.c_custkey AND abs(a.lon - b.lon) <= 4 AND abs(a.lat - b.lat) <= 4"),
     "join_theta": Query(
         "SELECT /*! USE_NL */ a.n_nationkey AS a, b.r_regionkey AS b FROM nation a JOIN region b ON b.r_regionkey < a.n_regionkey",
         "SELECT n_nationkey AS a, r_regionkey AS b FROM nation JOIN region ON r_regionkey < n_regionkey"),
@@ -261,6 +324,13 @@ QUERIES: dict[str, Query] = {
         "SELECT o_orderkey FROM order_docs WHERE nested('lines', lines.l_returnflag = 'R' AND lines.l_quantity > 45) AND NOT nested(lines.l_linenumber = 7)",
         f"SELECT o_orderkey FROM {_FLAT} GROUP BY 1 HAVING bool_or(l_returnflag = 'R' AND l_quantity > 45) AND NOT bool_or(l_linenumber = 7)"),
     "nested_agg": Query("SELECT COUNT(*) AS n, SUM(nested(lines.l_quantity)) AS q FROM order_docs GROUP BY nested(lines.l_returnflag) ", f'SELECT l_returnflag AS "nested(lines.l_returnflag)", count(*) AS n, sum(l_quantity) AS q FROM {_FLAT} GROUP BY 1'),
+    "nested_histogram": Query(
+        "SELECT COUNT(*) AS n FROM order_docs GROUP BY histogram('field'='lines.l_quantity','nested'='lines','interval'='10','alias'='h')",
+        f"SELECT floor(l_quantity / 10) * 10 AS h, count(*) AS n FROM {_FLAT} GROUP BY 1"),
+    "nested_other_path": Query(
+        "SELECT COUNT(*) AS n FROM order_docs GROUP BY nested(lines.l_returnflag), filter('late', lines.l_linenumber > 5), reverse_nested(lines.l_linestatus,'~lines')",
+        f"""WITH a AS (SELECT DISTINCT o_orderkey, l_returnflag FROM {_FLAT} WHERE l_linenumber > 5), b AS (SELECT o_orderkey, l_linestatus FROM {_FLAT})
+ SELECT l_returnflag AS "nested(lines.l_returnflag)", l_linestatus AS "reverse_nested(lines.l_linestatus,'~lines')", count(*) AS n FROM a JOIN b USING (o_orderkey) GROUP BY 1, 2"""),
     "nested_metric": Query("SELECT SUM(nested(lines.l_quantity)) AS q, MAX(nested(lines.l_linenumber)) AS m FROM order_docs GROUP BY o_orderstatus", f"SELECT o_orderstatus, sum(l_quantity) AS q, CAST(max(l_linenumber) AS DOUBLE) AS m FROM {_FLAT} GROUP BY 1", ("q",)),
     "reverse_nested": Query(
         "SELECT COUNT(*) AS n FROM order_docs GROUP BY nested(lines.l_returnflag), reverse_nested(o_orderstatus)",
@@ -299,7 +369,20 @@ QUERIES: dict[str, Query] = {
     "geo_bounds": Query(
         "SELECT * FROM places GROUP BY c_mktsegment, geo_bounds(field='center',alias='b')",
         f'SELECT c_mktsegment, min(lon) AS "b.topLeft.lon", max(lat) AS "b.topLeft.lat", max(lon) AS "b.bottomRight.lon", min(lat) AS "b.bottomRight.lat" FROM {_PLACES} GROUP BY 1'),
+    "geo_intersects": Query(
+        "SELECT c_custkey FROM areas WHERE GEO_INTERSECTS(area,'POLYGON ((-5.05 -5.05, 7.05 -5.05, 7.05 3.05, -5.05 3.05, -5.05 -5.05))')",
+        f"SELECT c_custkey FROM {_PLACES} WHERE abs(lon) < 20 AND abs(lat) < 20 AND lon + 2 >= -5.05 AND lon - 2 <= 7.05 AND lat + 2 >= -5.05 AND lat - 2 <= 3.05"),
+    "geo_distance_range": Query(
+        "SELECT c_custkey FROM places WHERE GEO_DISTANCE_RANGE(center,'1000km','4000km',10.0,20.0)",
+        f"SELECT c_custkey FROM {_PLACES} WHERE 2 * 6371008.8 * asin(sqrt(least(1, pow(sin((radians(lat) - radians(20)) / 2), 2) + cos(radians(lat)) * cos(radians(20)) * pow(sin(radians(lon - 10) / 2), 2)))) BETWEEN 1000000 AND 4000000"),
     # order and pages
+    "order_nested": Query(
+        "SELECT o_orderkey FROM order_docs ORDER BY NESTED('lines.l_quantity','lines') DESC, o_orderkey LIMIT 60",
+        f"SELECT o_orderkey FROM {_FLAT} GROUP BY 1 ORDER BY max(l_quantity) DESC, 1 LIMIT 60"),
+    "collapse_inner_hits": Query(
+        "SELECT /*! COLLAPSE({\"field\":\"o_orderstatus\",\"inner_hits\":{\"name\":\"h\",\"size\":2,\"sort\":[{\"o_totalprice\":\"asc\"}]}}) */ o_orderstatus, o_orderkey, h FROM orders ORDER BY o_orderkey",
+        """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS a, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) AS b FROM orders)
+ SELECT x.o_orderstatus, x.o_orderkey, (SELECT CAST(to_json(list(y.o_orderkey ORDER BY y.b)) AS VARCHAR) FROM r y WHERE y.o_orderstatus = x.o_orderstatus AND y.b <= 2) AS h FROM r x WHERE x.a = 1""", picked=("h", "o_orderkey")),
     "order_limit_offset": Query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20, 15", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15 OFFSET 20"),
     "order_nulls_last": Query("SELECT o_orderkey FROM sparse ORDER BY price DESC, o_orderkey", f"SELECT o_orderkey FROM {_SPARSE} ORDER BY price DESC NULLS LAST, o_orderkey"),
     "order_field_sort_missing": Query("SELECT o_orderkey FROM sparse ORDER BY field_sort(price,missing=1000000) DESC, o_orderkey LIMIT 40", f"SELECT o_orderkey FROM {_SPARSE} ORDER BY coalesce(price, 1000000) DESC, o_orderkey LIMIT 40"),
@@ -311,7 +394,7 @@ QUERIES: dict[str, Query] = {
     "post_filter": Query("SELECT /*! POST_FILTER({\"bool\":{\"must\":[{\"term\":{\"o_orderstatus\":\"F\"}}],\"must_not\":[{\"range\":{\"o_totalprice\":{\"gte\":20000}}}]}}) */ o_orderkey FROM orders", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 20000"),
     "highlight": Query(
         "SELECT /*! HIGHLIGHT(text,pre_tags : ['<b>'], post_tags : ['</b>']) */ doc_id FROM documents WHERE text = matchQuery('thing')",
-        f"SELECT doc_id FROM {_TOKENS} WHERE list_contains(t, 'thing')"),
+        f"SELECT doc_id, regexp_replace(text, '(?i)\\b(thing)\\b', '<b>\\1</b>', 'g') AS \"text.highlight\" FROM (SELECT doc_id, text, {_WORDS} AS t FROM documents) WHERE list_contains(t, 'thing')"),
     "runtime_mapping": Query("SELECT /*! RUNTIME_MAPPINGS({\"half\":{\"type\":\"double\",\"script\":{\"source\":\"emit(o_totalprice / 2)\"}}}) */ o_orderkey, half FROM orders WHERE half > 200000", "SELECT o_orderkey, o_totalprice / 2 AS half FROM orders WHERE o_totalprice / 2 > 200000", ("half",)),
     "select_distinct": Query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders"),
     # other statements

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,10 +108,11 @@ def load_json(spark: SparkSession, path: str, schema: T.StructType | str, bulk:
     if not bulk:
         return spark.read.schema(schema).json(path)
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    # A file's lines must stay in order to pair an id with the document after it: one task for each file.
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
-    lines = files.select("file", F.posexplode("lines").alias("n", "line")).withColumn("pair", F.floor(F.col("n") / 2))
-    pairs = lines.groupBy("file", "pair").agg(F.min_by("line", "n").alias("action"), F.max_by("line", "n").alias("doc"))
+    # Lines are read in splits; each file's are put in order by split and place, which pairs an id with the document after it.
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    order = Window.partitionBy("file").orderBy("at", "n")
+    numbered = lines.filter(F.trim("value") != "").withColumns({"action": F.lag("value").over(order), "line": F.row_number().over(order)})
+    pairs = numbered.filter(F.col("line") % 2 == 0).select("action", F.col("value").alias("doc"))
     relaxed = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields if f.name != "_id"])
     doc = F.from_json("doc", relaxed)
     cols = [F.get_json_object("action", "$.index._id").alias("_id")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,19 @@ def write_csv(df: DataFrame, path: str, flat: bool = True, separator: str = ",",
     df.withColumns({c: F.to_json(F.col(f"`{c}`")) for c in nested}).write.csv(path, header=header, sep=separator, quote=quote)
 
 
+def envelope_parts(df: DataFrame, began: float, total: int | None = None) -> Iterator[str]:
+    """The JSON answer of a query as pieces of text: hits as they come, what depends on all of them at the end."""
+    rows, n, best = (json.loads(x) for x in df.toJSON().toLocalIterator()), 0, None
+    first = next(rows, None)  # a query that fails does so before the answer begins
+    yield '{"timed_out": false, "hits": {"hits": ['
+    while first is not None:
+        score = first.get("_score")
+        best = score if best is None else max(best, score or 0)
+        yield (", " if n else "") + json.dumps({"_id": None, "_score": score, "_source": first}, default=str)
+        first, n = next(rows, None), n + 1
+    yield "], " + json.dumps({"total": {"value": n if total is None else total, "relation": "eq"}, "max_score": best})[1:] + f', "took": {int(1000 * (time.time() - began))}' + "}"
+
+
 def envelope(df: DataFrame, took_ms: int = 0, with_id: str | None = None) -> dict:
     """The JSON answer of a query."""
     hits = [json.loads(x) for x in df.toJSON().toLocalIterator()] if hasattr(df, "toJSON") else [r.asDict(True) for r in df.toLocalIterator()]

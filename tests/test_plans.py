@@ -39,6 +39,28 @@ def test_side_filters_go_below_the_join(e):
     assert "GreaterThan(o_totalprice,400000.0)" in plan and "EqualTo(c_mktsegment,BUILDING)" in plan
 
 
-@pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.text.upper().startswith("SELECT")])
+def test_subqueries_and_children_are_semi_and_anti_joins_by_their_own_type(e):
+    for name in ("pred_subquery_in", "children_match", "pred_subquery_not_in_nulls"):
+        plan = e.explain(QUERIES[name].text)
+        assert "LeftSemi" in plan and "LeftAnti" in plan and "NestedLoop" not in plan
+        assert not re.search(r"cast\(\w+#\d+L? as string\)", plan)
+
+
+def test_or_joins_are_equality_joins(e):
+    plan = e.explain(QUERIES["join_or_large"].text)
+    assert len(re.findall(r"\) (?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin)", plan)) >= 2 and not re.search("NestedLoop|Cartesian", plan)
+
+
+def test_several_lists_are_one_scan(e):
+    plan = e.explain(QUERIES["grouping_lists"].text)
+    assert len(re.findall(r"\) Scan parquet", plan)) == 1 and "Expand" in plan
+
+
+def test_top_hits_read_what_they_show(e):
+    read = re.findall(r"ReadSchema: struct<(.*?)>", e.explain(QUERIES["tophits"].text))
+    assert {c.split(":")[0] for r in read for c in r.split(",")} == {"o_orderkey", "o_totalprice", "o_orderpriority"}
+
+
+@pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.text.upper().startswith("SELECT") and "GEO_INTERSECTS" not in q.text])
 def test_no_python(e, name):
     assert not re.search("Python|Pandas|Arrow", e.explain(QUERIES[name].text))
