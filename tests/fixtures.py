@@ -1,55 +1,53 @@
-"""Rows like those of the public test fixtures: dogs, people, a saga's characters and houses, systems, phrases, places, nested and child rows."""
+"""Small invented tables of a harbour: boats, crew, ports, berths, notes, cargoes with nested crates, voyages with legs, areas of the sea."""
 
 from docsql.engine import Engine
 from docsql.sources.catalog import Catalog, Child
 
-DOGS = [("1", "rex", "Daenerys", 2), ("6", "snoopy", "Hattie", 4)]
-PEOPLE = [
-    ("1", 1, 39225, "Daenerys", 32, "M"), ("6", 6, 5686, "Hattie", 36, "M"), ("13", 13, 32838, "Nanette", 28, "F"), ("18", 18, 4180, "Dale", 33, "M"),
-    ("20", 20, 16418, "Elinor", 36, "M"), ("25", 25, 40540, "Virginia", 39, "F"), ("32", 32, 48086, "Dillard", 34, "F"),
+BOATS = [("b1", "Heron", "Ilse", 3), ("b2", "Plover", "Tomas", 7)]
+CREW = [
+    ("c1", 11, 1250, "Ilse", 41, "deck"), ("c2", 12, 900, "Tomas", 27, "deck"), ("c3", 13, 2100, "Ruth", 36, "engine"), ("c4", 14, 640, "Pavel", 22, "deck"),
+    ("c5", 15, 1980, "Mina", 33, "engine"), ("c6", 16, 310, "Otto", 58, "deck"),
 ]
-NAMES = [
-    ("1", ("Daenerys", "Targaryen", 1, None), 'Daenerys "Stormborn"', "Targaryen", "F", ("Aerys", "Rhaella"), ["motherOfDragons", "Khaleesi"], None, None, None, None),
-    ("2", ("Eddard", "Stark", None, 1), None, "Stark", "M", ("Rickard", "Lyarra"), ["lordOfWinterfell", "handOfTheKing"], None, None, None, None),
-    ("3", ("Brandon", "Stark", None, 4), None, "Stark", "M", ("Eddard", "Catelyn"), ["princeOfWinterfell"], "Summer", None, None, None),
-    ("4", ("Jaime", "Lannister", None, 1), None, "Lannister", "M", ("Tywin", "Joanna"), ["kingSlayer", "Ser"], None, None, None, None),
-    ("5", None, None, None, None, None, None, None, "fireAndBlood", "Targaryen", "Dragon"),
-    ("6", None, None, None, None, None, None, None, "winterIsComing", "Stark", "direwolf"),
-    ("7", None, None, None, None, None, None, None, "hearMeRoar", "Lannister", "lion"),
-]
-SYSTEMS = [
-    *[("A", pk, None) for pk in (1, 2, 3)], *[("B", pk, None) for pk in (1, 2)], ("C", 1, "e"), ("C", 2, "g"), ("C", 1, "f"), ("T", 1, "a"), ("T", 2, None), ("C", 3, None),
+#: Sailors (with a home port) and ports (with a name) in one table; the rest of each row is null.
+HARBOUR = [
+    ("h1", ("Ilse", "Brandt", 2, None), 'Ilse "Anchor"', "Kelp Bay", "deck", ("Jorn", "Anna"), ["mate", "pilot"], None, None, None),
+    ("h2", ("Tomas", "Reyes", None, 5), None, "Kelp Bay", "deck", ("Luis", "Vera"), ["cook"], "blue", None, None),
+    ("h3", ("Ruth", "Okafor", 3, None), None, "Gull Point", "engine", ("Tomas", "Ada"), ["fitter", "mate"], None, None, None),
+    ("h4", None, None, None, None, None, None, None, "Kelp Bay", "north"),
+    ("h5", None, None, None, None, None, None, None, "Gull Point", "south"),
 ]
-PHRASES = [("quick fox", None, None), ("quick fox here", "2014-08-19 07:09:13", None), ("brown fox", None, None), ("fox brown", "2014-08-19 07:09:13", None), ("my test", None, 5), ("my test 2", None, 7)]
-NESTED = [
-    ("1", [("a", "e", 1)], [("ab", 3)], 1, "b"), ("2", [("b", "f", 2)], [("aa", 2)], 2, "a"), ("3", [("c", "g", 1)], [("aa", 3)], 3, "a"),
-    ("4", [("c", "h", 4), ("a", "i", 5)], [("ab", 1)], 4, "b"),
+BERTHS = [("east", 1, None), ("east", 2, None), ("east", 4, None), ("west", 1, None), ("west", 4, None), ("dock", 1, "x"), ("dock", 3, "y"), ("dock", 1, "z"), ("pier", 1, "x")]
+NOTES = [
+    ("grey seal", None, None), ("grey seal ashore", "2021-03-04 05:06:07", None), ("brown seal", None, None), ("seal brown", "2021-03-05 12:00:00", None), ("low tide", None, 4), ("low tide 7", None, 9),
 ]
-PARENTS = [("1", "a"), ("2", "b"), ("3", "c"), ("4", "d")]
-CHILDREN = [("5", "1", "a", "e", 1), ("6", "2", "b", "f", 2), ("7", "3", "c", "g", 1), ("8", "4", "d", "h", 3), ("9", "1", "a", "h", 3)]
+CARGOES = [
+    ("k1", [("tea", "rin", 3)], [("dry", 6)], 10, "m"), ("k2", [("salt", "sol", 1), ("tea", "rin", 2)], [("wet", 1)], 20, "n"), ("k3", [("wool", "rin", 5)], [("dry", 2), ("wet", 4)], 30, "m"),
+]
+VOYAGES = [("v1", "spring"), ("v2", "summer"), ("v3", "autumn")]
+LEGS = [("l1", "v1", "Oslo", "fog", 2), ("l2", "v2", "Riga", "sun", 4), ("l3", "v1", "Riga", "fog", 6), ("l4", "v3", "Cork", "gale", 6)]
 
 
-def square(x, y, side):
-    return ("Polygon", [[[x, y], [x + side, y], [x + side, y + side], [x, y + side], [x, y]]])
+def box(x, y, w, h):
+    return ("Polygon", [[[x, y], [x + w, y], [x + w, y + h], [x, y + h], [x, y]]])
 
 
-PLACES = [("1", "square", square(100.0, 0.0, 1.0), (0.5, 100.5)), ("2", "bigSquare", square(100.0, 0.0, 10.0), (5.0, 105.0))]
-PLACES2 = [("1", "square", square(115.0, 112.0, 1.0), (0.5, 100.5)), ("2", "squareRelated", square(100.0, 0.0, 10.0), (5.0, 105.0))]
-_PLACE = "_id string, description string, place struct<type:string,coordinates:array<array<array<double>>>>, center struct<lat:double,lon:double>"
+REEFS = [("r1", "small reef", box(20.0, 50.0, 2.0, 1.0), (50.5, 21.0)), ("r2", "wide reef", box(30.0, 40.0, 8.0, 6.0), (43.0, 34.0))]
+LANES = [("n1", "lane", box(21.0, 50.5, 12.0, 0.2), (50.6, 27.0)), ("n2", "far lane", box(70.0, 10.0, 1.0, 1.0), (10.5, 70.5))]
+_AREA = "_id string, label string, area struct<type:string,coordinates:array<array<array<double>>>>, middle struct<lat:double,lon:double>"
 
 
 def fixture_engine(spark, **options) -> Engine:
     c = Catalog(spark)
     add = lambda name, rows, schema, **kw: c.register(name, spark.createDataFrame(rows, schema), **kw)
-    add("dog", DOGS, "_id string, dog_name string, holdersName string, age int")
-    add("people", PEOPLE, "_id string, account_number int, balance int, firstname string, age int, gender string")
-    add("got", NAMES, "_id string, name struct<firstname:string,lastname:string,ofHerName:int,ofHisName:int>, nickname string, house string, gender string, parents struct<father:string,mother:string>, titles array<string>, `@wolf` string, words string, hname string, sigil string", text=("nickname", "name.firstname"))
-    add("system", SYSTEMS, "system_name string, pk int, letter string")
-    add("phrase", PHRASES, "phrase string, insert_time2 string, `test field` int", text=("phrase",))
-    c.replace("phrase", c.one("phrase").df.selectExpr("phrase", "cast(insert_time2 as timestamp) insert_time2", "`test field`"))
-    add("nested_type", NESTED, "_id string, message array<struct<info:string,author:string,dayOfWeek:bigint>>, comment array<struct<data:string,likes:bigint>>, myNum bigint, someField string")
-    add("child_rows", CHILDREN, "_id string, parent_id string, info string, author string, dayOfWeek bigint")
-    add("join_type", PARENTS, "_id string, messageTile string", children={"childrenType": Child("child_rows", "parent_id")})
-    add("location", PLACES, _PLACE)
-    add("location2", PLACES2, _PLACE)
+    add("boat", BOATS, "_id string, title string, skipper string, berths int")
+    add("crew", CREW, "_id string, number int, pay int, first string, years int, post string")
+    add("harbour", HARBOUR, "_id string, name struct<first:string,last:string,rank:int,shift:int>, nick string, home string, post string, kin struct<father:string,mother:string>, skills array<string>, `@flag` string, port string, side string", text=("nick", "name.first"))
+    add("berth", BERTHS, "row string, place int, mark string")
+    add("note", NOTES, "body string, seen string, `wave height` int", text=("body",))
+    c.replace("note", c.one("note").df.selectExpr("body", "cast(seen as timestamp) seen", "`wave height`"))
+    add("cargo", CARGOES, "_id string, crate array<struct<goods:string,owner:string,weight:bigint>>, remark array<struct<state:string,votes:bigint>>, total bigint, class string")
+    add("leg", LEGS, "_id string, voyage string, town string, weather string, days bigint")
+    add("voyage", VOYAGES, "_id string, season string", children={"stage": Child("leg", "voyage")})
+    add("reef", REEFS, _AREA)
+    add("lane", LANES, _AREA)
     return Engine(spark, c, **options)
