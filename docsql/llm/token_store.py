@@ -33,12 +33,12 @@ END_ID = 2
 BLOCK, LEAST = 1 << 19, 12
 MAGIC = b"RPB1"
 _SLOTS = 18
-#: Bytes of text encoded at a time.
-GROUP = 16 << 20
+#: Bytes of text encoded at a time, and distinct parts of texts (some 40 bytes each) that a worker process remembers.
+GROUP, PARTS = 8 << 20, 1 << 20
 
 
 class Encoder:
-    """Encodes texts with a tokenizer file of the tokenizers library, each distinct part of a group of texts once.
+    """Encodes texts with a tokenizer file of the tokenizers library, each distinct part once while the table of parts holds it.
 
     A byte-level tokenizer that splits by the usual pattern never joins what a single blank or line feed separates
     from other text, nor a letter and the final comma or full stop after it. Such parts (with the blank or line feed
@@ -60,6 +60,7 @@ class Encoder:
             for token, i in vocabulary.items():  # a byte-level token has a character for each byte
                 self.n_bytes[i] = len(token)
             self.comma, self.stop = (int(x[0]) for x in self._whole([",", "."]))
+            self._forget()
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,17 +84,15 @@ class Encoder:
                 counts.append(np.array([len(x) for x in each]))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text; no text is null."""
-        if not len(texts):
-            return []
-        if not self.by_parts:
-            return self._whole(texts.to_pylist())
-        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n"), " ")
-        off = np.array(split.offsets, np.int64)
-        off -= off[0]
-        coded = split.flatten().dictionary_encode()
-        words, where = coded.dictionary, np.array(coded.indices, np.int32)
+    def _forget(self) -> None:
+        """Empties the table of parts: a part's words, where its ids stand in `flat`, how many there are without a final point."""
+        self.words = pa.array([], pa.large_string())
+        self.start, self.count, self.point = (np.zeros(0, np.int32) for _ in range(3))
+        self.stands, self.led = (np.zeros(0, bool) for _ in range(2))
+        self.flat = np.zeros(0, np.uint32)
+
+    def _learn(self, words: pa.Array) -> None:
+        """Adds parts (a part that a line feed stands before begins with it)."""
         test = lambda x, pattern: pc.match_substring_regex(x, pattern).to_numpy(zero_copy_only=False)
         led = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
         core = pc.if_else(pa.array(led), pc.utf8_slice_codeunits(words, 1), words) if led.any() else words
@@ -101,8 +100,7 @@ class Encoder:
         ended = test(core, r"\pL[,.]$")
         point = np.where(ended, np.where(pc.ends_with(core, ",").to_numpy(zero_copy_only=False), self.comma, self.stop), 0).astype(np.int32)
         base = pc.if_else(pa.array(ended), pc.utf8_slice_codeunits(core, 0, -1), core)
-        # Where a word's ids stand in `flat`, and how many of them there are without a final point.
-        flat, held = [], 0
+        flat, held = [self.flat], len(self.flat)
         start, count = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
         for before, mine in ((" ", stands & ~led), ("\n", stands & led)):
             mine = np.flatnonzero(mine)
@@ -115,6 +113,38 @@ class Encoder:
             start[mine], count[mine] = held + (np.cumsum(n) - n)[which], n[which]
             flat.append(ids)
             held += len(ids)
+        self.flat = np.concatenate(flat)
+        self.words = pa.concat_arrays([self.words, words])
+        for name, more in (("start", start), ("count", count), ("point", point), ("stands", stands), ("led", led)):
+            setattr(self, name, np.concatenate([getattr(self, name), more]))
+
+    def _look(self, words: pa.Array) -> np.ndarray:
+        """Where the words stand in the table, which is taught those it lacks; a table grown too large begins anew."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = at < 0
+        if len(self.words) + int(new.sum()) > PARTS and len(self.words):
+            self._forget()
+            new[:] = True
+        if new.any():
+            at[new] = len(self.words) + np.arange(int(new.sum()))
+            self._learn(words.filter(pa.array(new)))
+        return at
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; no text is null."""
+        if not len(texts):
+            return []
+        if not self.by_parts:
+            return self._whole(texts.to_pylist())
+        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n"), " ")
+        off = np.array(split.offsets, np.int64)
+        off -= off[0]
+        coded = split.flatten().dictionary_encode()
+        words, where = coded.dictionary, np.array(coded.indices, np.int32)
+        del split, coded
+        known = self._look(words)
+        start, count, point, stands, led = (x[known] for x in (self.start, self.count, self.point, self.stands, self.led))
+        held = len(self.flat)
         # Heads have no blank before them; they, and whole texts with a part that does not stand alone, are encoded here.
         first = off[:-1]
         fine = stands[where]
@@ -124,13 +154,14 @@ class Encoder:
         heads = words.take(pa.array(where[first])).to_pylist()
         own = self._whole([texts[i].as_py() if o else h for i, (h, o) in enumerate(zip(heads, odd.tolist(), strict=True))])
         size = np.array([len(x) for x in own], np.int64)
-        flat = np.concatenate([*flat, *own])
+        flat = np.concatenate([self.flat, *own])
         stay = ~np.repeat(odd, np.diff(off))
         stay[first] = True
         at, n, last = start[where], count[where], point[where]
         at[first], n[first], last[first] = held + np.cumsum(size) - size, size, 0
-        row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(off))[stay]
-        at, n, last = at[stay], n[stay], last[stay]
+        row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(off))
+        if not stay.all():
+            row, at, n, last = row[stay], at[stay], n[stay], last[stay]
         has = last > 0
         n += has
         ends = np.cumsum(n, dtype=np.int64)
@@ -194,15 +225,15 @@ def compress(docs: list[np.ndarray], least: int = LEAST) -> bytes:
         if not len(pairs):
             break
         slot = lambda c: (c * pair_kind(odd)) >> pair_kind(2 * half - _SLOTS)
-        none = len(pairs)
+        none, own = len(pairs), slot(pairs)
         table = np.zeros(1 << _SLOTS, pair_kind)
         rank_of = np.full(1 << _SLOTS, none, np.int32)
-        table[slot(pairs[::-1])] = pairs[::-1]  # of two pairs in a slot the more frequent stays, the other waits for the next round
-        rank_of[slot(pairs[::-1])] = np.arange(none, dtype=np.int32)[::-1]
+        table[own[::-1]] = pairs[::-1]  # of two pairs in a slot the more frequent stays, the other waits for the next round
+        rank_of[own[::-1]] = np.arange(none, dtype=np.int32)[::-1]
         near = slot(code)
-        known = np.flatnonzero(table[near] == code)
-        known = known[rank_of[near[known]] < none]
-        spot, rank = at[known], rank_of[near[known]]
+        rank = rank_of[near]
+        known = np.flatnonzero((table[near] == code) & (rank < none))
+        spot, rank = at[known], rank[known]
         # In a run of one pair, which overlaps itself, every second one stands for all.
         joined = np.r_[False, spot[1:] == spot[:-1] + 1]
         place = np.arange(len(spot))
@@ -226,9 +257,13 @@ def compress(docs: list[np.ndarray], least: int = LEAST) -> bytes:
         last[pick] = last[pick + 1]
         # Next come the places that lost or waited, and those beside a new symbol: all others' pairs are rare and stay so.
         wanted = np.zeros(len(seq), bool)
-        in_order = np.sort(pairs)
-        frequent = in_order[np.minimum(np.searchsorted(in_order, code), none - 1)] == code
-        wanted[at[frequent]] = True
+        wanted[spot] = True
+        waits = pairs[table[own] != pairs]
+        if len(waits):
+            taken = np.zeros(1 << _SLOTS, bool)
+            taken[slot(waits)] = True
+            some = np.flatnonzero(taken[near])
+            wanted[at[some[np.isin(code[some], waits)]]] = True
         wanted[pick] = True
         stay = np.ones(len(seq), bool)
         stay[pick + 1] = False
