@@ -34,7 +34,7 @@ BLOCK, LEAST = 1 << 19, 12
 MAGIC = b"RPB1"
 _SLOTS = 18
 #: Bytes of text encoded at a time, and distinct parts of texts (some 40 bytes each) that a worker process remembers.
-GROUP, PARTS = 8 << 20, 1 << 20
+GROUP, PARTS = 8 << 20, 1 << 19
 
 
 class Encoder:
@@ -85,11 +85,22 @@ class Encoder:
         return np.concatenate(ids), np.concatenate(counts)
 
     def _forget(self) -> None:
-        """Empties the table of parts: a part's words, where its ids stand in `flat`, how many there are without a final point."""
-        self.words = pa.array([], pa.large_string())
-        self.start, self.count, self.point = (np.zeros(0, np.int32) for _ in range(3))
-        self.stands, self.led = (np.zeros(0, bool) for _ in range(2))
-        self.flat = np.zeros(0, np.uint32)
+        """Leaves in the table of parts those met in more than one group of texts, or none if they are too many.
+
+        Of each part: its text, where its ids stand in `flat`, how many there are without a final point, the point, whether
+        it stands alone, whether a line feed stands before it, and the groups that it was met in.
+        """
+        keep = np.flatnonzero(self.uses > 1) if hasattr(self, "uses") else np.zeros(0, np.int64)
+        if not len(keep) or len(keep) > PARTS // 2:
+            self.words, self.flat = pa.array([], pa.large_string()), np.zeros(0, np.uint32)
+            self.start, self.count, self.point, self.uses = (np.zeros(0, np.int32) for _ in range(4))
+            self.stands, self.led = (np.zeros(0, bool) for _ in range(2))
+            return
+        self.words = self.words.take(pa.array(keep))
+        start, self.count, self.point, self.stands, self.led = (x[keep] for x in (self.start, self.count, self.point, self.stands, self.led))
+        self.uses = np.ones(len(keep), np.int32)
+        self.start = (np.cumsum(self.count) - self.count).astype(np.int32)
+        self.flat = self.flat[np.repeat(start - self.start, self.count) + np.arange(int(self.count.sum()))]
 
     def _learn(self, words: pa.Array) -> None:
         """Adds parts (a part that a line feed stands before begins with it)."""
@@ -115,19 +126,21 @@ class Encoder:
             held += len(ids)
         self.flat = np.concatenate(flat)
         self.words = pa.concat_arrays([self.words, words])
-        for name, more in (("start", start), ("count", count), ("point", point), ("stands", stands), ("led", led)):
+        for name, more in (("start", start), ("count", count), ("point", point), ("stands", stands), ("led", led), ("uses", np.zeros(len(words), np.int32))):
             setattr(self, name, np.concatenate([getattr(self, name), more]))
 
     def _look(self, words: pa.Array) -> np.ndarray:
-        """Where the words stand in the table, which is taught those it lacks; a table grown too large begins anew."""
-        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        new = at < 0
-        if len(self.words) + int(new.sum()) > PARTS and len(self.words):
+        """Where the words stand in the table, which is taught those it lacks; a table grown too large forgets."""
+        find = lambda: pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = find()
+        if len(self.words) + int((at < 0).sum()) > PARTS and len(self.words):
             self._forget()
-            new[:] = True
+            at = find()
+        new = at < 0
         if new.any():
             at[new] = len(self.words) + np.arange(int(new.sum()))
             self._learn(words.filter(pa.array(new)))
+        self.uses[at] += 1
         return at
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -301,7 +314,10 @@ class Block:
         self.first = np.r_[0, np.cumsum(self.sizes)]
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
-        """Each symbol's place in the result is known from the lengths, so only what is still a rule is taken up again."""
+        """Each symbol's place in the result is known from the lengths, so only what is still a rule is taken up again.
+
+        Used for a few symbols, and once for all rules where a whole block is read.
+        """
         n = self.spans(seq)
         at = np.cumsum(n) - n
         out = np.empty(int(n.sum()), np.int64)
@@ -328,9 +344,18 @@ class Block:
         return self._expand(seq[a:b])[skip : skip + stop - start].astype(np.uint32)
 
     def all(self) -> list[np.ndarray]:
-        flat = self._expand(self.seq).astype(np.uint32)
-        starts = np.r_[0, np.cumsum(np.add.reduceat(self.spans(self.seq), self.first[:-1]))] if len(self.sizes) else [0]
-        return [flat[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        """All documents: every rule is expanded once, and symbols copy from there."""
+        rules, n = self._expand(self.base + np.arange(len(self.left))), self.spans(self.seq)
+        ends, own = np.cumsum(n), np.cumsum(self.length)
+        begin = len(rules) + np.arange(len(self.seq))  # of what a symbol copies: itself, or its rule
+        some = np.flatnonzero(self.seq >= self.base)
+        which = self.seq[some] - self.base
+        begin[some] = own[which] - self.length[which]
+        from_ = np.repeat((begin - (ends - n)).astype(np.int32), n)
+        from_ += np.arange(len(from_), dtype=np.int32)  # a block has far fewer than 2^31 ids
+        flat = np.concatenate([rules, self.seq]).astype(np.uint32)[from_]
+        stops = np.r_[0, ends][self.first].tolist()
+        return [flat[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 
 
 # ---------------------------------------------------------------- tables
@@ -391,7 +416,7 @@ def read_tokens(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for start, ids, payload in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 docs = Block(payload.as_py()).all()
                 n = np.array([len(d) for d in docs], np.int64)
-                crc = [zlib.crc32(d.astype("<u4").tobytes()) for d in docs]
+                crc = [zlib.crc32(np.ascontiguousarray(d, "<u4")) for d in docs]
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
 
     return rows.mapInArrow(tidied(run), f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")

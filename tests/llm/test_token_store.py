@@ -66,6 +66,17 @@ def test_encoder_equals_library():
         assert got.tolist() == want.ids
 
 
+def test_table_of_parts_forgets(monkeypatch):
+    """Texts are encoded alike whatever the table of parts holds at the time."""
+    monkeypatch.setattr(token_store, "PARTS", 60)
+    rnd = random.Random(5)
+    plain, encoder = Tokenizer.from_file(PATH), token_store.Encoder(PATH)
+    for _ in range(40):
+        texts = [" ".join(rnd.choice(["the", "of", "and,", "\nso"]) + (rnd.choice(["", str(rnd.randrange(99)), ".", "ly"])) for _ in range(rnd.randint(0, 12))) for _ in range(8)]
+        assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert len(encoder.words) <= 60 + 100 and encoder.uses.max() > 1
+
+
 def test_table(spark):
     rows = documents()
     got = token_store.read_tokens(token_store.write_tokens(table(spark, rows), PATH)).collect()
