@@ -200,15 +200,15 @@ def encoder_for(path: str) -> Encoder:
 # ---------------------------------------------------------------- blocks
 
 
-def _frequent(code: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
-    """The pairs with `least` occurrences or more that do not overlap, the most frequent first; code: pairs at the places `at`."""
+def _frequent(code: np.ndarray, follows: np.ndarray, least: int) -> np.ndarray:
+    """The pairs with `least` occurrences or more that do not overlap, the most frequent first; code: pairs in order, follows: whether each (but the first) begins with the symbol that the one before ends with."""
     ordered = np.sort(code)
     edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     count = np.diff(np.r_[edge, len(ordered)])
     often = np.flatnonzero(count >= least)
     pairs, count = ordered[edge[often]], count[often]
     # A run of k equal pairs is a run of k + 1 equal symbols and holds (k + 1) // 2 pairs that do not overlap.
-    starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (at[1:] != at[:-1] + 1)])
+    starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | ~follows])
     runs = np.diff(np.r_[starts, len(code)])
     starts, runs = starts[runs > 1], runs[runs > 1]
     if len(starts) and len(pairs):
@@ -227,14 +227,19 @@ def compress(docs: list[np.ndarray], least: int = LEAST) -> bytes:
     last[np.cumsum([len(d) for d in docs]) - 1] = True
     left, right, length = [], [], np.ones(0, np.int64)
     after = []
+    # Symbols that are gone stay in place; the others are a list in both directions, so that a round costs what it looks at.
+    n = len(seq)
+    nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    alive, mark = np.ones(n, bool), np.zeros(n, bool)
     at = np.flatnonzero(~last)  # places whose pair may be frequent: a pair elsewhere is as rare as it was, or a document's end
     while len(at):
         # Pairs of 16-bit symbols fit into 32 bits, which are sorted and looked up in half the time.
         half, odd = (16, 0x9E3779B1) if base + len(left) <= 1 << 16 else (32, 0x9E3779B97F4A7C15)
         pair_kind = np.uint32 if half == 16 else np.uint64
         shift = pair_kind(half)
-        code = (seq[at].astype(pair_kind) << shift) | seq[at + 1].astype(pair_kind)
-        pairs = _frequent(code, at, least)
+        behind = nxt[at]
+        code = (seq[at].astype(pair_kind) << shift) | seq[behind].astype(pair_kind)
+        pairs = _frequent(code, at[1:] == behind[:-1], least)
         if not len(pairs):
             break
         slot = lambda c: (c * pair_kind(odd)) >> pair_kind(2 * half - _SLOTS)
@@ -248,7 +253,7 @@ def compress(docs: list[np.ndarray], least: int = LEAST) -> bytes:
         known = np.flatnonzero((table[near] == code) & (rank < none))
         spot, rank = at[known], rank[known]
         # In a run of one pair, which overlaps itself, every second one stands for all.
-        joined = np.r_[False, spot[1:] == spot[:-1] + 1]
+        joined = np.r_[False, spot[1:] == nxt[spot[:-1]]]
         place = np.arange(len(spot))
         begins = np.maximum.accumulate(np.where(joined & np.r_[False, rank[1:] == rank[:-1]], 0, place))
         before = np.where(joined, np.r_[none, rank[:-1]], none)
@@ -267,24 +272,26 @@ def compress(docs: list[np.ndarray], least: int = LEAST) -> bytes:
         right += second.tolist()
         after.append(len(left))
         seq[pick] = (base + number[rank[won]]).astype(np.uint32)
-        last[pick] = last[pick + 1]
+        gone = nxt[pick]
+        last[pick] = last[gone]
+        alive[gone] = False
+        then = nxt[gone]
+        nxt[pick], prv[then] = then, pick
         # Next come the places that lost or waited, and those beside a new symbol: all others' pairs are rare and stay so.
-        wanted = np.zeros(len(seq), bool)
-        wanted[spot] = True
+        mark[spot] = True
         waits = pairs[table[own] != pairs]
         if len(waits):
             taken = np.zeros(1 << _SLOTS, bool)
             taken[slot(waits)] = True
             some = np.flatnonzero(taken[near])
-            wanted[at[some[np.isin(code[some], waits)]]] = True
-        wanted[pick] = True
-        stay = np.ones(len(seq), bool)
-        stay[pick + 1] = False
-        fresh = np.zeros(len(seq), bool)
-        fresh[pick] = True
-        seq, last, wanted, fresh = seq[stay], last[stay], wanted[stay], fresh[stay]
-        wanted[:-1] |= fresh[1:]
-        at = np.flatnonzero(wanted & ~last)
+            mark[at[some[np.isin(code[some], waits)]]] = True
+        mark[pick] = True
+        earlier = prv[pick]
+        mark[earlier[earlier >= 0]] = True
+        mark &= alive & ~last
+        at = np.flatnonzero(mark)
+        mark[at] = False
+    seq, last = seq[alive], last[alive]
     ends = np.flatnonzero(last)
     sizes = np.diff(np.r_[-1, ends])
     width = 2 if base + len(left) <= 1 << 16 else 4
