@@ -33,7 +33,7 @@ _INPUTS = 2 * EMBED + 2
 REPEATS, SEEN, SMOOTH, LEAST, SCALE = 4, 3, 4.0, 1.5, 0.4
 EPOCHS, MOST_EPOCHS, STEPS, BATCH, RATE, SEED = 3, 24, 500, 128, 0.01, 7
 #: Rate of the embeddings beside the other weights', and by how much they shrink with each use.
-SLOW, SHRINK = 0.3, 0.1
+SLOW, SHRINK = 1.0, 0.01
 #: One in so many sampled rows is kept from the network for the logistic layer.
 KEPT_BACK = 4
 #: Rows with this remainder of crc32(id as text) mod FOLDS are never learned from.
