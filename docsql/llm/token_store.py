@@ -42,7 +42,8 @@ class Encoder:
 
     A byte-level tokenizer that splits by the usual pattern never joins what a single blank or line feed separates
     from other text, nor a letter and the final comma or full stop after it. Such parts (with the blank or line feed
-    before them) are encoded many in one call: the ids' byte lengths tell where each part ends. Texts with other
+    before them) are encoded many in one call: the ids' byte lengths tell where each part ends. Parts of Latin letters
+    are one word each to the pattern, so the library's model takes them without being cut again. Texts with other
     white space at a blank are encoded whole.
     """
 
@@ -60,19 +61,26 @@ class Encoder:
             for token, i in vocabulary.items():  # a byte-level token has a character for each byte
                 self.n_bytes[i] = len(token)
             self.comma, self.stop = (int(x[0]) for x in self._whole([",", "."]))
+            self.uncut = Tokenizer.from_str(self.tokenizer.to_str())  # takes words in the characters that stand for their bytes
+            self.uncut.pre_tokenizer = None
             self._forget()
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, parts: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all parts with `before` in front of each, one part after the other, and how many ids each has."""
+    def _words(self, texts: list[str]) -> list[np.ndarray]:
+        """As _whole(), of texts that are words of letters with a blank before each."""
+        words = [t.encode().decode("latin1").translate(_CHARACTERS).replace(_BLANK, " " + _BLANK)[1:].split(" ") for t in texts]
+        return [np.array(e.ids, np.uint32) for e in self.uncut.encode_batch_fast(words, is_pretokenized=True, add_special_tokens=False)]
+
+    def _parts(self, parts: pa.Array, before: str, letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts with `before` in front of each, one part after the other, and how many ids each has; letters: the parts are Latin letters alone."""
         cut = np.r_[np.arange(0, len(parts), 1000), len(parts)]
         lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), parts.cast(pa.string()))
         texts = [before + t for t in pc.binary_join(lists, before).to_pylist()] if len(parts) else []
         size = pc.binary_length(parts).to_numpy(zero_copy_only=False) + len(before)
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for i, j, got in zip(cut[:-1].tolist(), cut[1:].tolist(), self._whole(texts), strict=False):
+        for i, j, got in zip(cut[:-1].tolist(), cut[1:].tolist(), self._words(texts) if letters else self._whole(texts), strict=False):
             ends, at = np.cumsum(size[i:j]), np.cumsum(self.n_bytes[got])
             last = np.searchsorted(at, ends)
             if len(at) and at[-1] == ends[-1] and (at[last] == ends).all():
@@ -113,11 +121,12 @@ class Encoder:
         base = pc.if_else(pa.array(ended), pc.utf8_slice_codeunits(core, 0, -1), core)
         flat, held = [self.flat], len(self.flat)
         start, count = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
-        for before, mine in ((" ", stands & ~led), ("\n", stands & led)):
+        letters = test(base, rf"^{_LATIN}+$")
+        for before, mine, whole in ((" ", stands & ~led & letters, True), (" ", stands & ~led & ~letters, False), ("\n", stands & led, False)):
             mine = np.flatnonzero(mine)
             once = base.take(pa.array(mine)).dictionary_encode()
             order = np.array(pc.sort_indices(once.dictionary))  # words with a common beginning next to each other are encoded faster
-            ids, n = self._parts(once.dictionary.take(pa.array(order)), before)
+            ids, n = self._parts(once.dictionary.take(pa.array(order)), before, whole)
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             which = place[np.array(once.indices, np.int64)]
@@ -189,6 +198,12 @@ class Encoder:
 
 #: Any white space, and the control characters that some take for it.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: Letters in every version of Unicode.
+_LATIN = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]"
+#: The character that stands for each byte in a byte-level vocabulary: itself if it shows, else the next from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_CHARACTERS = {b: b if b in _SHOWN else 256 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
+_BLANK = chr(_CHARACTERS[32])
 
 
 @lru_cache(maxsize=1)

@@ -58,7 +58,8 @@ def test_no_frequent_pair_is_left():
 
 
 def test_encoder_equals_library():
-    texts = ["", " ", "a  b", "it's a 'dog' \n\n x", " lead", "trail ", "x y z", "a\tb c\r\n d", "don't  stop\n now", "é è 12 3.4 <|endoftext|> q", "日本 語", "a   b", "\x1c a", "a\x85 b", "\nx", "x\n", "a\nb c.\nD e", "a \nb", "a\n b", "a\n\nb c", "x ab. ab, ab .. ., é. 1. a1, 's. it's, d. y"] * 2
+    texts = ["", " ", "a  b", "it's a 'dog' \n\n x", " lead", "trail ", "x y z", "a\tb c\r\n d", "don't  stop\n now", "é è 12 3.4 <|endoftext|> q", "日本 語", "a   b", "\x1c a", "a\x85 b", "\nx", "x\n", "a\nb c.\nD e", "a \nb", "a\n b", "a\n\nb c", "x ab. ab, ab .. ., é. 1. a1, 's. it's, d. y", "x Ġ ĠĠĠ ÿþ ñü× ÷ ßÀÖ, ɏ ɐ Ÿ. łódź Łódź, naïve Ā"] * 2
+    texts += [" ".join(chr(c) * (c % 3 + 1) + "ab" for c in range(33, 0x260)), " ".join(chr(c) for c in range(33, 0x260))]
     plain = Tokenizer.from_file(PATH)
     encoder = token_store.Encoder(PATH)
     assert encoder.by_parts
