@@ -124,7 +124,17 @@ def _cover(rings: list[list], x: float, y: float) -> bool:
 
 def shapes_intersect(a: dict, b: dict) -> bool:
     """Whether two GeoJSON shapes have a point in common."""
-    (s, rings_a), (t, rings_b) = _sides(a), _sides(b)
+    return _meet(_sides(a), _sides(b))
+
+
+def _box(sides: np.ndarray) -> tuple[float, float, float, float]:
+    """West, south, east and north of all sides; of none, a box that meets no other."""
+    points = sides.reshape(-1, 2)
+    return (*points.min(0).tolist(), *points.max(0).tolist()) if len(points) else (math.inf, math.inf, -math.inf, -math.inf)
+
+
+def _meet(a: tuple[np.ndarray, list[list]], b: tuple[np.ndarray, list[list]]) -> bool:
+    (s, rings_a), (t, rings_b) = a, b
     if not len(s) or not len(t):
         return False
     p, q = s[:, None, :], t[None, :, :]
@@ -144,15 +154,27 @@ def intersects(left: Column, right: Column) -> Column:
     return _intersects()(left, right)
 
 
-def _intersects():
+def _read_all(texts: pa.Array) -> tuple[np.ndarray, list]:
+    """Which of the distinct shapes each text is (-1: null), and their sides and rings."""
     import json
 
+    coded = texts.dictionary_encode()
+    return coded.indices.fill_null(-1).to_numpy(zero_copy_only=False), [_sides(json.loads(t)) for t in coded.dictionary.to_pylist()]
+
+
+def _intersects():
     from pyspark.sql.functions import arrow_udf
 
     @arrow_udf("boolean")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        seen: dict[str, dict] = {}
-        shape = lambda t: seen.setdefault(t, json.loads(t))
-        return pa.array([None if x is None or y is None else shapes_intersect(shape(x), shape(y)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+        # Each distinct shape of a batch is read once; only pairs whose boxes meet are compared side by side.
+        (one, of_a), (two, of_b) = _read_all(a), _read_all(b)
+        boxes, others = (np.array([_box(x[0]) for x in of], float).reshape(-1, 4) for of in (of_a, of_b))
+        given = np.flatnonzero((one >= 0) & (two >= 0))
+        p, q = boxes[one[given]], others[two[given]]
+        near = given[((p[:, :2] <= q[:, 2:]) & (q[:, :2] <= p[:, 2:])).all(1)]
+        out = np.zeros(len(a), bool)
+        out[near] = [_meet(of_a[i], of_b[j]) for i, j in zip(one[near].tolist(), two[near].tolist(), strict=True)]
+        return pa.array(out, mask=(one < 0) | (two < 0))
 
     return run

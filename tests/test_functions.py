@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from docsql.functions import dates, geo, text
 from docsql.sources.catalog import date_math_name, load_json
@@ -29,6 +31,20 @@ def test_shapes():
     assert geo.shapes_intersect(big, geo.parse_wkt("LINESTRING (5 5, 20 5)")) and geo.shapes_intersect(geo.parse_wkt("POLYGON ((-1 -1, 20 -1, 20 20, -1 20, -1 -1))"), big)
 
 
+def test_shapes_of_a_column(spark):
+    """Rows of two columns of shapes, null and equal ones among them, against the shapes pair by pair."""
+    shapes = ["POINT (1 1)", "POINT (5 5)", "POINT (10 5)", "LINESTRING (5 5, 20 5)", "LINESTRING (11 0, 11 9)", "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))", "POLYGON ((4.5 4.5, 5.5 4.5, 5.5 5.5, 4.5 5.5, 4.5 4.5))", "POLYGON ((-1 -1, 20 -1, 20 20, -1 20, -1 -1))"]
+    texts = [*(json.dumps(geo.parse_wkt(x)) for x in shapes), None]
+    rows = [(a, b) for a in texts for b in texts] * 2
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", geo.intersects(F.col("a"), F.col("b")).alias("hit")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.hit == (None if r.a is None or r.b is None else geo.shapes_intersect(json.loads(r.a), json.loads(r.b)))
+    assert {r.hit for r in got} == {True, False, None}
+    none = spark.createDataFrame([(None, texts[0])], "a string, b string").select(geo.intersects(F.col("a"), F.col("b")).alias("hit"))
+    assert none.first().hit is None
+
+
 def test_text():
     assert text.wildcard_regex("a%b_c&PERCENT*", sql=True) == "(?s)^a.*b.c%.*$"
     assert [text.needed(4, m, o) for m, o in ((None, None), ("75%", None), (-1, None), (2, "and"))] == [1, 3, 3, 4]
