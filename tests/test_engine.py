@@ -268,3 +268,29 @@ def test_grammar_corners(engine):
     assert rows(engine, "SELECT AVG(script('n','doc[\\'berths\\'].value * 2')) AS a FROM boat") == [(10.0,)]
     assert rows(engine, "SELECT COUNT(*) FROM boat HAVING COUNT(*) > 9") == []
     assert [r[0] for r in rows(engine, "SELECT _id FROM cargo ORDER BY NESTED('crate.weight','crate') DESC LIMIT 1, 2")] == ["k1", "k2"]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT COUNT(*) AS n FROM cargo GROUP BY nested(crate.owner), reverse_nested(class)",
+        "SELECT COUNT(*) AS n FROM cargo GROUP BY nested(crate.owner), filter('some', crate.weight > 1 OR total = 20), reverse_nested(remark.state,'~remark')",
+        "SELECT COUNT(*) AS n FROM cargo GROUP BY nested(crate.owner), nested(crate.goods), filter('all', total > 0), reverse_nested(crate.goods,'~crate')",
+        "SELECT COUNT(*) AS n FROM cargo GROUP BY nested(crate.owner), terms('field'='class','alias'='c','reverse_nested'='')",
+        "SELECT SUM(reverse_nested(total)) AS s, COUNT(*) AS n FROM cargo GROUP BY nested(crate.owner)",
+    ],
+)
+def test_rows_are_once_in_a_bucket_with_and_without_a_shuffle(spark, monkeypatch, text):
+    from docsql.operators import aggregate
+
+    from tests.fixtures import CARGOES
+
+    engine = fixture_engine(spark)
+    more = [("k4", [("tea", "rin", 1), ("tea", "rin", 9), ("tea", None, 2), None], [("dry", 1)], 40, "m"), ("k5", None, [("dry", 1)], 50, "n"), ("k6", [], None, 60, None)]
+    engine.catalog.replace("cargo", spark.createDataFrame(CARGOES + more, engine.catalog.one("cargo").df.schema))
+    df = engine.sql(text)
+    got = sorted(map(str, df.collect()))
+    assert got and "array_distinct" in df._jdf.queryExecution().toString()
+    monkeypatch.setattr(aggregate, "_simple_run", lambda *_: 0)
+    slow = engine.sql(text)
+    assert "array_distinct" not in slow._jdf.queryExecution().toString() and got == sorted(map(str, slow.collect()))

@@ -64,3 +64,10 @@ def test_top_hits_read_what_they_show(e):
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.text.upper().startswith("SELECT") and "GEO_INTERSECTS" not in q.text])
 def test_no_python(e, name):
     assert not re.search("Python|Pandas|Arrow", e.explain(QUERIES[name].text))
+
+
+@pytest.mark.parametrize("name", ["nested_other_path", "reverse_nested"])
+def test_buckets_left_for_the_row_move_no_rows(e, name):
+    # Each row once in a bucket is told from its own array: whole rows are neither sorted nor sent away for that.
+    plan = e.explain(QUERIES[name].text)
+    assert "array_distinct" in plan and "SortAggregate" not in plan and "first(" not in plan
