@@ -294,3 +294,12 @@ def test_rows_are_once_in_a_bucket_with_and_without_a_shuffle(spark, monkeypatch
     monkeypatch.setattr(aggregate, "_simple_run", lambda *_: 0)
     slow = engine.sql(text)
     assert "array_distinct" not in slow._jdf.queryExecution().toString() and got == sorted(map(str, slow.collect()))
+
+
+def test_geo_joins(engine):
+    on = "ON GEO_INTERSECTS(r.area, l.area)"
+    assert sorted(rows(engine, f"SELECT r.label AS r, l.label AS l FROM reef r LEFT JOIN lane l {on}"), key=str) == [("small reef", "lane"), ("wide reef", None)]
+    assert sorted(rows(engine, f"SELECT r.label AS r, l.label AS l FROM reef r LEFT JOIN lane l {on} AND r.label = l.label"), key=str) == [("small reef", None), ("wide reef", None)]
+    assert rows(engine, "SELECT r.label AS r, l.label AS l FROM reef r JOIN lane l WHERE GEO_INTERSECTS(l.area, r.area)") == [("small reef", "lane")]
+    assert rows(engine, f"SELECT r.label AS r, l.label AS l FROM reef r JOIN lane l {on} AND r.label <> l.label") == [("small reef", "lane")]
+    assert rows(engine, f"SELECT COUNT(*) AS n FROM reef r JOIN lane l {on}") == [(1,)]

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from docsql.functions import dates, geo, text
@@ -70,3 +71,20 @@ def test_span_near(spark):
     df = spark.createDataFrame([("a b c d",), ("c a",), ("a x y c",)], "t string")
     near = lambda slop, order: [r[0] for r in df.select(text.span_near(text.tokens(F.col("t")), [["a"], ["c"]], slop, order)).collect()]
     assert near(1, True) == [True, False, False] and near(2, False) == [True, True, True]
+
+
+def test_intersecting_shapes_of_all_sizes(spark):
+    rng = random.Random(3)
+
+    def shape():
+        x, y, side = rng.uniform(-3, 3), rng.uniform(-3, 3), 2.0 ** rng.choice([-30, -9, -3, -1, 0, 1, 2, 9, 40])
+        if rng.random() < 0.2:
+            return {"type": "Point", "coordinates": [round(x), round(y)]}
+        x, y = (round(x), round(y)) if rng.random() < 0.5 else (x, y)
+        return {"type": "Polygon", "coordinates": [[[x, y], [x + side, y], [x + side, y + side], [x, y + side], [x, y]]]}
+
+    one, two = ([json.dumps(shape()) for _ in range(90)] + [json.dumps({"type": "LineString", "coordinates": []})] for _ in range(2))
+    frames = [spark.createDataFrame([(t,) for t in [*texts, texts[0], None]], "t string") for texts in (one, two)]
+    got = [tuple(r) for r in geo.intersecting(*frames, "a", "b").collect()]
+    want = {(a, b) for a in one for b in two if geo.shapes_intersect(json.loads(a), json.loads(b))}
+    assert len(got) == len(set(got)) and set(got) == want and 500 < len(want) < 91 * 91

@@ -71,3 +71,11 @@ def test_buckets_left_for_the_row_move_no_rows(e, name):
     # Each row once in a bucket is told from its own array: whole rows are neither sorted nor sent away for that.
     plan = e.explain(QUERIES[name].text)
     assert "array_distinct" in plan and "SortAggregate" not in plan and "first(" not in plan
+
+
+def test_geo_joins_compare_no_rows_in_a_nested_loop(e):
+    plan = e.explain(QUERIES["join_geo"].text)
+    # The only loops are those over the few levels of cells; rows meet by equal cells and equal shapes.
+    loops = re.findall(r"\) BroadcastNestedLoopJoin[^\n]*\n(?:[^\n]+\n)*?Join condition: ([^\n]*)", plan)
+    assert "CartesianProduct" not in plan and re.search("SortMergeJoin|HashJoin", plan)
+    assert loops and all("_level" in condition for condition in loops)
