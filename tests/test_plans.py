@@ -79,3 +79,7 @@ def test_geo_joins_compare_no_rows_in_a_nested_loop(e):
     loops = re.findall(r"\) BroadcastNestedLoopJoin[^\n]*\n(?:[^\n]+\n)*?Join condition: ([^\n]*)", plan)
     assert "CartesianProduct" not in plan and re.search("SortMergeJoin|HashJoin", plan)
     assert loops and all("_level" in condition for condition in loops)
+    # A shape is read after equal ones have been put together.
+    lines = plan.split("\n\n")[0].split("\n")
+    below = [next(x for x in lines[i + 1 :] if re.search("Exchange|Scan|Join", x)) for i, line in enumerate(lines) if "ArrowEvalPython" in line]
+    assert below and not any("Scan" in x for x in below)
